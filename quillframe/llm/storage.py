@@ -1,0 +1,32 @@
+"""Intermediate tables in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir.
+
+    Where that setting is absent (tests, a single machine) a folder in the warehouse takes its place,
+    which Spark resolves on the file system that tables are kept on.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.work"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """The rows of df, written once as Parquet to the shared folder and read again, so that a lost executor costs no recomputation and lineage ends here."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
