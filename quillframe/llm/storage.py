@@ -21,7 +21,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and read again, so that a lost executor costs no recomputation and lineage ends here."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
