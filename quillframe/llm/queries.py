@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, pii, url_filter
+from . import chat_format, line_dedup, near_dedup, packing, pii, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A conversation whose texts are control strings.
+_TRICKY = [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.createDataFrame(_TRICKY, "conv_id long, turn long, role string, text string")
+    return chat_format.digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +42,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_near_dedup, op5_url_filter, op7_pii, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op5_url_filter, op7_pii, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL}
