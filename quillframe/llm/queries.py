@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, line_dedup, near_dedup, packing, pii, quality, rules, url_filter
+from . import chat_format, decontaminate, html_text, line_dedup, near_dedup, packing, pii, quality, rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.selectExpr("page_id", "url", "main_text as text", "cast(char_length(main_text) as long) as n_chars")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +60,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op4_html_text, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL}
