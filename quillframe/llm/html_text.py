@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>?)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -207,4 +208,4 @@ def extract(pages: DataFrame, html_col: str = "html", labelled: np.ndarray = LAB
             texts = pa.array([main_text(x.as_py(), tree) for x in b.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "main_text"])
 
-    return pages.mapInArrow(run, pages.schema.add("main_text", "string"))
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField("main_text", StringType())]))
