@@ -62,7 +62,7 @@ def precision_recall(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_o
     group = ["name"] if mode == "by-class" else []
     d = judged_detections(pred, gt, threshold, where_object_gt, mode == "class-agnostic").filter("outcome <> 'ignored'")
     score = F.when(F.col("has_gt"), F.coalesce("score", F.lit(0.0))).otherwise(0.0)
-    d = d.groupBy(*group, score.alias("s")).agg(F.count_if("outcome = 'tp'").alias("p"), F.count_if("outcome = 'fp'").alias("n"))
+    d = d.groupBy(*group, score.alias("s")).agg(F.count_if(F.expr("outcome = 'tp'")).alias("p"), F.count_if(F.expr("outcome = 'fp'")).alias("n"))
     truths = _truths(gt, where_object_gt, group)
     found = d.groupBy(*group).agg(F.sum("p").alias("found"))
     joined = truths.join(found, group, "left") if group else truths.crossJoin(found)  # one row each
