@@ -7,8 +7,7 @@ merged into one run of the next level. Keys of at least `min_chars` code points
 lines outside their holder.
 
 Defined cases: a null or empty text is one empty line. A null id counts as one document below all others. Rows that repeat an id count
-as one document, and keep or lose lines alike. Nothing is assumed of further columns; names of columns made here begin with two
-underscores.
+as one document, and keep or lose lines alike. Further columns pass through, whatever their names are.
 """
 
 from __future__ import annotations
@@ -110,7 +109,7 @@ def kept_text(text: str | None, lost: set[bytes]) -> tuple[str, int, int]:
 
 def with_lost(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID))
-    return docs.join(lost, key == F.col("__doc"), "left").drop("__doc")
+    return docs.join(lost, key == lost["__doc"], "left").drop(lost["__doc"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
@@ -121,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.schema.get_field_index(text_col)
-            texts = [kept_text(t, set(x))[0] if x else t for t, x in zip(b.column(k).to_pylist(), b.column("__lost").to_pylist(), strict=True)]
+            texts = [kept_text(t, set(x))[0] if x else t for t, x in zip(b.column(k).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             cols = [pa.array(texts, b.schema.field(k).type) if i == k else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
