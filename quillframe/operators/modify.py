@@ -232,7 +232,8 @@ def clip_objects(ds: Dataset, keep_num_vertices: bool = False) -> Dataset:
         rows = rows.sort_values("id")
         ring = clip_ring(rows[["x", "y"]].to_numpy(float), float(rows["w"].iloc[0]), float(rows["h"].iloc[0]))
         n = len(ring)
-        return pd.DataFrame({"objectid": [rows["objectid"].iloc[0]] * n, "k": range(n), "x": ring[:, 0] if n else [], "y": ring[:, 1] if n else [], "name": [rows["name"].iloc[0]] * n})
+        name = pd.Series([rows["name"].iloc[0]] * n, dtype=object)
+        return pd.DataFrame({"objectid": np.full(n, rows["objectid"].iloc[0], np.int64), "k": np.arange(n), "x": ring[:, 0], "y": ring[:, 1], "name": name})
 
     clipped = cut.groupBy("objectid", "name").applyInPandas(clip, "objectid long, k int, x double, y double, name string")
     made = numbered(clipped, "id", next_id(ds.polygons, "id"), "objectid", "name", "k")
