@@ -1,0 +1,85 @@
+"""Readers and writers of annotation formats on small files."""
+
+import json
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillframe.dataset import Dataset
+from quillframe.sources import exports, imports
+
+BOX = ("x1", "y1", "width", "height")
+
+
+def test_kitti(spark, tmp_path):
+    (tmp_path / "000001.txt").write_text("Car 0.0 1 1.5 10 20 29 49 1 2 3 4 5 6 0.1\nVan 0.0 0 1.5 0 0 9 9 1 2 3 4 5 6 0.1 0.75\n")
+    ds = imports.import_kitti(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in ds.objects.select("name", *BOX, "score").collect()) == [("Car", 10.0, 20.0, 20.0, 30.0, None), ("Van", 0.0, 0.0, 10.0, 10.0, 0.75)]
+    assert ds.properties.filter("key = 'alpha'").count() == 2 and ds.images.first()["imagefile"] == "000001.png"
+
+
+def test_pascal(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<annotation><filename>a.jpg</filename><size><width>100</width><height>80</height></size><object><name>person</name><pose>Left</pose><bndbox><xmin>10.7</xmin><ymin>20</ymin><xmax>29</xmax><ymax>49</ymax></bndbox><part><name>head</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></part></object></annotation>")
+    ds = imports.import_pascal(spark, str(tmp_path))
+    assert tuple(ds.objects.select("imagefile", *BOX).first()) == ("JPEGImages/a.jpg", 10.0, 20.0, 20.0, 30.0)
+    assert [(p.x, p.y, p.name) for p in ds.polygons.orderBy("id").collect()] == [(1.0, 2.0, "head"), (3.0, 2.0, "head"), (3.0, 4.0, "head"), (1.0, 4.0, "head")]
+    assert ds.properties.filter("key = 'pose'").first()["value"] == "Left"
+
+
+def test_bdd(spark, tmp_path):
+    entry = {"name": "a.jpg", "attributes": {"weather": "rainy", "scene": "none"}, "labels": [{"id": "1", "category": "car", "attributes": {"occluded": "true", "weather": "own"}, "box2d": {"x1": 1.5, "y1": 2.5, "x2": 11.5, "y2": 12.5}}, {"id": "2", "category": "lane", "poly2d": [{"vertices": [[1, 2], [3, 4]], "closed": False}]}]}
+    (tmp_path / "d.json").write_text(json.dumps([entry]))
+    images = spark.createDataFrame([("x/a.jpg", 10, 10), ("x/b.jpg", 10, 10)], "imagefile string, width int, height int")
+    ds = imports.import_bdd(spark, str(tmp_path / "d.json"), images)
+    assert ds.images.count() == 2 and tuple(ds.objects.filter("name = 'car'").select(*BOX).first()) == (1.0, 2.0, 10.0, 10.0)
+    assert {(r.key, r.value) for r in ds.properties.collect()} == {("weather", "rainy"), ("occluded", "true")}
+    assert {p.name for p in ds.polygons.collect()} == {"open_loop_0"}
+
+
+def test_detrac_and_cityscapes(spark, tmp_path):
+    (tmp_path / "MVI_20011.xml").write_text("<sequence>" + "".join(f'<frame num="{n}"><target_list><target id="1"><box left="{n}" top="2" width="3" height="4"/><attribute orientation="1" speed="2" trajectory_length="3" vehicle_type="car"/></target></target_list></frame>' for n in (1, 2)) + "</sequence>")
+    ds = imports.import_detrac(spark, str(tmp_path))
+    assert ds.objects.count() == 2 and ds.matches.select("match").distinct().count() == 1 and ds.properties.count() == 8
+    city = tmp_path / "gtFine" / "val" / "x"
+    city.mkdir(parents=True)
+    (city / "x_0_1_gtFine_polygons.json").write_text(json.dumps({"imgHeight": 10, "imgWidth": 20, "objects": [{"label": "car", "polygon": [[1, 2], [5, 2], [5, 8]]}]}))
+    ds = imports.import_cityscapes(spark, str(city))
+    assert tuple(ds.objects.select(*BOX).first()) == (1.0, 2.0, 4.0, 6.0) and ds.images.first()["imagefile"].endswith("leftImg8bit/val/x/x_0_1_leftImg8bit.png")
+
+
+@pytest.fixture
+def two(spark):
+    return Dataset.from_rows(spark, images=[("d/a.jpg", 100, 50, None, None, None, None), ("d/b.jpg", 100, 50, None, None, None, None)], objects=[(1, "d/a.jpg", 10.0, 5.0, 20.0, 10.0, "car", None), (2, "d/a.jpg", 0.0, 0.0, 50.0, 50.0, "bus", None)], properties=[(1, 1, "occluded", "true"), (2, 1, "red", "true")], polygons=[(k, 1, float(x), float(y), None) for k, (x, y) in enumerate(((10, 5), (30, 5), (30, 15), (10, 15)))])
+
+
+def test_labelme_round_trip(spark, two, tmp_path):
+    texts = exports.labelme_records(two, "f").collect()
+    for r in texts:
+        (tmp_path / f"{r.file}.xml").write_text(r.text)
+    ds = imports.import_labelme(spark, str(tmp_path), "d")
+    assert tuple(ds.objects.select("imagefile", "name", *BOX).first()) == ("d/a.jpg", "car", 10.0, 5.0, 20.0, 10.0)
+    assert {(r.key, r.value) for r in ds.properties.collect()} == {("occluded", "true"), ("red", "true")} and ds.images.count() == 2
+
+
+def test_yolo_coco_cityscapes(spark, two, tmp_path):
+    assert [tuple(r) for r in exports.yolo_lines(two, ["car", "bus"]).collect()] == [("a", "0 0.2 0.2 0.2 0.2\n1 0.25 0.5 0.5 1.0")]
+    assert exports.yolo_lines(two, ["car"], as_polygons=True).first()["text"] == "0 0.1 0.1 0.3 0.1 0.3 0.3 0.1 0.3"
+    exports.export_coco(two, str(tmp_path / "coco"), description="x")
+    a = spark.read.json(str(tmp_path / "coco" / "annotations")).orderBy("id").collect()
+    assert [(r.image_id, r.category_id, r.bbox, r.area) for r in a] == [(0, 1, [10, 5, 20, 10], 200.0), (0, 0, [0, 0, 50, 50], 2500.0)]
+    record = json.loads(exports.cityscapes_records(two).filter(F.col("file") == "a").first()["text"])
+    assert record["objects"][1] == {"label": "bus", "polygon": [[0, 0], [50, 0], [50, 50], [0, 50]]}
+
+
+def test_sqlite_and_video(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "old.db")
+    for t in ("images(imagefile, width, height, maskfile, timestamp, name, score)", "objects(objectid, imagefile, x1, y1, width, height, name, score)", "properties(id, objectid, key, value)", "polygons(id, objectid, x, y, name)", "matches(id, match, objectid)"):
+        db.execute(f"CREATE TABLE {t}")
+    db.execute("INSERT INTO images VALUES ('a.jpg', 3, 4, NULL, '2020-01-02 03:04:05.5', NULL, 0.5)")
+    db.commit()
+    ds = imports.import_sqlite(spark, str(tmp_path / "old.db"))
+    assert ds.images.first()["timestamp"].year == 2020 and ds.objects.count() == 0
+    assert imports.add_video(ds, "v.avi", 3, 10, 20).images.count() == 4
+    with pytest.raises(ValueError):
+        imports.add_video(ds, "v.avi", 3, 10, 20, "m.avi", 2)
