@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,10 @@ class Dataset:
         df = self.table(table).alias(table)
         return df if condition is None else df.filter(F.expr(condition) if isinstance(condition, str) else condition)
 
+    def then(self, operator: Callable, *args: object, **kwargs: object) -> object:
+        """operator(self, ...): chains of operators read from left to right, and run when a result is asked for."""
+        return operator(self, *args, **kwargs)
+
     def drop_objects(self, gone: DataFrame) -> Dataset:
         """Without the objects in gone (objectid) and all that belongs to them."""
         ids = gone.select("objectid").distinct()

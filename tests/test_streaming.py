@@ -1,0 +1,13 @@
+import json
+
+from quillframe.streaming import arrivals
+
+
+def test_repeats_are_dropped_across_runs(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    row = {"imagefile": "a.jpg", "timestamp": "2024-01-01T00:00:00Z", "width": 1}
+    for n, rows in enumerate(([row, row], [row, row | {"imagefile": "b.jpg"}])):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        arrivals.append(arrivals.first_seen(arrivals.arriving(spark, source)), out, checkpoint).awaitTermination()
+    assert sorted(r.imagefile for r in spark.read.parquet(out).collect()) == ["a.jpg", "b.jpg"]
