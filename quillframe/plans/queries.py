@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..dataset import Dataset
 from ..operators import algebra, evaluate, filters, info, media, modify, samples
 from ..functions import paths
+from ..sources import exports
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,3 +399,22 @@ def object_samples(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT imagefile, replace(imagefile, '/', '_') AS name FROM images")
 def exported_names(spark: SparkSession, d: str) -> DataFrame:
     return _ds(spark, d).images.select("imagefile", paths.exported_name(F.col("imagefile"), 2).alias("name"))
+
+
+# ---- exports ----
+
+
+@query(""", i AS (SELECT imagefile, row_number() OVER (ORDER BY imagefile) - 1 AS image_id FROM images),
+c AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS category_id FROM (SELECT DISTINCT name FROM objects WHERE name IS NOT NULL)),
+p AS (SELECT objectid, min(x) AS xa, max(x) AS xb FROM polygons GROUP BY 1)
+SELECT row_number() OVER (ORDER BY objectid) - 1 AS id, image_id, category_id, CAST(round_even(coalesce(xa, x1), 0) AS INT) AS x, CAST(round_even(coalesce(xb - xa, width), 0) AS INT) AS width
+FROM objects JOIN i USING (imagefile) JOIN c USING (name) LEFT JOIN p USING (objectid) WHERE x1 IS NOT NULL""")
+def coco_annotations(spark: SparkSession, d: str) -> DataFrame:
+    a = exports.coco_tables(_ds(spark, d))["annotations"]
+    return a.select("id", "image_id", "category_id", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("width"))
+
+
+@query("SELECT replace(split_part(imagefile, '/', 2), '.jpg', '') AS file, count(*) AS lines FROM objects WHERE x1 IS NOT NULL AND name IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+def yolo_files(spark: SparkSession, d: str) -> DataFrame:
+    texts = exports.yolo_lines(_ds(spark, d), ["1-URGENT", "2-HIGH"])
+    return texts.select(F.col("file"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
