@@ -5,13 +5,14 @@ its whole sequence as one shingle, a text without words the empty set, which is
 100 * intersection >= percent * union.
 
 1. One pass over the texts makes, for each row, the size and a hash of its set, `bands` band keys of `rows` MinHash values each, and an
-   odd sketch: every MinHash sample flips one bit of a bitmap, so that the bitmaps of two sets differ in the more bits the more samples
-   differ. Rows of equal sets become one node, named by their smallest id.
-2. Each bucket of a band is searched from one centre: members are paired with it, not with each other. Pairs whose sketches are too far
-   apart go; the rest is confirmed on the full sets. Confirmed links make components.
-3. Only members of one bucket that are still in different components can add anything. While all such pairs would be many times the
-   members, buckets are searched again from other centres; then all that are left are checked. No candidate that could join two
-   components is passed over, and a group of copies costs as many pairs as it has members.
+   odd sketch: every one of `samples` MinHash values flips one bit of a bitmap, so that the bitmaps of two sets differ in the more bits the
+   more samples differ. Rows of equal sets become one node, named by their smallest id.
+2. Each bucket of a band is searched from its centre, the member with the most company over all its buckets, which a group's original
+   is: members are paired with the centre, not with each other. Pairs whose sketches are too far apart go; the rest is confirmed on the
+   full sets. Confirmed links make components, so a group of copies costs as many pairs as it has members.
+3. Only members of one bucket that are still in different components can add anything. Members outside the bucket's largest component
+   meet all others in blocks of bounded size, sketch against sketch, and only pairs that are near and not yet joined leave the block to
+   be confirmed. No candidate that could join two components is passed over.
 
 Defined cases: a null text is empty. Null ids get a stand-in above all real ids, made from the text, and are null again in the result.
 Rows that repeat an id with one text are one document; with different texts each text is searched by itself. Other columns are not
@@ -31,10 +32,12 @@ from . import kernels as K
 from .graph import components
 from .storage import written
 
-SKETCH_BITS = 512
-#: Sketches that differ in more bits are taken to be of sets below the threshold. 80 of 512 bits is an estimate of 0.6 from 120 samples;
-#: pairs at 0.85 differ in 34 bits, with a standard deviation of 10.
-SKETCH_FAR = 80
+SKETCH_BITS, SAMPLES = 1024, 384
+#: Sketches that differ in more bits are taken to be of sets below the threshold. 153 of 1024 bits is an estimate of 0.76 from 384 samples;
+#: pairs at 0.85 differ in 103 bits, and 153 is four and a half standard deviations away.
+SKETCH_FAR = 153
+#: Members of a bucket that meet in one block.
+BLOCK = 4096
 STAND_IN = 1 << 62
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
@@ -71,12 +74,12 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarra
 class Signer:
     """MinHash values by multiply-add permutations of mixed 64-bit hashes, folded into band keys and an odd sketch."""
 
-    def __init__(self, bands: int, rows: int):
+    def __init__(self, bands: int, rows: int, samples: int):
         self.bands, self.rows = bands, rows
         random = np.random.default_rng(20240607)
-        self.mul = random.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = random.integers(0, 1 << 63, bands * rows, np.uint64)
-        self.salt = random.integers(0, 1 << 63, bands * rows, np.uint64)
+        self.mul = random.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = random.integers(0, 1 << 63, samples, np.uint64)
+        self.salt = random.integers(0, 1 << 63, samples, np.uint64)
 
     def __call__(self, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each document: hash of the set, band keys, sketch words; zeros for an empty set."""
@@ -92,8 +95,8 @@ class Signer:
             np.multiply(sets, m, out=value)
             value += a
             least = K.mix64(np.minimum.reduceat(value, at) ^ s)
-            band = k // self.rows
-            keys[full, band] = keys[full, band] * K._STEPS[2] + least
+            if (band := k // self.rows) < self.bands:
+                keys[full, band] = keys[full, band] * K._STEPS[2] + least
             bit = least % np.uint64(SKETCH_BITS)
             sketch[full, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
         return names, K.mix64(keys), sketch
@@ -114,7 +117,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     schema = "id long, n long, name long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = Signer(bands, rows, max(SAMPLES, bands * rows))
         for b in batches:
             for lo, hi, raw, at in K.text_chunks(b.column(1)):
                 sets, bounds = shingle_sets(raw, at, words)
@@ -133,7 +136,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """id, name and the whole set of each row of (id, text)."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(0, 0)
+        signer = Signer(0, 0, 0)
         for b in batches:
             for lo, hi, raw, at in K.text_chunks(b.column(1)):
                 sets, bounds = shingle_sets(raw, at, words)
@@ -142,50 +145,93 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sets_of, "id long, name long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The distinct pairs (u, v) of nodes that are linked: near by their sketches, then on their full sets."""
-    sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("name").alias(f"name_{side}"), *(F.col(s).alias(f"{s}_{side}") for s in _SKETCH))
-    apart = sum((F.bit_count(F.col(f"{s}_u").bitwiseXOR(F.col(f"{s}_v"))) for s in _SKETCH), F.lit(0))
-    near = written(pairs.join(sketch("u"), "u").join(sketch("v"), "v").filter(apart <= SKETCH_FAR).select("u", "v", "name_u", "name_v"))
-    needed = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    sets = written(full_sets(docs.join(needed, "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes with their names that are linked, on their full sets."""
     side = lambda s: sets.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("shingles").alias(f"set_{s}"))
-    both = near.join(side("u"), ["u", "name_u"]).join(side("v"), ["v", "name_v"])
+    both = pairs.join(side("u"), ["u", "name_u"]).join(side("v"), ["v", "name_v"])
     common = F.size(F.array_intersect("set_u", "set_v"))
     return both.filter(100 * common >= percent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, bands: int = 24, rows: int = 5, rounds: int = 6) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches are near, with the names of their sets."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in _SKETCH))
+    apart = sum((F.bit_count(F.col(f"{x}_u").bitwiseXOR(F.col(f"{x}_v"))) for x in _SKETCH), F.lit(0))
+    return pairs.join(side("u"), "u").join(side("v"), "v").filter(apart <= SKETCH_FAR).select("u", "v", "name_u", "name_v")
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different components whose sketches are near, with the names of their sets."""
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    in_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sizes = in_comp.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main"))
+    several = sizes.filter("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    open_ = labelled.join(several, "key").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    fields = ["key", "node", "comp", "name", *_SKETCH]
+    # each block has the part-th members outside the main component on the left, and the other-th of all members on the right
+    left = open_.filter("comp <> main").select(*fields, F.lit(True).alias("left"), F.col("part").cast("int").alias("a"), F.explode(parts).alias("b"))
+    right = open_.select(*fields, F.lit(False).alias("left"), F.explode(parts).alias("a"), F.col("part").cast("int").alias("b"))
+    blocks = left.union(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            place = np.stack([b.column(k).to_numpy() for k in (0, b.num_columns - 2, b.num_columns - 1)])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+            if held and b.num_rows and any(held[-1].column(k)[-1] != b.column(k)[0] for k in (0, b.num_columns - 2, b.num_columns - 1)):
+                yield meet(held)
+                held = []
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if lo and held:
+                    yield meet(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield meet(held)
+
+    def meet(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, comp, name, is_left = (t[c].to_numpy() for c in ("node", "comp", "name", "left"))
+        sketch = np.stack([t[x].to_numpy() for x in _SKETCH], axis=1).view(np.uint64)
+        rows, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        found = []
+        for at in range(0, len(rows), 64):
+            some = rows[at : at + 64]
+            apart = np.zeros((len(some), len(others)), np.int64)
+            for k in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[some, k][:, None] ^ sketch[others, k][None, :])
+            i, j = np.nonzero((apart <= SKETCH_FAR) & (comp[some][:, None] != comp[others][None, :]))
+            found.append(np.stack([some[i], others[j]]))
+        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        swap = node[x] < node[y]
+        u, v = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[u], node[v], name[u], name[v])], names=["u", "v", "name_u", "name_v"])
+
+    return blocks.mapInArrow(compare, "u long, v long, name_u long, name_v long").distinct()
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, bands: int = 24, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept (whether that is itself) for each row."""
     docs = _identified(docs, id_col, text_col)
     signed = written(signatures(docs, words, bands, rows))
-    nodes = signed.filter("n > 0").groupBy("name", "n", *_SKETCH).agg(F.min("id").alias("node"))
+    nodes = signed.filter("n > 0").groupBy("name", *_SKETCH).agg(F.min("id").alias("node"))
     # all copies of a set share all its keys, so the smallest id is the same in each of its buckets
     filed = signed.select(F.explode("keys").alias("key"), "name", "id").groupBy("key", "name").agg(F.min("id").alias("node")).select("key", "node").distinct()
-    sizes = filed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    members = written(filed.join(sizes, "key").select("key", "node", "centre"))
-    pairs = members.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    links = written(_confirmed(pairs, nodes, docs, words, percent))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(filed.join(sizes, "key"))
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    members = written(members.join(company, "node").select("key", "node", "company"))
+    nodes = written(nodes.join(company.select("node"), "node", "left_semi"))
+    sets = written(full_sets(docs.join(company.select(F.col("node").alias("id")), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
+    centres = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("c")).select("key", (-F.col("c.node")).alias("v"))
+    star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    links = written(_confirmed(_near(star, nodes), sets, percent))
     labels = written(components(links))
-    for k in range(rounds + 1):
-        labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        split = labelled.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("comps > 1")
-        left = split.agg(F.sum(F.expr("(c * c - same) / 2")), F.sum("c")).first()
-        if left[0] is None:
-            break
-        open_ = labelled.join(split.select("key"), "key", "left_semi")
-        if left[0] <= 8 * left[1] or k == rounds:
-            a, b = open_.select("key", F.col("node").alias("u"), F.col("comp").alias("cu")), open_.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-            more = a.join(b, "key").filter("u > v and cu <> cv").select("u", "v").distinct()
-            labels = written(components(links.union(written(_confirmed(more, nodes, docs, words, percent)))))
-            break
-        turn = F.xxhash64(F.lit(k), "node")
-        centres = open_.groupBy("key").agg(F.min(turn).alias("turn"))
-        chosen = open_.join(centres, "key").filter(turn == F.col("turn")).select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-        more = open_.join(chosen, "key").filter("comp <> cv").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        links = written(links.union(_confirmed(more, nodes, docs, words, percent)))
-        labels = written(components(links))
-    mine = signed.select("id", "n", "name").join(nodes.select("name", "node"), "name", "left").join(labels, "node", "left")
+    more = _confirmed(_open_pairs(members.select("key", "node"), labels, nodes), sets, percent)
+    labels = written(components(links.union(more)))
+    names = signed.filter("n > 0").groupBy("name").agg(F.min("id").alias("node"))
+    mine = signed.select("id", "n", "name").join(names, "name", "left").join(labels, "node", "left")
     comp = F.coalesce("comp", "node", "id")
     real = lambda c: F.when(c < STAND_IN, c)
     return mine.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
