@@ -5,14 +5,15 @@ its whole sequence as one shingle, a text without words the empty set, which is
 100 * intersection >= percent * union.
 
 1. One pass over the texts makes, for each row, the size and a hash of its set, `bands` band keys of `rows` MinHash values each, and an
-   odd sketch: every one of `samples` MinHash values flips one bit of a bitmap, so that the bitmaps of two sets differ in the more bits the
-   more samples differ. Rows of equal sets become one node, named by their smallest id.
+   odd sketch: each of the set's SAMPLES smallest hashes (a bottom-k MinHash sample: all of a smaller set) flips one bit of a bitmap, so
+   that the bitmaps of two sets differ in the more bits the more samples differ. Rows of equal sets become one node, named by their
+   smallest id.
 2. Each bucket of a band is searched from its centre, the member with the most company over all its buckets, which a group's original
    is: members are paired with the centre, not with each other. Pairs whose sketches are too far apart go; the rest is confirmed on the
    full sets. Confirmed links make components, so a group of copies costs as many pairs as it has members.
 3. Only members of one bucket that are still in different components can add anything. Members outside the bucket's largest component
-   meet all others in blocks of bounded size, sketch against sketch, and only pairs that are near and not yet joined leave the block to
-   be confirmed. No candidate that could join two components is passed over.
+   meet all others in blocks of bounded size, sketch against sketch. First each sends only its nearest one to be confirmed; then, in
+   the components this leaves, all pairs that are near and not joined are. No candidate that could join two components is passed over.
 
 Defined cases: a null text is empty. Null ids get a stand-in above all real ids, made from the text, and are null again in the result.
 Rows that repeat an id with one text are one document; with different texts each text is searched by itself. Other columns are not
@@ -32,16 +33,28 @@ from . import kernels as K
 from .graph import components
 from .storage import written
 
-SKETCH_BITS, SAMPLES = 1024, 384
-#: Sketches that differ in more bits are taken to be of sets below the threshold. 153 of 1024 bits is an estimate of 0.76 from 384 samples;
-#: pairs at 0.85 differ in 103 bits, and 153 is four and a half standard deviations away.
-SKETCH_FAR = 153
+SKETCH_BITS, SAMPLES = 2048, 1024
 #: Members of a bucket that meet in one block.
 BLOCK = 4096
 STAND_IN = 1 << 62
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
+def sketch_far(a, b, percent: int, f=np, least=np.minimum, greatest=np.maximum):  # noqa: ANN001, ANN201
+    """Bits in which sketches of sets of a and b elements may differ if the sets are linked, and whether sets of these sizes can be.
+
+    Linked sets have c elements in common at least. If both samples are whole sets that bounds the differing samples exactly, else up to
+    4.5 standard deviations of drawing; flips that fall on one bit and cancel out are allowed for likewise. Works on arrays and columns.
+    """
+    c = f.ceil(percent * (a + b) / (100.0 + percent))
+    most = greatest(a, b)
+    share = least(SAMPLES / most, a * 0 + 1.0)
+    common = c * share - 4.5 * f.sqrt(c * share * (1 - share) * greatest(1 - c / most, a * 0.0))
+    flips = least(a, a * 0 + SAMPLES) + least(b, a * 0 + SAMPLES) - 2 * common
+    seen = SKETCH_BITS / 2 * (1 - f.exp(-2 * flips / SKETCH_BITS)) + 4.5 * least(flips * (2 / SKETCH_BITS) ** 0.5, a * 0 + SKETCH_BITS**0.5 / 2)
+    return least(flips, seen), c <= least(a, b)
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document of a chunk, and the bounds of each document in them."""
     raw = K.TO_LOWER[raw]
@@ -72,14 +85,14 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarra
 
 
 class Signer:
-    """MinHash values by multiply-add permutations of mixed 64-bit hashes, folded into band keys and an odd sketch."""
+    """MinHash values by multiply-add permutations of mixed 64-bit hashes, folded into band keys; odd sketches of the smallest hashes."""
 
-    def __init__(self, bands: int, rows: int, samples: int):
+    def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
         random = np.random.default_rng(20240607)
-        self.mul = random.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = random.integers(0, 1 << 63, samples, np.uint64)
-        self.salt = random.integers(0, 1 << 63, samples, np.uint64)
+        self.mul = random.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = random.integers(0, 1 << 63, bands * rows, np.uint64)
+        self.salt = random.integers(0, 1 << 63, bands * rows, np.uint64)
 
     def __call__(self, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each document: hash of the set, band keys, sketch words; zeros for an empty set."""
@@ -95,10 +108,14 @@ class Signer:
             np.multiply(sets, m, out=value)
             value += a
             least = K.mix64(np.minimum.reduceat(value, at) ^ s)
-            if (band := k // self.rows) < self.bands:
-                keys[full, band] = keys[full, band] * K._STEPS[2] + least
-            bit = least % np.uint64(SKETCH_BITS)
-            sketch[full, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
+            keys[full, k // self.rows] = keys[full, k // self.rows] * K._STEPS[2] + least
+        # sets are sorted, so a set's smallest hashes come first
+        nth = np.arange(len(sets)) - np.repeat(bounds[:-1], np.diff(bounds))
+        drawn = nth < SAMPLES
+        owner = np.repeat(np.arange(n), np.diff(bounds))[drawn]
+        bit, times = np.unique(owner * SKETCH_BITS + (K.mix64(sets[drawn] ^ K._STEPS[1]) % np.uint64(SKETCH_BITS)).astype(np.int64), return_counts=True)
+        bit = bit[times % 2 == 1]
+        np.bitwise_or.at(sketch.reshape(-1), bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
         return names, K.mix64(keys), sketch
 
 
@@ -117,7 +134,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     schema = "id long, n long, name long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows, max(SAMPLES, bands * rows))
+        signer = Signer(bands, rows)
         for b in batches:
             for lo, hi, raw, at in K.text_chunks(b.column(1)):
                 sets, bounds = shingle_sets(raw, at, words)
@@ -136,7 +153,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """id, name and the whole set of each row of (id, text)."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(0, 0, 0)
+        signer = Signer(0, 0)
         for b in batches:
             for lo, hi, raw, at in K.text_chunks(b.column(1)):
                 sets, bounds = shingle_sets(raw, at, words)
@@ -153,22 +170,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sketches are near, with the names of their sets."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in _SKETCH))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in _SKETCH))
     apart = sum((F.bit_count(F.col(f"{x}_u").bitwiseXOR(F.col(f"{x}_v"))) for x in _SKETCH), F.lit(0))
-    return pairs.join(side("u"), "u").join(side("v"), "v").filter(apart <= SKETCH_FAR).select("u", "v", "name_u", "name_v")
+    far, can = sketch_far(F.col("n_u"), F.col("n_v"), percent, F, F.least, F.greatest)
+    return pairs.join(side("u"), "u").join(side("v"), "v").filter(can & (apart <= far)).select("u", "v", "name_u", "name_v")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches are near, with the names of their sets."""
+def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of one bucket in different components whose sketches are near, with the names of their sets; or only each member's nearest."""
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     in_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = in_comp.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main"))
     several = sizes.filter("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     open_ = labelled.join(several, "key").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    fields = ["key", "node", "comp", "name", *_SKETCH]
+    fields = ["key", "node", "comp", "name", "n", *_SKETCH]
     # each block has the part-th members outside the main component on the left, and the other-th of all members on the right
     left = open_.filter("comp <> main").select(*fields, F.lit(True).alias("left"), F.col("part").cast("int").alias("a"), F.explode(parts).alias("b"))
     right = open_.select(*fields, F.lit(False).alias("left"), F.explode(parts).alias("a"), F.col("part").cast("int").alias("b"))
@@ -192,7 +210,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> Data
 
     def meet(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        node, comp, name, is_left = (t[c].to_numpy() for c in ("node", "comp", "name", "left"))
+        node, comp, name, n, is_left = (t[c].to_numpy() for c in ("node", "comp", "name", "n", "left"))
         sketch = np.stack([t[x].to_numpy() for x in _SKETCH], axis=1).view(np.uint64)
         rows, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         found = []
@@ -201,7 +219,14 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> Data
             apart = np.zeros((len(some), len(others)), np.int64)
             for k in range(sketch.shape[1]):
                 apart += np.bitwise_count(sketch[some, k][:, None] ^ sketch[others, k][None, :])
-            i, j = np.nonzero((apart <= SKETCH_FAR) & (comp[some][:, None] != comp[others][None, :]))
+            far, can = sketch_far(n[some][:, None].astype(float), n[others][None, :].astype(float), percent)
+            near = can & (apart <= far) & (comp[some][:, None] != comp[others][None, :])
+            if nearest:
+                best = np.where(near, apart, SKETCH_BITS + 1).argmin(1) if len(others) else np.zeros(0, np.int64)
+                i = np.flatnonzero(near[np.arange(len(some)), best]) if len(others) else best
+                j = best[i]
+            else:
+                i, j = np.nonzero(near)
             found.append(np.stack([some[i], others[j]]))
         x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         swap = node[x] < node[y]
@@ -215,21 +240,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept (whether that is itself) for each row."""
     docs = _identified(docs, id_col, text_col)
     signed = written(signatures(docs, words, bands, rows))
-    nodes = signed.filter("n > 0").groupBy("name", *_SKETCH).agg(F.min("id").alias("node"))
     # all copies of a set share all its keys, so the smallest id is the same in each of its buckets
     filed = signed.select(F.explode("keys").alias("key"), "name", "id").groupBy("key", "name").agg(F.min("id").alias("node")).select("key", "node").distinct()
     sizes = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(filed.join(sizes, "key"))
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     members = written(members.join(company, "node").select("key", "node", "company"))
-    nodes = written(nodes.join(company.select("node"), "node", "left_semi"))
-    sets = written(full_sets(docs.join(company.select(F.col("node").alias("id")), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
+    wanted = company.select(F.col("node").alias("id"))
+    nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", *_SKETCH).dropDuplicates(["node", "name"]))
+    sets = written(full_sets(docs.join(wanted, "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
     centres = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("c")).select("key", (-F.col("c.node")).alias("v"))
     star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    links = written(_confirmed(_near(star, nodes), sets, percent))
+    links = written(_confirmed(_near(star, nodes, percent), sets, percent))
     labels = written(components(links))
-    more = _confirmed(_open_pairs(members.select("key", "node"), labels, nodes), sets, percent)
-    labels = written(components(links.union(more)))
+    for nearest in (True, False):
+        links = written(links.union(_confirmed(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest), sets, percent)))
+        labels = written(components(links))
     names = signed.filter("n > 0").groupBy("name").agg(F.min("id").alias("node"))
     mine = signed.select("id", "n", "name").join(names, "name", "left").join(labels, "node", "left")
     comp = F.coalesce("comp", "node", "id")
