@@ -248,14 +248,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     members = written(members.join(company, "node").select("key", "node", "company"))
     wanted = company.select(F.col("node").alias("id"))
     nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", *_SKETCH).dropDuplicates(["node", "name"]))
-    sets = written(full_sets(docs.join(wanted, "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
+    sets = written(full_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
     centres = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("c")).select("key", (-F.col("c.node")).alias("v"))
     star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     links = written(_confirmed(_near(star, nodes, percent), sets, percent))
     labels = written(components(links))
     for nearest in (True, False):
-        links = written(links.union(_confirmed(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest), sets, percent)))
-        labels = written(components(links))
+        more = written(_confirmed(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest), sets, percent))
+        if more.isEmpty():
+            continue
+        # new links join components, of which there are far fewer than links
+        to = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: E731, B023
+        joined = more.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
+        over = written(components(joined)).select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        lone = over.join(labels, over["comp"] == labels["node"], "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
+        labels = written(labels.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")).union(lone))
     names = signed.filter("n > 0").groupBy("name").agg(F.min("id").alias("node"))
     mine = signed.select("id", "n", "name").join(names, "name", "left").join(labels, "node", "left")
     comp = F.coalesce("comp", "node", "id")
