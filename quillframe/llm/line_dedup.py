@@ -114,17 +114,17 @@ def with_lost(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
     """docs with the text that stays; all columns and rows remain. See lost_lines for the rule's parameters."""
-    found = with_lost(docs, lost_lines(docs, id_col, text_col, **rule), id_col)
-    schema = docs.schema
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # by place, so that no name can clash
+    k, own_id = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
+    found = with_lost(numbered, lost_lines(numbered, own_id, f"c{k}", **rule), own_id)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index(text_col)
             texts = [kept_text(t, set(x))[0] if x else t for t, x in zip(b.column(k).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             cols = [pa.array(texts, b.schema.field(k).type) if i == k else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return found.mapInArrow(clean, schema)
+    return found.mapInArrow(clean, numbered.schema).toDF(*docs.columns)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:

@@ -177,7 +177,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = 0.1, **how: int) -> DataFrame:
-    """docs with __weight and __kept."""
+    """docs with __weight and __kept; docs must not have columns of these names, __id, __good, __held or __holds (keep_good takes any)."""
     rows = weighted(docs, labels, id_col, text_col, **how)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), id_col), 11).cast("double") + 0.5) / float(1 << 53)
     key = F.col("__weight") / temperature - F.log(-F.log(uniform))
@@ -191,6 +191,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return rows.drop("__held").withColumn("__kept", kept)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the sampler takes."""
-    return resample(docs, labels, **how).filter("__kept").drop("__weight", "__kept")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that the sampler takes; their columns may have any names."""
+    numbered = [f"c{k}" for k in range(len(docs.columns))]  # by place, so that no name can clash
+    place = dict(zip(docs.columns, numbered, strict=True))
+    return resample(docs.toDF(*numbered), labels, place[id_col], place[text_col], **how).filter("__kept").select(*numbered).toDF(*docs.columns)
