@@ -94,7 +94,8 @@ def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(len(set(cuts)) + 1):
         own = lines.filter(F.col("__batch") == k)
         runs.add(own.groupBy("__line").agg(F.count_distinct("__doc").alias("__docs"), F.max("__doc").alias("__holder")))
-    common = runs.totals().filter(F.col("__docs") >= min_docs)
+    # as a table its size is known, so that Spark broadcasts it while it is small and else joins by sorting and splits hot lines
+    common = written(runs.totals().filter(F.col("__docs") >= min_docs))
     return lines.join(common, "__line").filter(F.col("__doc") < F.col("__holder")).groupBy("__doc").agg(F.collect_set("__line").alias("__lost"))
 
 
