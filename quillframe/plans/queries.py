@@ -90,12 +90,12 @@ def filter_objects_by_score(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_objects_by_score(_ds(spark, d), 0.5).properties.select("id", "key")
 
 
-@query(""", c AS (SELECT o.objectid, imagefile, x1 + width / 2 AS cx, y1 + height / 2 AS cy FROM objects o WHERE objectid % 3 <> 0 AND coalesce(name <> '1-URGENT', true)),
-s AS (SELECT * FROM objects WHERE name = '1-URGENT' AND objectid % 3 <> 0)
-SELECT objectid FROM objects WHERE objectid % 3 <> 0 AND objectid NOT IN (SELECT c.objectid FROM c JOIN s USING (imagefile) WHERE cx > s.x1 AND cx < s.x1 + s.width AND cy > s.y1 AND cy < s.y1 + s.height)""")
+@query(""", c AS (SELECT o.objectid, imagefile, x1 + width / 2 AS cx, y1 + height / 2 AS cy FROM objects o WHERE coalesce(name <> '1-URGENT', true)),
+s AS (SELECT * FROM objects WHERE name = '1-URGENT')
+SELECT objectid FROM objects WHERE objectid NOT IN (SELECT c.objectid FROM c JOIN s USING (imagefile) WHERE cx > s.x1 AND cx < s.x1 + s.width AND cy > s.y1 AND cy < s.y1 + s.height)""")
 def filter_objects_inside_boxes(spark: SparkSession, d: str) -> DataFrame:
     ds = _ds(spark, d)
-    ds = ds.keep_objects(ds.objects.filter("objectid % 3 <> 0"))
+    ds = ds.with_(polygons=ds.polygons.filter("false"))  # all objects are boxes
     return _ids(filters.filter_objects_inside_certain_objects(ds, "objects.name = '1-URGENT'"))
 
 
@@ -176,11 +176,11 @@ def property_to_objectid(spark: SparkSession, d: str) -> DataFrame:
     return modify.property_to_objects_field(modify.insert(ds, "properties", more), "objectid", "new").matches.select("id", "objectid")
 
 
-@query("SELECT objectid, (x1 - 5) / 2 AS x1, (y1 + 5) / 0.5 AS y1, width / 2 AS width FROM objects WHERE objectid % 3 = 0")
+@query("SELECT objectid, (x1 - 5) / 2 AS x1, (y1 + 5) / 0.5 AS y1, width / 2 AS width FROM objects")
 def revert_object_transforms(spark: SparkSession, d: str) -> DataFrame:
     ds = _ds(spark, d)
-    t = ds.objects.filter("objectid % 3 = 0").select("objectid", F.lit(2.0).alias("kx"), F.lit(0.5).alias("ky"), F.lit(5.0).alias("bx"), F.lit(-5.0).alias("by"))
-    return modify.revert_object_transforms(modify.update_object_transform(ds, t)).objects.filter("objectid % 3 = 0").select("objectid", "x1", "y1", "width")
+    t = ds.objects.select("objectid", F.lit(2.0).alias("kx"), F.lit(0.5).alias("ky"), F.lit(5.0).alias("bx"), F.lit(-5.0).alias("by"))
+    return modify.revert_object_transforms(modify.update_object_transform(ds, t)).objects.select("objectid", "x1", "y1", "width")
 
 
 @query(""", c AS (SELECT objectid, x1, o.width, i.width AS w, greatest(0, least(x1, i.width)) AS nx FROM objects o JOIN images i USING (imagefile))
