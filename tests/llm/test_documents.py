@@ -257,6 +257,37 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontaminate.drop_leaks(d, b).count() == 202 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_searches_a_benchmark_of_many_blocks_whole(spark, monkeypatch):
+    rnd = random.Random(16)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=40))) for k in range(20_001)]
+    taken = [0, 9_999, 19_999, 20_000]
+    d = spark.createDataFrame([(k, f"before {items[k][1]} after") for k in taken], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()) == [(k, k) for k in taken]
+    small = b.filter(F.col("item_id").isin(taken + [5, 6]))
+    once = sorted(map(tuple, decontaminate.leaks(d, small).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert sorted((r[0], r[1], r[3], r[4]) for r in decontaminate.leaks(d, small).collect()) == [(r[0], r[1], r[3], r[4]) for r in once]
+    assert decontaminate.drop_leaks(d, small).count() == 0
+
+
+def test_blocks_of_items_hold_all_within_bounds(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    rows = [(k, " ".join("x" * n) if n else None, None) for k, n in enumerate([1, 1, 1, 1, 5, 5, 20, 0, 10, 2])]
+    blocks = list(decontaminate.item_blocks(iter(rows)))
+    assert [[r[0] for r in b] for b in blocks] == [[0, 1, 2], [3, 4], [5], [6], [7, 8], [9]] and list(decontaminate.item_blocks([])) == [[]]
+
+
+def test_common_subsequence_of_long_items(monkeypatch):
+    rnd = random.Random(9)
+    cases = [[rnd.choices("abcdefgh", k=rnd.randint(1, 90)) for _ in range(2)] for _ in range(50)]
+    masked = [decontaminate.common_subsequence(decontaminate.bits_of(a), len(a), b) for a, b in cases]
+    monkeypatch.setattr(decontaminate, "MASKED_WORDS", 0)
+    assert masked == [decontaminate.common_subsequence(decontaminate.bits_of(a), len(a), b) for a, b in cases]
+
+
 def test_common_subsequence():
     rnd = random.Random(8)
     for _ in range(200):
