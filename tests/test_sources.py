@@ -62,6 +62,28 @@ def test_labelme_round_trip(spark, two, tmp_path):
     assert {(r.key, r.value) for r in ds.properties.collect()} == {("occluded", "true"), ("red", "true")} and ds.images.count() == 2
 
 
+def test_labelme_round_trip_keeps_all_objects(spark, two, tmp_path):
+    for r in exports.labelme_records(two, "f").collect():
+        (tmp_path / f"{r.file}.xml").write_text(r.text)
+    ds = imports.import_labelme(spark, str(tmp_path), "d")
+    assert [tuple(r) for r in ds.objects.orderBy("objectid").select("imagefile", "name", *BOX).collect()] == [("d/a.jpg", "car", 10.0, 5.0, 20.0, 10.0), ("d/a.jpg", "bus", 0.0, 0.0, 50.0, 50.0)]
+
+
+def test_exports_write_every_polygon_of_an_object(spark, two):
+    from xml.etree import ElementTree
+
+    rings = {"b": [(1, 1), (4, 1), (4, 4)], None: [(5, 5), (9, 5), (9, 9)], "a": [(20, 20), (30, 20), (30, 30), (20, 30)]}
+    rows = [(k, 1, float(x), float(y), name) for k, (name, x, y) in enumerate((name, x, y) for name, ring in rings.items() for x, y in ring)]
+    ds = two.with_(polygons=spark.createDataFrame(rows, "id long, objectid long, x double, y double, name string").repartition(3), objects=two.objects.union(spark.createDataFrame([(3, "d/a.jpg", None, None, None, None, "neither", None)], two.objects.schema)))
+    want = [[list(p) for p in rings[name]] for name in (None, "a", "b")]
+    box = [[0, 0], [50, 0], [50, 50], [0, 50]]
+    record = json.loads(exports.cityscapes_records(ds).filter(F.col("file") == "a").first()["text"])
+    assert [(o["label"], o["polygon"]) for o in record["objects"]] == [("car", ring) for ring in want] + [("bus", box)]
+    xml = ElementTree.fromstring(exports.labelme_records(ds, "f").filter(F.col("file") == "a").first()["text"])
+    got = {o.findtext("name"): [[[int(p.findtext("x")), int(p.findtext("y"))] for p in ring.findall("pt")] for ring in o.findall("polygon")] for o in xml.findall("object")}
+    assert got == {"car": want, "bus": [box]}
+
+
 def test_yolo_coco_cityscapes(spark, two, tmp_path):
     assert [tuple(r) for r in exports.yolo_lines(two, ["car", "bus"]).collect()] == [("a", "0 0.2 0.2 0.2 0.2\n1 0.25 0.5 0.5 1.0")]
     assert exports.yolo_lines(two, ["car"], as_polygons=True).first()["text"] == "0 0.1 0.1 0.3 0.1 0.3 0.3 0.1 0.3"
