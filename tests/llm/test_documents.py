@@ -272,6 +272,19 @@ def test_decontamination_searches_a_benchmark_of_many_blocks_whole(spark, monkey
     assert decontaminate.drop_leaks(d, small).count() == 0
 
 
+def test_decontamination_finds_exact_copies_of_short_items(spark):
+    rnd = random.Random(17)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(n))) for n in range(1, 16)]
+    filler = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    copies = [(100 * place + n, f"{filler(60 + place)} {t} {filler(60)}".strip()) for n, t in items for place in range(1, 9)]
+    copies += [(n, t) for n, t in items] + [(1000 + n, f"{t} {filler(40)}") for n, t in items] + [(1100 + n, f"{filler(40)} {t}") for n, t in items]
+    clean = [(5000 + k, filler(rnd.randint(1, 100))) for k in range(100)]
+    d = spark.createDataFrame([*copies, *clean], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted((i, i % 100) for i, _ in copies)
+
+
 def test_blocks_of_items_hold_all_within_bounds(monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
