@@ -285,6 +285,18 @@ def test_decontamination_finds_exact_copies_of_short_items(spark):
     assert got == sorted((i, i % 100) for i, _ in copies)
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_decontamination_fits_items_that_the_sample_lacks(spark, ids):
+    rnd = random.Random(18)
+    vocabulary = [f"word{k}" for k in range(300)]
+    filler = lambda: " ".join(rnd.choices(vocabulary, k=60))
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(40))) for n in range(6)]
+    texts = [f"{filler()} {t} {filler()}" for _, t in items] + [filler() for _ in range(600)]
+    d = spark.createDataFrame([({"null": None, "one": 7, "own": k}[ids], t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string"), fit_docs=30).collect()
+    assert sorted(r.item_id for r in got) == list(range(6))
+
+
 def test_blocks_of_items_hold_all_within_bounds(monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
