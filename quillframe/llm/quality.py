@@ -1,20 +1,21 @@
 """Quality classifier: importance resampling from hashed n-gram models of target and raw text.
 
 Two generative models over the same hashed n-grams are counted in one pass: the raw model over all documents, the target model over a
-bounded sample of labelled good ones (`fit_rows` labelled rows at most; quality 1 and not toxic; the model is trained on two thirds of the
-sample, the threshold is set on the rest). N-grams are single words (A-Z lower-cased, without a last full stop or comma) in 2**20 buckets,
-and pairs of neighbouring word shapes (length, case, last character, repetition of the one or two words before) in 2**16.
+bounded sample of labelled good ones (quality 1 and not toxic, of at most `fit_rows` labelled rows). N-grams are single words (A-Z
+lower-cased, without a last full stop or comma) in 2**20 buckets, and pairs of neighbouring word shapes (length, case, last character,
+repetition of the one or two words before) in 2**16.
 
-A bucket's log ratio is that of its target count to the count that the raw model expects, scaled so that the typical n-gram is at zero,
-shrunk by what chance explains, and only held against a text: what target and raw share, and what is merely rare, says nothing. A
-document's log weight is that of its weakest window of `window` words, so that one bad passage counts alike in short and long texts.
+A bucket's log ratio is that of its target count to the count that the raw model expects, scaled so that the typical n-gram is at zero, and
+drawn towards zero by what chance explains. A document's log weight is the sum of its n-grams' log ratios, for and against it: the log
+ratio of both models for the text, taken for `length` words at most (a longer text counts by its mean, so that length itself is neutral).
 
 Documents are sampled without replacement by Gumbel top-k: those with the k largest keys, log weight / temperature + Gumbel noise drawn
-from the id. k is given, or learned: the number of documents whose log weight reaches the threshold that best separates the held-out
-labelled rows. The k-th key is found by counting, digit by digit; documents that tie with it stay.
+from the id. k is given, or as many documents as the share of good ones among the labelled rows foretells. The k-th key is found by
+counting, digit by digit; documents that tie with it stay.
 
 Defined cases: null and empty texts have log weight 0. Rows that repeat an id each get their own weight, with the same noise. Labels of
-ids that several rows have count for each. Without labelled rows of both kinds, everything is kept. Other columns pass through.
+ids that several rows have count for each. Without labelled rows of both kinds, everything is kept. Columns may have any names; those named
+`__weight` and `__kept` are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
 from .storage import written
@@ -58,8 +60,8 @@ def ngram_buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (words >> np.uint64(44)).astype(np.int64), WORD_BUCKETS + before * SHAPES + shape, first
 
 
-def _counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """bucket, raw and target counts of (text, __target)."""
+def _counted(marked: DataFrame) -> DataFrame:
+    """bucket, raw and target counts of rows (text, target)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -76,12 +78,12 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
         for part in np.array_split(some, max(1, len(some) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(raw_counts[part]), pa.array(target[part])], names=["bucket", "raw", "target"])
 
-    counts = docs.select(text_col, "__target").mapInArrow(count, "bucket int, raw long, target long")
+    counts = marked.mapInArrow(count, "bucket int, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = 3.5) -> np.ndarray:
-    """What each bucket's n-grams say against a text: 0, or a negative log ratio."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = 4.5, prior: float = 0.3) -> np.ndarray:
+    """The log ratio of each bucket's n-grams, z standard deviations of chance nearer to 0."""
     out = np.zeros(len(raw))
     for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, None)):
         r, t = raw[part].astype(float), target[part].astype(float)
@@ -93,82 +95,55 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = 3.5) -> np.ndarra
         weight = np.cumsum(r[order])
         typical = order[np.searchsorted(weight, weight[-1] / 2)]
         expected = r * (t[typical] / r[typical] or t.sum() / r.sum())
-        ratio = np.log((t + 1) / (expected + 1))
-        out[part] = np.minimum(0, ratio + z / np.sqrt(expected + 1))
+        ratio = np.log((t + prior) / (expected + prior))
+        out[part] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - z / np.sqrt(expected + 1))
     return out
 
 
-def _weakest(values: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """For each document the least sum over `window` neighbouring values of it, or over all if it has fewer."""
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    lo, hi = first[:-1], first[1:]
-    whole = total[hi] - total[lo]
-    out = np.where(hi - lo <= window, whole, 0.0)
-    for d in np.flatnonzero(hi - lo > window):
-        out[d] = (total[lo[d] + window : hi[d] + 1] - total[lo[d] : hi[d] + 1 - window]).min()
-    return out
-
-
-def weighted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, window: int = 32) -> DataFrame:
-    """docs with __weight, the log weight, and __held, the label of held-out labelled rows (1 good, 0 not, else null)."""
-    spark = docs.sparkSession
+def _weighted(rows: DataFrame, labels: DataFrame, own_id: str, place: int, keep: list[str], fit_rows: int, length: int) -> tuple[DataFrame, float | None]:
+    """keep (columns of rows) and `weight` of each row; and the share of good ones among the labelled, None without both kinds."""
+    spark = rows.sparkSession
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     turn = F.xxhash64(F.lit("fit"), "doc_id")
-    sample = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("__good")).orderBy(turn).limit(fit_rows)
-    sample = written(sample.select(F.col("doc_id").alias("__id"), "__good", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0).alias("__holds")))
-    # at most fit_rows rows of 13 bytes
-    marked = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    trains = (F.coalesce("__good", F.lit(0)) == 1) & ~F.coalesce("__holds", F.lit(True))
-    counts = _counted(marked.select(F.col(text_col), trains.alias("__target")), text_col).toArrow()  # BUCKETS rows at most
+    sample = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")).orderBy(turn).limit(fit_rows)
+    sample = written(sample.select(F.col("doc_id").alias("label_id"), "good"))
+    seen, right = sample.agg(F.count("*"), F.sum("good")).first()
+    text = rows.columns[place]
+    # at most fit_rows rows of 12 bytes
+    marked = rows.select(own_id, text).join(F.broadcast(sample.filter("good = 1")), F.col(own_id) == F.col("label_id"), "left").select(text, F.col("label_id").isNotNull().alias("target"))
+    counts = _counted(marked).toArrow()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    place = counts["bucket"].to_numpy()
-    raw[place], target[place] = counts["raw"].to_numpy(), counts["target"].to_numpy()
+    at = counts["bucket"].to_numpy()
+    raw[at], target[at] = counts["raw"].to_numpy(), counts["target"].to_numpy()
     ratios = spark.sparkContext.broadcast(log_ratios(raw, target).astype(np.float32))
-
-    held = F.when(F.col("__holds"), F.col("__good"))
-    rows = marked.withColumn("__held", held).drop("__good", "__holds").withColumn("__weight", F.lit(0.0))
-    place_of_text = docs.columns.index(text_col)
+    kept_places = [rows.columns.index(c) for c in keep]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weights = np.zeros(b.num_rows)
-            for lo, hi, data, at in K.text_chunks(b.column(place_of_text)):
-                words, shapes, first = ngram_buckets(data, at)
-                against = ratios.value[words].astype(float) + ratios.value[shapes]
-                weights[lo:hi] = _weakest(against, first, window)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(weights)], schema=b.schema)
+            for lo, hi, data, offsets in K.text_chunks(b.column(place)):
+                words, shapes, first = ngram_buckets(data, offsets)
+                n = np.diff(first)
+                weights[lo:hi] = K.segment_sums(ratios.value[words].astype(float) + ratios.value[shapes], first) * (length / np.maximum(n, length))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept_places), pa.array(weights)], names=[*keep, "weight"])
 
-    return rows.mapInArrow(weigh, rows.schema)
-
-
-def best_threshold(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that separates good from other rows with the best mean of both accuracies; midway between the rows around it."""
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    bad_below = np.concatenate([[0], np.cumsum(~g)]) / max(1, (~g).sum())
-    good_above = 1 - np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    score = bad_below + good_above
-    score[1:-1][w[1:] == w[:-1]] = -1  # no cut between equal weights
-    cut = int(np.argmax(score))
-    return -np.inf if cut == 0 else np.inf if cut == len(w) else (w[cut - 1] + w[cut]) / 2
+    schema = StructType([*(rows.schema.fields[k] for k in kept_places), StructField("weight", DoubleType())])
+    return rows.mapInArrow(weigh, schema), right / seen if right and right < seen else None
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
-    """The k-th largest value of a long column, None if there are fewer; 11 counts of at most 64 digits, whatever the number of rows."""
+    """The k-th largest value of a long column, None if there are fewer; 6 counts of at most 2048 digits, whatever the number of rows."""
     if k <= 0:
         return None
     ordered = F.col(column).bitwiseXOR(F.lit(-(2**63)))  # as unsigned
     prefix, rest = 0, df.select(ordered.alias("u"))
-    for shift in range(60, -1, -6):
-        digit = F.shiftrightunsigned("u", shift).bitwiseAND(63)
+    for shift in range(55, -1, -11):
+        digit = F.shiftrightunsigned("u", shift).bitwiseAND(2047)
         counts = {r["digit"]: r["n"] for r in rest.groupBy(digit.alias("digit")).agg(F.count("*").alias("n")).collect()}
-        for d in range(63, -1, -1):
-            n = counts.get(d, 0)
-            if n >= k:
+        for d in sorted(counts, reverse=True):
+            if counts[d] >= k:
                 break
-            k -= n
+            k -= counts[d]
         else:
             return None
         prefix |= d << shift
@@ -176,23 +151,29 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = 0.1, **how: int) -> DataFrame:
-    """docs with __weight and __kept; docs must not have columns of these names, __id, __good, __held or __holds (keep_good takes any)."""
-    rows = weighted(docs, labels, id_col, text_col, **how)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), id_col), 11).cast("double") + 0.5) / float(1 << 53)
-    key = F.col("__weight") / temperature - F.log(-F.log(uniform))
-    keys = written(rows.select("__weight", "__held", F.floor(key * 1e6).cast("long").alias("key")))
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = 1.0, keep: list[str] | None = None, fit_rows: int = 50_000, length: int = 128) -> DataFrame:
+    """keep (columns; all of them by default) of docs with __weight, the log weight, and __kept, whether the sample has the row."""
+    numbered = [f"c{n}" for n in range(len(docs.columns))]  # by place, so that no name can clash
+    place = dict(zip(docs.columns, numbered, strict=True))
+    wanted = [c for c in (docs.columns if keep is None else keep) if c not in ("__weight", "__kept")]
+    own_id = place[id_col]
+    read = docs.toDF(*numbered)
+    columns = list(dict.fromkeys([*(place[c] for c in wanted), own_id]))
+    used = list(dict.fromkeys([*columns, place[text_col]]))
+    rows, share = _weighted(read.select(*used), labels, own_id, used.index(place[text_col]), columns, fit_rows, length)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), own_id), 11).cast("double") + 0.5) / float(1 << 53)
+    key = F.col("weight") / temperature - F.log(-F.log(uniform))
+    rows = written(rows.withColumn("key", F.floor(key * 1e6).cast("long")))
+    total = rows.count()
     if k is None:
-        held = keys.filter("__held is not null").select("__weight", "__held").toArrow()  # a part of the bounded sample
-        threshold = best_threshold(held["__weight"].to_numpy(), held["__held"].to_numpy() == 1)
-        k = keys.filter(F.col("__weight") >= threshold).count() if np.isfinite(threshold) else keys.count() if threshold < 0 else 0
-    cut = kth_largest(keys.select("key"), "key", k)
-    kept = F.lit(k > 0) if cut is None else F.floor(key * 1e6).cast("long") >= cut
-    return rows.drop("__held").withColumn("__kept", kept)
+        k = total if share is None else round(share * total)
+    cut = kth_largest(rows, "key", k)
+    kept = F.lit(k > 0) if cut is None else F.col("key") >= cut
+    return rows.select(*(F.col(place[c]).alias(c) for c in wanted), F.col("weight").alias("__weight"), kept.alias("__kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that the sampler takes; their columns may have any names."""
-    numbered = [f"c{k}" for k in range(len(docs.columns))]  # by place, so that no name can clash
+    numbered = [f"c{k}" for k in range(len(docs.columns))]
     place = dict(zip(docs.columns, numbered, strict=True))
     return resample(docs.toDF(*numbered), labels, place[id_col], place[text_col], **how).filter("__kept").select(*numbered).toDF(*docs.columns)

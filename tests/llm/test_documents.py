@@ -217,6 +217,56 @@ def test_quality_classifier_and_rules(spark):
     assert sum(judged[k].kept for k in range(300)) > 290 and not any(judged[k].kept for k in range(300, 360)) and judged[1000].base_failed
 
 
+def _shape(word, before, one, two):
+    last = next((n for n, chars in enumerate((".,", "!?", "#$%&*", "|", "0123456789", ")]}\"'>", ";:-_/\\"), 1) if word[-1] in chars), 0)
+    capitals = len(word) > 1 and word[0].isupper() and word[1].isupper()
+    return (last, capitals, word.lower().rstrip(".,") == one, word.lower().rstrip(".,") == two, min(len(word) // 6, 3))
+
+
+def test_importance_weights_equal_brute_force(spark):
+    """Counts of both models in dictionaries, and sums of log ratios word by word."""
+    rnd = random.Random(12)
+    plain = [f"plain{k}" for k in range(60)]
+    texts = [" ".join(rnd.choices(plain, k=rnd.randint(1, 200))) for _ in range(150)]
+    texts += [" ".join(w + "!!" if rnd.random() < 0.5 else "blockhead" for w in t.split(" ")) for t in texts[:40]] + ["", "Plain1. PLAIN2, plain2"]
+    labels = [(k, int(k < 150), 0) for k in range(0, 190, 2)]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.resample(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), length=50).collect()}
+    grams = {}
+    for k, t in enumerate(texts):
+        seen, own, shapes = [], [], []
+        for w in words(t):
+            shapes.append(_shape(w, None, seen[-1] if seen else None, seen[-2] if len(seen) > 1 else None))
+            seen.append(w.lower().rstrip(".,"))
+        grams[k] = [seen, list(zip([None, *shapes[:-1]], shapes))]
+    good = {k for k, q, _ in labels if q}
+    total = [0.0] * len(texts)
+    for part in (0, 1):
+        raw = collections.Counter(g for own in grams.values() for g in own[part])
+        target = collections.Counter(g for k in good for g in grams[k][part])
+        share = sum(target.values()) / sum(raw.values())
+        often = sorted((g for g in raw if raw[g] * share >= 20), key=lambda g: target[g] / raw[g])
+        weight, half = 0, sum(raw[g] for g in often) / 2
+        for g in often:
+            weight += raw[g]
+            if weight >= half:
+                typical = target[g] / raw[g]
+                break
+        for k, own in grams.items():
+            for g in own[part]:
+                e = raw[g] * typical
+                ratio = np.log((target[g] + 0.3) / (e + 0.3))
+                total[k] += np.sign(ratio) * max(0, abs(ratio) - 4.5 / np.sqrt(e + 1)) * 50 / max(50, len(own[part]))
+    assert len(got) == len(texts) + 1 and got[None]["__weight"] == 0
+    for k in range(len(texts)):
+        assert got[k]["__weight"] == pytest.approx(total[k], abs=1e-3), k
+    kept = sum(r["__kept"] for r in got.values())
+    assert kept == round(len(got) * len(good) / len(labels))
+    assert max(r["__weight"] for k, r in got.items() if k is not None and 150 <= k < 190) < min(r["__weight"] for k, r in got.items() if k is None or k < 150)
+    ten = quality.resample(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=10, temperature=1e9).filter("__kept").collect()
+    assert len(ten) == 10  # weights hardly count at this temperature
+
+
 def test_kth_largest(spark):
     values = [5, 5, -3, 2**62, -(2**63), 0, 2**63 - 1]
     df = spark.createDataFrame([(v,) for v in values], "v long")
