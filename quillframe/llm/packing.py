@@ -40,10 +40,10 @@ def _public(name: str) -> str:
 
 
 class Encoder:
-    """Ids of the byte-level BPE; special tokens' strings are ordinary text.
+    """Ids of the byte-level BPE as the tokenizers library gives them, a special token's string in a text being that token.
 
-    The rank table is the same vocabulary and several times as fast; texts with other characters than those above, or that it fails on,
-    go to the tokenizers library.
+    The rank table is the same vocabulary and several times as fast; texts with other characters than those above, or with a special
+    token's string, go to the tokenizers library.
     """
 
     _made: Encoder | None = None
@@ -52,7 +52,8 @@ class Encoder:
         import public_tokenizers
 
         self.full = Tokenizer.from_file(_public("byte_bpe_50k.json"))
-        self.full.encode_special_tokens = True
+        added = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join([*map(re.escape, added), _SAME_CLASSES.pattern]))
         with open(_public("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -66,7 +67,7 @@ class Encoder:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _SAME_CLASSES.search(text):
+        if self.special.search(text):
             return self.plain(text)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
