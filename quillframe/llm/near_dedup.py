@@ -15,9 +15,9 @@ its whole sequence as one shingle, a text without words the empty set, which is
    meet all others in blocks of bounded size, sketch against sketch. First each sends only its nearest one to be confirmed; then, in
    the components this leaves, all pairs that are near and not joined are. No candidate that could join two components is passed over.
 
-Defined cases: a null text is empty. Null ids get a stand-in above all real ids, made from the text, and are null again in the result.
-Rows that repeat an id with one text are one document; with different texts each text is searched by itself. Other columns are not
-read; results have the columns named here only.
+Defined cases: a null text is empty. A row with a null id can't be named as a partner or as a component: it is linked with nothing, its
+component is null, and it is kept. Rows that repeat an id with one text are one document; with different texts each text is searched by
+itself. Other columns are not read; results have the columns named here only.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ from .storage import written
 SKETCH_BITS, SAMPLES = 2048, 1024
 #: Members of a bucket that meet in one block.
 BLOCK = 4096
-STAND_IN = 1 << 62
 _SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
@@ -123,12 +122,6 @@ def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stand_in = F.xxhash64(text).bitwiseAND(STAND_IN - 1) + F.lit(STAND_IN)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id"), F.col(text_col).alias("text"))
-
-
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """id, n (size of the set), name (its hash), keys and sketch words of each row of (id, text)."""
     schema = "id long, n long, name long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
@@ -238,8 +231,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, bands: int = 24, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept (whether that is itself) for each row."""
-    docs = _identified(docs, id_col, text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, words, bands, rows))
+    every, signed = signed, signed.filter("id is not null and n > 0")
     # all copies of a set share all its keys, so the smallest id is the same in each of its buckets
     filed = signed.select(F.explode("keys").alias("key"), "name", "id").groupBy("key", "name").agg(F.min("id").alias("node")).select("key", "node").distinct()
     sizes = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -248,8 +242,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     members = written(members.join(company, "node").select("key", "node", "company"))
     wanted = company.select(F.col("node").alias("id"))
     nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", *_SKETCH).dropDuplicates(["node", "name"]))
-    sets = written(full_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
-    centres = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("c")).select("key", (-F.col("c.node")).alias("v"))
+    sets = written(full_sets(docs.filter("id is not null").join(wanted.hint("merge"), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
+    centres = members.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("others"), "node")).alias("c")).select("key", F.col("c.node").alias("v"))
     star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     links = written(_confirmed(_near(star, nodes, percent), sets, percent))
     labels = written(components(links))
@@ -263,11 +257,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         over = written(components(joined)).select(F.col("node").alias("comp"), F.col("comp").alias("over"))
         lone = over.join(labels, over["comp"] == labels["node"], "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
         labels = written(labels.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")).union(lone))
-    names = signed.filter("n > 0").groupBy("name").agg(F.min("id").alias("node"))
-    mine = signed.select("id", "n", "name").join(names, "name", "left").join(labels, "node", "left")
-    comp = F.coalesce("comp", "node", "id")
-    real = lambda c: F.when(c < STAND_IN, c)
-    return mine.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
+    # only sets that several documents have need a look for the smallest id; as tables, both sides of each join can be split where a key is hot
+    shared = written(signed.groupBy("name").agg(F.min("id").alias("node"), F.max("id").alias("last")).filter("node < last").select("name", "node"))
+    mine = signed.select("id", "n", "name").join(shared, "name", "left").select("id", "n", F.coalesce("node", "id").alias("node"))
+    found = mine.join(labels, "node", "left").select("id", "n", F.coalesce("comp", "node").alias("comp"))
+    alone = every.filter("id is null or n = 0").select("id", "n", F.col("id").alias("comp"))
+    return found.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:

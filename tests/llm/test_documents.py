@@ -80,12 +80,25 @@ def test_near_dedup_equals_all_pairs(docs, corpus):
     got = near_dedup.groups(docs).collect()
     assert len(got) == len(corpus)
     for r in got:
-        if r.doc_id is not None:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} - {None} == set(expected.values())
 
 
+def test_near_dedup_takes_ids_of_any_size(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    ids = [-(2**63), -5, 0, 2**62, 2**62 + 1, 2**63 - 1]
+    rows = [(i, f"{text} tail{k % 2}") for k, i in enumerate(ids)] + [(2**63 - 2, "something else altogether")] + [(None, f"{text} tail0"), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.groups(d).filter("doc_id is not null").collect()}
+    assert got == {i: (ids[0], i == ids[0]) for i in ids} | {2**63 - 2: (2**63 - 2, True)}
+    assert sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_copies(d).collect()), key=repr) == sorted([rows[0], *rows[6:]], key=repr)
+    assert near_dedup.groups(d.limit(0)).count() == 0 and near_dedup.groups(d.filter("doc_id is null")).count() == 2
+
+
 def test_sketch_bound_holds_for_linked_sets():
     random_ = np.random.default_rng(1)
     for size in (20, 300, 3000):
@@ -124,15 +137,25 @@ def test_line_dedup_keeps_columns(docs, corpus):
     assert sum("A SHARED LINE" in (r.text or "").upper() for r in out.collect()) == 1
 
 
-def test_packing_places_every_token_once(docs, corpus):
-    got = packing.pack(docs, capacity=64).collect()
-    encode = packing.Encoder.shared()
-    streams = sorted((zlib.crc32(np.append(encode.plain(t or ""), 2).astype("<u4").tobytes()), i) for i, t in corpus if i is not None and i != 3)
+@pytest.fixture(scope="module")
+def tokenized():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda t: np.append(np.array(fresh.encode(t or "", add_special_tokens=False).ids, np.uint32), np.uint32(2)).astype("<u4")
+
+
+def test_packing_places_every_token_once(spark, docs, corpus, tokenized):
+    odd = [(700, "ends<|endoftext|>here"), (701, "<|endoftext|>"), (702, "<|endoftext|> é 字 <|endoftext|" * 30)]
+    got = packing.pack(docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")), capacity=64).collect()
+    assert 50256 in tokenized(odd[0][1])
+    texts = {i: t for i, t in [*corpus, *odd] if i is not None and i != 3}
     pieces = collections.defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
-    for _, i in streams:
-        ids = np.append(encode.plain(dict(corpus)[i] or ""), 2).astype("<u4")
+    for i, t in texts.items():
+        ids = tokenized(t)
         own = sorted(pieces[i], key=lambda r: r.piece)
         assert [r.start for r in own] == list(np.cumsum([0] + [r.length for r in own[:-1]])) and sum(r.length for r in own) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own) and all(r.length == 64 for r in own[1:])
@@ -162,13 +185,13 @@ def test_best_two_fit_uses_every_length():
         assert used == lengths
 
 
-def test_encoders_agree():
+def test_encoders_agree(tokenized):
     rnd = random.Random(3)
-    chars = [chr(k) for k in range(0x180)] + ["€", "…", "’", "—", "字", "😀", "\u2028"]
+    chars = [chr(k) for k in range(0x180)] + ["€", "…", "’", "—", "字", "😀", "\u2028", "<|endoftext|>", "<|"]
     encode = packing.Encoder.shared()
     for _ in range(500):
         t = "".join(rnd.choices(chars, k=rnd.randint(0, 30)))
-        assert np.array_equal(encode(t), encode.plain(t)), repr(t)
+        assert np.array_equal(encode(t), tokenized(t)[:-1]), repr(t)
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -47,8 +47,7 @@ def test_main_text_of_pages_of_other_layouts():
     for _ in range(400):
         page, main = _page(rnd)
         got = html_text.main_text(page, tree).split("\n")
-        wanted, kept, right = wanted + len(main), kept + len(got), right + len(set(got) & {re.sub(r"(?<=\S) (?=<)", " ", t) for t in main})
-    print(right / wanted, right / kept)
+        wanted, kept, right = wanted + len(main), kept + len(got), right + len(set(got) & set(main))
     assert right >= 0.95 * wanted and right >= 0.95 * kept
 
 
