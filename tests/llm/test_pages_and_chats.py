@@ -4,9 +4,11 @@ import hashlib
 import random
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from quillframe.llm import chat_format, html_text
+from quillframe.llm import chat_format, html_text, queries
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class="ad">Buy <b>this</b> now, it is very good indeed</div>
 <article><h1>Head &amp; line</h1><p>First   paragraph<p>Second <i>one</i>&nbsp;here<div id="comments"><p>I liked it a lot</div><script>var t="</p>";</script></article><footer>&copy; me</footer>"""
@@ -75,8 +77,14 @@ def test_escaping_is_reversible():
         text = "".join(rnd.choices(parts, k=rnd.randint(0, 10)))
         escaped = t.escape(text)
         assert t.unescape(escaped) == text and not any(c in escaped for c in t.controls)
-        for role in ("system", "user", "assistant", "tool", "", "[TEXT]"):
-            assert t.read("".join(s for s, _ in t.segments(role, text))) == (role, text)
+    for _ in range(300):
+        turns = [(rnd.choice(("system", "user", "assistant", "tool", "", "[TEXT]", "<s> ")), "".join(rnd.choices(parts, k=rnd.randint(0, 10)))) for _ in range(rnd.randint(0, 6))]
+        whole = "".join(s for role, text in turns for s, _ in t.segments(role, text))
+        for step in (1, 7, 10_000):
+            reader = t.reader()
+            assert [x for k in range(0, len(whole), step) for x in reader.feed(whole[k : k + step])] == turns and reader.done
+    with pytest.raises(ValueError):
+        list(t.reader().feed("no mark"))
 
 
 def test_conversations(spark):
@@ -90,3 +98,23 @@ def test_conversations(spark):
     assert chat_format.digests(d.limit(0)).count() == 0
     turns = chat_format.format_turns(d).filter("conv_id = 1").orderBy("n").collect()
     assert [[s.loss for s in r.segments] for r in turns] == [[False] * 3, [False] * 3, [False, True, False]]
+
+
+def test_query_equals_brute_force(spark):
+    """Every conversation of the smallest table, and the one of control strings."""
+    sf, expected = "/root/testdata/sf0.001", {}
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for conv, _, role, text in sorted([*rows, *queries._TRICKY], key=lambda r: (r[0], r[1])):
+        own = expected.setdefault(conv, [0, "", ""])
+        expected[conv] = [own[0] + 1, f"{own[1]}{role}\n{text or ''}\n", own[2] + ((text or "") if role == "assistant" else "")]
+    hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op1_chat_format(spark, sf).collect()}
+    assert -1 in got and got == {k: (n, hexed(said), len(lost), hexed(lost)) for k, (n, said, lost) in expected.items()}
+
+
+def test_a_long_conversation_of_one_key(spark):
+    turns = 20_000
+    d = spark.range(turns).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> said "), F.col("id")).alias("text"))
+    got = chat_format.digests(d).collect()
+    said = "".join(f"{'assistant' if k % 2 else 'user'}\n</s> said {k}\n" for k in range(turns))
+    assert len(got) == 1 and got[0].n_turns == turns and got[0].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[0].valid
