@@ -1,12 +1,13 @@
 """URL filters: pattern rules that URL tokens fetch from an index.
 
 Each rule has a literal part; its index token is the one of its whole literal tokens that is rarest among the tokens of all URLs at hand.
-A URL's own tokens fetch the rules filed under them, and only those rules run their regular expressions. Everything is DataFrame
-expressions: the index is a map column expression, so there is no shuffle but the small one that counts the rules' tokens.
+The index is a table of tokens and rules. The URLs' own tokens are joined with it, and only the rules that this fetches run their regular
+expressions. Spark broadcasts the index while it is small, and else joins by sorting; so there may be any number of rules. Each distinct
+URL is judged once, and its verdict joined to its rows.
 
-The rules are a parameter of the job and bounded by `MAX_RULES`; the bound is checked. Defined cases: a null URL, or one without
-`://`, has empty host and path and matches no rule. Rows that repeat a URL are judged alike, each by itself. Among rules that match,
-site rules (a host with its subdomains and a path prefix) come before patterns, and the longest wins; ties go to the first in the list.
+Defined cases: a null URL, or one without `://`, has empty host and path and matches no rule. Rows that repeat a URL are judged alike.
+Rules without tokens are tried on every URL. Among rules that match, site rules (a host with its subdomains and a path prefix) come before
+patterns, and the longest wins; ties go to the first in the list. Columns may have any names; those that `judge` makes are replaced.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
+from .storage import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[^a-z0-9]+"
 
@@ -66,40 +68,38 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.translate(text, UPPER, LOWER), TOKEN), lambda t: t != ""))
 
 
-def index_tokens(urls: DataFrame, text: Column, rules: list[Rule]) -> list[str]:
-    """For each rule, its token that the fewest URLs have; the first of them on a tie."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return ["" for _ in rules]
-    counts = urls.select(F.explode(F.array_intersect(_tokens(text), F.array(*map(F.lit, wanted)))).alias("token")).groupBy("token").count()
-    seen = {r["token"]: r["count"] for r in counts.collect()}  # no more rows than the rules have tokens
-    return [min(r.tokens, key=lambda t: seen.get(t, 0)) if r.tokens else "" for r in rules]
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """One row for each rule; place is its place in the list."""
+    rows = [(i, r.site, len(r.name), r.name, r.verdict, r.regex, list(dict.fromkeys(r.tokens))) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "place int, site boolean, length int, name string, verdict string, regex string, tokens array<string>")
+
+
+def index_of(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rules by `token`: of each rule's tokens the one that the fewest of the URLs' tokens (a column `token`) equal, the first of them on a tie; the empty token for a rule without tokens."""
+    own = rules.select("place", F.posexplode("tokens").alias("nth", "token"))
+    counts = tokens.join(own.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("seen"))
+    rarest = own.join(counts, "token", "left").groupBy("place").agg(F.min_by("token", F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "nth")).alias("token"))
+    return rules.drop("tokens").join(rarest, "place", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule (the site rule that decided, or null), pattern (the pattern that did, or null) and verdict; columns of these names are replaced."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; this index is for at most {MAX_RULES}")
-    url = F.col(url_col)
-    text = F.concat(host_of(url), path_of(url))
-    fields = [F.struct(F.lit(r.site).alias("site"), F.lit(len(r.name)).alias("length"), F.lit(-i).alias("place"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex")) for i, r in enumerate(rules)]
-    if not rules:
-        return pages.withColumns({"host": host_of(url), "path": path_of(url), "rule": F.lit(None).cast("string"), "pattern": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    filed: dict[str, list[Column]] = {}
-    for token, field in zip(index_tokens(pages.select(url_col), text, rules), fields, strict=True):
-        filed.setdefault(token, []).append(field)
-    index = F.create_map(*(x for token, own in filed.items() for x in (F.lit(token), F.array(*own))))
-    fetched = F.flatten(F.transform(F.array_intersect(F.concat(_tokens(text), F.array(F.lit(""))), F.array(*map(F.lit, filed))), lambda t: index[t]))
-    matching = F.filter(fetched, lambda r: F.regexp_like(text, r["regex"]))
-    best = F.array_max(matching)
-    made = pages.withColumns({"host": host_of(url), "path": path_of(url), "__best": best})
-    return made.withColumns(
-        {
-            "rule": F.when(F.col("__best.site"), F.col("__best.name")),
-            "pattern": F.when(~F.col("__best.site"), F.col("__best.name")),
-            "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default)),
-        }
-    ).drop("__best")
+    """pages with host, path, rule (the site rule that decided, or null), pattern (the pattern that did, or null) and verdict."""
+    made = ("host", "path", "rule", "pattern", "verdict")
+    numbered = [f"c{k}" for k in range(len(pages.columns))]  # by place, so that no name can clash
+    url = F.col(numbered[pages.columns.index(url_col)])
+    read = pages.toDF(*numbered).withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("text", F.concat("host", "path"))
+    texts = read.select("text").filter("text <> ''").distinct()
+    table = rule_table(pages.sparkSession, rules)
+    asked = texts.select("text", F.explode(F.concat(_tokens(F.col("text")), F.array(F.lit("")))).alias("token"))
+    index = written(index_of(table, asked.select("token")))
+    matching = asked.join(index, "token").filter(F.regexp_like("text", F.col("regex")))
+    first = F.struct("site", "length", (-F.col("place")).alias("turn"))
+    # as a table its size is known: broadcast while small, else joined by sorting, with hot URLs split
+    best = written(matching.groupBy("text").agg(F.max_by(F.struct("site", "name", "verdict"), first).alias("best")).select("text", "best.*"))
+    kept = [F.col(n).alias(c) for n, c in zip(numbered, pages.columns, strict=True) if c not in made]
+    return read.join(best, "text", "left").select(
+        *kept, "host", "path", F.when(F.col("site"), F.col("name")).alias("rule"), F.when(~F.col("site"), F.col("name")).alias("pattern"), F.coalesce("verdict", F.lit(default)).alias("verdict")
+    )
 
 
 def sql(rules: list[Rule] = RULES) -> str:

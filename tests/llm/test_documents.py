@@ -398,8 +398,24 @@ def test_common_subsequence():
 
 
 def test_url_rules(spark):
-    urls = ["http://a.example.org/es/x", "http://example.org/es", "HTTP://EXAMPLE.ORG/en/14?q", "https://b.org/z", "http://c.com/fr/", "http://c.com/de/x#y", "http://c.com?x=/de/", "no scheme", None, "http://cheap-pills.net/", "http://notcheap-pillsy.net/", "http://x.net/a://b", "http://com/fr/"]
-    rows = url_filter.judge(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")).orderBy("page_id").collect()
-    assert [r.rule for r in rows] == ["example.org/es/", None, "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, None, None, None, "com/fr/"] or rows[1].rule == "org/"
-    assert [r.verdict for r in rows[2:]] == ["block", "allow", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow", "allow"]
+    urls = ["http://a.example.org/es/x", "http://example.org/es", "HTTP://EXAMPLE.ORG/en/14?q", "https://b.org/z", "http://c.com/fr/", "http://c.com/de/x#y", "http://c.com?x=/de/", "no scheme", None, "http://cheap-pills.net/", "http://notcheap-pillsy.net/", "http://x.net/a://b", "http://com/fr/", "http://b.org/" + "x/" * 50_000]
+    d = spark.createDataFrame([(k, u, "h", "mine") for k, u in enumerate(urls)] + [(3, urls[3], "h", "mine")], "page_id long, url string, host string, token string")
+    rows = url_filter.judge(d).orderBy("page_id").collect()
+    assert len(rows) == len(urls) + 1 and {r.token for r in rows} == {"mine"} and tuple(rows[3]) == tuple(rows.pop(4))
+    assert [r.rule for r in rows] == ["example.org/es/", "org/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, None, None, None, "com/fr/", "org/"]
+    assert [r.verdict for r in rows[2:]] == ["block", "allow", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
     assert rows[6].host == "c.com" and rows[6].path == "" and rows[11].path == "/a://b"
+    assert url_filter.judge(d.limit(0)).count() == 0 and {r.verdict for r in url_filter.judge(d, []).collect()} == {"allow"}
+
+
+def test_url_index_equals_every_rule_on_every_url(spark):
+    rnd = random.Random(21)
+    hosts = [f"{a}.{b}.{c}" for a in ("www", "m", "x-y") for b in ("one", "two", "spam-farm", "three") for c in ("org", "com")] + ["org", "casino.net"]
+    urls = [f"http://{rnd.choice(hosts)}/{'/'.join(rnd.choices(['en', 'de', 'a1', '7', ''], k=rnd.randint(0, 4)))}" for _ in range(300)]
+    rules_ = [url_filter.site_rule(f"{rnd.choice(hosts[:8])[rnd.choice((0, 2)):].lstrip('.')}/{rnd.choice(['', 'en', 'de/', 'e', 'a1/7'])}", rnd.choice(("allow", "block"))) for _ in range(40)]
+    rules_ += [url_filter.host_pattern(w) for w in ("spam-farm", "casino", "y", "absent")] + [url_filter.Rule("any seven", "block", "7$", ())]
+    for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules_).collect():
+        text = r.host + r.path
+        fits = [(x.site, len(x.name), -k, x) for k, x in enumerate(rules_) if re.search(x.regex, text)]
+        best = max(fits, key=lambda f: f[:3])[3] if fits else None
+        assert (r.rule or r.pattern, r.verdict) == ((best.name, best.verdict) if best else (None, "allow")), text
