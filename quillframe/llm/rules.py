@@ -150,8 +150,8 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> list[Test]:
     return rule
 
 
-def learn(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, max_rules: int = 16) -> list[list[Test]]:
-    """Rules in order; a row that one of them covers is of low quality. Every third row is for pruning; a rule that is not precise there is grown anew with other thirds before covering ends."""
+def learn(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95) -> list[list[Test]]:
+    """Rules in order; a row that one of them covers is of low quality. Every third row is for pruning; a rule that is not precise there is grown anew with other thirds before covering ends. Each rule covers rows that no other does, so it ends."""
     rules: list[list[Test]] = []
     left, third = np.ones(len(bad), bool), np.arange(len(bad)) % 3
     part = lambda rows: {k: v[rows] for k, v in table.items()}
@@ -173,7 +173,7 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95
                 return rule
         return None
 
-    while len(rules) < max_rules and (rule := grown()):
+    while rule := grown():
         rules.append(rule)
         left &= ~_covers(rule, table)
     return rules
