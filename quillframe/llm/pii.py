@@ -1,10 +1,10 @@
 """Personal data: rule-based seeds, then contextual patterns bootstrapped from them.
 
 Seeds are matches of the four base rules (e-mail, IPv4, payment card, phone). The words before a seed make lexical patterns (the last
-word, the last two words). Patterns and instances form a bipartite graph: a pattern's confidence for a kind is the mean score of the
+word, the last two words, as far as they lie in the CONTEXT_CHARS code points before it). Patterns and instances form a bipartite graph: a pattern's confidence for a kind is the mean score of the
 distinct instances that it extracts, an instance's score is the noisy-or of its patterns' confidences; seeds stay at 1 for their kind
 and 0 for others. After a few rounds, confident patterns with enough distinct seeds add the identifiers they extract that no base rule
-saw: words with an `@` or at least four digits. Base spans never go.
+saw: words with an `@` or at least four digits, groups of digits with single spaces or hyphens between them being one. Base spans never go.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. Regular expressions are written with single-character
 loops and look-behinds, so that they need neither deep stacks nor quadratic time on very long runs; what they accept is stated beside
@@ -30,8 +30,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){13})[0-9](?:[0-9 -](?<![ -][ -]))*(?<=[0-9])"
 #: \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: words with four digits or an @
-IDENTIFIER = r"(?<![^ \t-\r])(?=[^ \t-\r@]*+@|(?:[^ \t-\r0-9]*+[0-9]){4})[^ \t-\r]++"
+#: groups of digits, or words with four digits or an @
+IDENTIFIER = r"(?<![^ \t-\r])(?:(?=[0-9](?:[ -]?[0-9]){3})[0-9](?:[0-9 -](?<![ -][ -]))*(?<=[0-9])(?![^ \t-\r.,;:!?)])|(?=[^ \t-\r@]*+@|(?:[^ \t-\r0-9]*+[0-9]){4})[^ \t-\r]++)"
 CONTEXT_CHARS = 64
 _SPANS = "array<struct<start:int,end:int,hit:string,gap:string>>"
 
@@ -44,12 +44,16 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def spans_of(text: str, pattern: str, gap: str = "''") -> str:
-    """SQL for all leftmost non-overlapping matches with their places; `gap` may use g, the text since the match before.
+def spans_of(text: str, pattern: str) -> str:
+    """SQL for all leftmost non-overlapping matches: their places and, as `gap`, the CONTEXT_CHARS code points before them.
 
-    Places are running sums of lengths, taken in blocks of 256 matches, so that arrays which grow stay short.
+    Places are running sums of lengths, taken in blocks of 256 matches, so that arrays which grow stay short. The text before a match is
+    put together from the last matches and what lies between them, so that long texts of many matches are not cut up again and again;
+    so many matches hold CONTEXT_CHARS code points or reach back to the text's begin, as a match has two code points at least.
     """
-    hits = f"zip_with(slice(split({text}, {_literal(pattern)}, -1), 1, size(f)), f, (g, h) -> named_struct('gap', {gap}, 'skip', char_length(g), 'hit', h))"
+    near = f"array_join(transform(slice(y, greatest(1, i + 1 - {CONTEXT_CHARS // 2}), least(i, {CONTEXT_CHARS // 2})), v -> v.both), '')"
+    pieces = f"zip_with(slice(split({text}, {_literal(pattern)}, -1), 1, size(f)), f, (g, h) -> named_struct('lead', right(g, {CONTEXT_CHARS}), 'both', right(concat(right(g, {CONTEXT_CHARS}), h), {CONTEXT_CHARS}), 'skip', char_length(g), 'hit', h))"
+    hits = f"{_let('y', pieces, f"transform(y, (x, i) -> named_struct('gap', right(concat({near}, x.lead), {CONTEXT_CHARS}), 'skip', x.skip, 'hit', x.hit))")}"
     block = f"""aggregate(slice(z, 256 * i + 1, 256), named_struct('at', 0, 'out', cast(array() as {_SPANS})),
         (s, x) -> named_struct('at', s.at + x.skip + char_length(x.hit), 'out',
             concat(s.out, cast(array(named_struct('start', s.at + x.skip, 'end', s.at + x.skip + char_length(x.hit), 'hit', x.hit, 'gap', x.gap)) as {_SPANS}))))"""
@@ -82,21 +86,21 @@ def _context(text: str) -> str:
 
 
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __base: start, end, kind (its place in KINDS) and hit of each base match."""
+    """docs with __base: start, end, kind (its place in KINDS), hit and gap (the text before) of each base match."""
     out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__digit", F.expr("rlike(__text, '[0-9]')"))
     kinds = []
     for n, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)):
-        found = f"transform(filter({spans_of('__text', pattern)}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind', {n}, 'end', x.end, 'hit', x.hit))"
-        kinds.append(f"case when {_GUARD[kind]} then {found} else cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>) end")
+        found = f"transform(filter({spans_of('__text', pattern)}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind', {n}, 'end', x.end, 'hit', x.hit, 'gap', x.gap))"
+        kinds.append(f"case when {_GUARD[kind]} then {found} else cast(array() as array<struct<start:int,kind:int,end:int,hit:string,gap:string>>) end")
     return out.withColumn("__base", F.expr(f"concat({', '.join(kinds)})"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """__seen: every base match and every other identifier of a text, with the words before it."""
-    seeds = f"transform(__base, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'kind', x.kind, 'words', {_context('substr(__text, greatest(1, x.start + 1 - 64), least(x.start, 64))')}))"
+    seeds = f"transform(__base, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'kind', x.kind, 'words', {_context('x.gap')}))"
     lead = "(char_length(t.hit) - char_length(ltrim('(<[\"', t.hit)))"
     hit = "rtrim('.,;:!?)>]\"', ltrim('(<[\"', t.hit))"
-    tokens = f"transform({spans_of('__text', IDENTIFIER, f'right(g, {CONTEXT_CHARS})')}, t -> named_struct('start', t.start + {lead}, 'end', t.start + {lead} + char_length({hit}), 'hit', {hit}, 'kind', cast(null as int), 'words', {_context('t.gap')}))"
+    tokens = f"transform({spans_of('__text', IDENTIFIER)}, t -> named_struct('start', t.start + {lead}, 'end', t.start + {lead} + char_length({hit}), 'hit', {hit}, 'kind', cast(null as int), 'words', {_context('t.gap')}))"
     unseen = f"filter({tokens}, t -> char_length(t.hit) >= 6 and (contains(t.hit, '@') or char_length(regexp_replace(t.hit, '[^0-9]', '')) >= 4) and not exists(flatten(slice(m, t.start div 4096 + 1, (t.end - 1) div 4096 - t.start div 4096 + 1)), b -> b.start < t.end and t.start < b.end))"
     by_place = "transform(sequence(0, char_length(__text) div 4096), i -> filter(__base, b -> b.start < 4096 * (i + 1) and b.end > 4096 * i))"
     unseen = _let("m", by_place, unseen)
@@ -127,7 +131,7 @@ def accepted(seen: DataFrame, rounds: int, confidence: float, min_seeds: int) ->
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confidence: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """doc_id, base and added for each row of docs: arrays of (start, kind, end), kind being a place in KINDS, by start and kind."""
-    key = F.xxhash64(id_col, "__text")
+    key = F.unhex(F.md5(F.concat_ws("\0", id_col, "__text")))
     slim = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     table = written(_occurrences(base_spans(docs.select(id_col, text_col), text_col)).select(F.col(id_col).alias("doc_id"), key.alias("key"), slim(F.col("__base")).alias("base"), F.col("__seen").alias("seen")))
     seen = table.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.hit", "s.kind", F.explode(_patterns(F.col("s.words"))).alias("pattern"))

@@ -219,6 +219,63 @@ def test_pii_base_and_bootstrapping(spark):
     told = [(k, f"my account number: user{k}@mail.example.com then") for k in range(20)] + [(99, "my account number: QX-99812-77 then")]
     found = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(told, "doc_id long, text string")).collect()}
     assert found[99] == "email:19:30"
+    told = [(k, f"call 1234567 or Tel +1 (988) 555-{2000 + k} now") for k in range(20)] + [(97, "Tel 0301 2345678 now"), (98, "id 77-1234 Tel 030-2345678, 99"), (96, "x" * 5000 + " Tel 030 23 45 678."), (95, "2345678 0301"), (94, None), (93, "")]
+    d = spark.createDataFrame(told, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("__text", "key", "base", "seen", "kind")})
+    found = {r.doc_id: r.spans for r in pii.digests(d).collect()}
+    assert [found[k] for k in (97, 98, 96, 95, 94, 93)] == ["phone:4:16", "phone:15:26", "phone:5005:5018", "", "", ""]
+    assert pii.digests(d.limit(0)).count() == 0
+
+
+def test_pii_patterns_equal_brute_force(spark):
+    """Patterns, instances and their scores in dictionaries, from the added spans' definition."""
+    rnd = random.Random(31)
+    leads = ["mail to", "write", "account", "call", "server at", "ref", "see page"]
+    rows = []
+    for k in range(250):
+        said = []
+        for _ in range(rnd.randint(1, 6)):
+            lead = rnd.choice(leads)
+            kind = {"mail to": "email", "write": rnd.choice(("email", "id")), "account": rnd.choice(("email", "id")), "call": rnd.choice(("phone", "id")), "server at": rnd.choice(("ip", "id")), "ref": "id", "see page": "id"}[lead] if rnd.random() < 0.9 else "id"
+            n = rnd.randint(0, 60)
+            said.append(f"{lead} {dict(email=f'u{n}@m.org', phone=f'+49 170 55{n:05}', ip=f'10.0.{n}.7', id=f'N{n:05}K')[kind]} etc")
+        rows.append((k, " so ".join(said)))
+    got = {r.doc_id: (r.base, r.added) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = []  # doc, start, end, hit, kind, pattern
+    for k, t in rows:
+        base = [(s[0], s[1], s[2], t[s[0] : s[2]]) for s in got[k][0]]
+        for m in re.finditer(r"[^ ]+", t):
+            if re.fullmatch(r"N\d{5}K", m[0]):
+                base.append((m.start(), None, m.end(), m[0]))
+        for start, kind, end, hit in base:
+            before = t[max(0, start - 64) : start].lower().split()
+            for n in (1, 2):
+                if len(before) >= n:
+                    seen.append((k, start, end, hit, kind, " ".join(before[-n:])))
+    edges = {(p, h): kind for _, _, _, h, kind, p in seen}
+    counts = collections.Counter((p, kind) for (p, h), kind in edges.items() if kind is not None)
+    support = {x for x, n in counts.items() if n >= 5}
+    usable = {p for p, _ in support}
+    edges = {(p, h): kind for (p, h), kind in edges.items() if p in usable}
+    instances = collections.Counter(p for p, _ in edges)
+    scores = {(h, kind): 1.0 for (_, h), kind in edges.items() if kind is not None}
+    seeds = dict(scores)
+    for _ in range(3):
+        trust = {(p, kind): sum(s for (h, kk), s in scores.items() if kk == kind and (p, h) in edges) / instances[p] for p, kind in support}
+        lost = collections.defaultdict(lambda: 1.0)
+        for (p, h), kind in edges.items():
+            if kind is None:
+                for (pp, kk), x in trust.items():
+                    if pp == p:
+                        lost[h, kk] *= max(1e-9, 1 - x)
+        found = {x: 1 - v for x, v in lost.items()}
+        scores = seeds | found
+    want = collections.defaultdict(set)
+    for k, start, end, hit, kind, p in seen:
+        for kk in range(4):
+            if kind is None and trust.get((p, kk), 0) >= 0.8 and found.get((hit, kk), 0) >= 0.8:
+                want[k].add((start, kk, end))
+    assert sum(map(len, want.values())) > 10
+    assert {k: sorted(tuple(s) for s in added) for k, (_, added) in got.items()} == {k: sorted(want[k]) for k, _ in rows}
 
 
 def test_quality_classifier_and_rules(spark):
@@ -290,6 +347,30 @@ def test_importance_weights_equal_brute_force(spark):
     assert len(ten) == 10  # weights hardly count at this temperature
 
 
+def test_learned_rules_equal_their_thresholds(spark):
+    rnd = np.random.default_rng(5)
+    table = {f: rnd.random(600).round(2) for f in rules.FEATURES}
+    bad = (table["symbols"] > 0.8) | (table["upper"] > 0.7) & (table["repeats"] < 0.4) | (table["mean_word"] > 0.95)
+    learned = rules.learn(table, bad)
+    assert len(learned) >= 3 and rules.learn(table, bad & False) == [] and rules.learn({f: v[:0] for f, v in table.items()}, bad[:0]) == []
+    ratio = {"symbols": "n_symbols", "repeats": "n_repeat_words", "same": "n_same", "dup_lines": "n_dup_lines"}
+    stats = [(k, 100, 50, *(int(100 * table[f][k]) for f in ratio), int(50 * table["upper"][k])) for k in range(600)]
+    d = spark.createDataFrame(stats, "id long, n_words long, word_chars long, " + ", ".join(f"{c} long" for c in ratio.values()) + ", n_upper long")
+    got = {r.id: r.rule for r in d.select("id", rules.expression(learned).alias("rule")).collect()}
+    for row in stats:
+        own = dict(zip(d.columns, row))
+        value = {"mean_word": 0.5, "upper": own["n_upper"] / 50} | {f: own[c] / 100 for f, c in ratio.items()}
+        holds = lambda t: value[t.feature] >= t.value if t.above else value[t.feature] <= t.value  # noqa: E731, B023
+        assert got[row[0]] == next((n for n, rule in enumerate(learned, 1) if all(map(holds, rule))), 0)
+
+
+def test_rules_on_an_empty_table_and_one_without_labels(spark):
+    d = spark.createDataFrame([(1, None), (None, "a b"), (2, "word " * 60)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("quality", "n_words", "rule")})
+    y = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.base_failed, r.kept) for r in rules.judge(d, y).collect()} == {(1, True, False), (None, True, False), (2, True, False)}
+    assert rules.judge(d.limit(0), y).count() == 0
+
+
 def test_kth_largest(spark):
     values = [5, 5, -3, 2**62, -(2**63), 0, 2**63 - 1]
     df = spark.createDataFrame([(v,) for v in values], "v long")
