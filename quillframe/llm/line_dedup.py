@@ -1,25 +1,30 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Runs hold (line hash, documents, holder), sorted
-by hash. Documents come in batches of falling ids. Each batch is merge-joined with the runs: what they lack (the anti-join) is new and
-gets its holder, the largest id of the batch that has it; the rest only adds to the counts. When a level has `fanout` runs they are
-merged into one run of the next level. Keys of at least `min_chars` code points that at least `min_docs` documents have then lose all
-lines outside their holder.
+A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Runs hold (line hash, documents, holder), bucketed by
+hash and sorted within buckets, so that neither a join with runs nor a merge of runs shuffles them. Documents come in batches of falling
+ids. Each batch is merge-joined with the runs: what they lack (the anti-join) is new and gets its holder, the largest id of the batch that
+has it; the rest only adds to the counts. When a level has `fanout` runs they are merged into one run of the next level. Keys of at least
+`min_chars` code points that at least `min_docs` documents have then lose all lines outside their holder.
+
+Runs can be kept in a folder, which a later job opens to add its documents to: holders that runs have named stay, and the later documents
+lose the lines that are common by then.
 
 Defined cases: a null or empty text is one empty line. A null id counts as one document below all others. Rows that repeat an id count
-as one document, and keep or lose lines alike. Further columns pass through, whatever their names are.
+as one document, and keep or lose lines alike; an id in two jobs counts in each. Further columns pass through, whatever their names are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import remove, written
+from .storage import delete, exists, shared_dir, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,22 +47,31 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
 
 
 class LineRuns:
-    """Levelled sorted runs of (__line, __docs, __holder); only the run that saw a line first names its holder."""
+    """Levelled sorted runs of (__line, __docs, __holder) in a folder; only the run that saw a line first names its holder."""
+
+    COLUMNS = "__line binary, __docs long, __holder long"
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
+        """Opens the folder's runs if it has any; without a folder, runs last until drop()."""
+        self.spark, self.fanout = spark, fanout
+        self.folder = folder.rstrip("/") if folder else shared_dir(spark)
+        self.buckets, self.levels = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+        if folder and exists(spark, f"{self.folder}/manifest"):
+            rows = spark.read.schema("level int, name string, buckets int").json(f"{self.folder}/manifest").collect()
+            self.levels = [[r.name for r in rows if r.level == k] for k in range(max((r.level for r in rows), default=-1) + 1)]
+            self.buckets = rows[0].buckets if rows else self.buckets
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+    def _read(self, name: str) -> DataFrame:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet CLUSTERED BY (__line) SORTED BY (__line) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(name)
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def _union(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.union, map(self._read, names))
 
     def add(self, batch: DataFrame) -> None:
         """Takes (__line, __docs, __holder), one row for each line of a batch whose documents no earlier batch had."""
-        if known := self.runs():
-            first = known[0].select("__line", "__holder")
-            for run in known[1:]:
-                first = first.union(run.select("__line", "__holder"))
-            seen = first.filter("__holder is not null").select("__line", F.lit(True).alias("__seen"))
+        if self.levels and (known := [name for level in self.levels for name in level]):
+            seen = self._union(known).filter("__holder is not null").select("__line", F.lit(True).alias("__seen"))
             # the part without a partner is the anti-join: lines that are new with this batch
             batch = batch.join(seen.hint("merge"), "__line", "left").select("__line", "__docs", F.when(F.col("__seen").isNull(), F.col("__holder")).alias("__holder"))
         self._keep(0, batch)
@@ -65,42 +79,57 @@ class LineRuns:
     def _keep(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
+        name = f"line_run_{uuid.uuid4().hex}"
+        cut = run.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in self.COLUMNS.split(", "))))
+        cut.write.format("parquet").bucketBy(self.buckets, "__line").sortBy("__line").option("path", f"{self.folder}/{name}").saveAsTable(name)
         here = self.levels[level]
-        here.append(written(run.sortWithinPartitions("__line")))
+        here.append(name)
         if len(here) >= self.fanout:
-            merged = self._merged(here)
             self.levels[level] = []
-            self._keep(level + 1, merged)
-            for old in here:
-                remove(old)
+            self._keep(level + 1, self._merged(here))
+            self._forget(here)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.union(run)
-        return out.groupBy("__line").agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder"))
+    def _merged(self, names: list[str]) -> DataFrame:
+        return self._union(names).groupBy("__line").agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder"))
 
     def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+        return self._merged([name for level in self.levels for name in level])
+
+    def save(self) -> None:
+        """Notes in the folder which runs it holds, for a later job."""
+        rows = [(k, name, self.buckets) for k, level in enumerate(self.levels) for name in level]
+        self.spark.createDataFrame(rows, "level int, name string, buckets int").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest")
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        self._forget([name for level in self.levels for name in level])
+        self.levels = []
 
 
-def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """For each document that loses lines: __doc and __lost, the hashes of their keys."""
+def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, runs_dir: str | None = None) -> DataFrame:
+    """For each document that loses lines: __doc and __lost, the hashes of their keys. runs_dir: a folder whose runs count, and get this job's lines too."""
     cuts = docs.agg(F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     batch_of = sum((F.when(F.col("__doc") < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     lines = written(document_lines(docs, id_col, text_col, min_chars).withColumn("__batch", batch_of), "__batch")
-    runs = LineRuns(fanout)
+    runs = LineRuns(docs.sparkSession, runs_dir, fanout)
     for k in range(len(set(cuts)) + 1):
         own = lines.filter(F.col("__batch") == k)
         runs.add(own.groupBy("__line").agg(F.count_distinct("__doc").alias("__docs"), F.max("__doc").alias("__holder")))
     # as a table its size is known, so that Spark broadcasts it while it is small and else joins by sorting and splits hot lines
     common = written(runs.totals().filter(F.col("__docs") >= min_docs))
-    return lines.join(common, "__line").filter(F.col("__doc") < F.col("__holder")).groupBy("__doc").agg(F.collect_set("__line").alias("__lost"))
+    if runs_dir:
+        runs.save()
+    else:
+        runs.drop()
+    return lines.join(common, "__line").filter(F.col("__doc") != F.col("__holder")).groupBy("__doc").agg(F.collect_set("__line").alias("__lost"))
 
 
 def kept_text(text: str | None, lost: set[bytes]) -> tuple[str, int, int]:
-    """The text without its lost lines, the number of lines before and of those that went."""
+    """The text without its lost lines, the number of lines before and of those that went. A set is asked for each line: Spark's array functions would search the whole list for each."""
     lines = (text or "").split("\n")
     if not lost:
         return text or "", len(lines), 0

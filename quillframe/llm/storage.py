@@ -24,9 +24,23 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, own = _path(spark, path)
+    return files.exists(own)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    files, own = _path(spark, path)
+    files.delete(own, True)
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)

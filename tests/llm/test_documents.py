@@ -131,6 +131,27 @@ def test_line_dedup_does_not_depend_on_batches(docs, corpus, batches, fanout):
     assert sorted(map(tuple, got), key=repr) == _line_truth(corpus)
 
 
+def test_line_runs_are_opened_again_by_a_later_job(spark, tmp_path):
+    line = lambda n: f"line number {n} is long enough to be counted here"
+    first = [(k, "\n".join(line(n) for n in range(5) if k % (n + 1) == 0)) for k in range(8)]
+    later = [(100 + k, "\n".join([line(0), line(4), line(9)])) for k in range(6)]
+    folder = f"file://{tmp_path}/runs"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(first), batches=2, fanout=2, runs_dir=folder).collect()}
+    for name in line_dedup.LineRuns(spark, folder, 2).levels[0]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # as in a session that has not seen them
+    two = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(later), batches=2, fanout=2, runs_dir=folder).collect()}
+    count = lambda docs, n: sum(line(n) in t for _, t in docs)
+    common = [n for n in range(10) if count(first, n) >= 5]
+    assert common == [0] and {k for k, t in one.items() if line(0) in t} == {7}
+    # line 0 has its holder in the first job, line 4 had two documents there and keeps the larger one as its holder, line 9 is new
+    assert {k for k, t in two.items() if line(0) in t} == set() and {k for k, t in two.items() if line(4) in t} == set() and {k for k, t in two.items() if line(9) in t} == {105}
+    batch = spark.range(10).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("__line"), F.lit(1).alias("__docs"))
+    plan = line_dedup.LineRuns(spark, folder, 2)
+    joined = batch.groupBy("__line").agg(F.sum("__docs")).join(plan._union(sum(plan.levels, [])).hint("merge"), "__line", "left")._jdf.queryExecution().executedPlan().toString()
+    assert joined.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in joined
+
+
 def test_line_dedup_keeps_columns(docs, corpus):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns
