@@ -36,6 +36,23 @@ def box_corners(x1: Column, y1: Column, width: Column, height: Column) -> Column
     return F.array(corner(x1, y1), corner(x1 + width, y1), corner(x1 + width, y1 + height), corner(x1, y1 + height))
 
 
+def in_ring(ring: str, x: str, y: str) -> Column:
+    """Whether a point is in a polygon (an array of structs with x and y) or on its border; false for an empty ring."""
+    px, py = F.col(x), F.col(y)
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edges = F.arrays_zip(F.col(ring).alias("p"), following.alias("q"))
+
+    def on_line(e: Column) -> Column:
+        ax, ay, bx, by = (e[k][c] for k, c in (("p", "x"), ("p", "y"), ("q", "x"), ("q", "y")))
+        return ((bx - ax) * (py - ay) == (by - ay) * (px - ax)) & (F.least(ax, bx) <= px) & (px <= F.greatest(ax, bx)) & (F.least(ay, by) <= py) & (py <= F.greatest(ay, by))
+
+    def crossed(e: Column) -> Column:
+        ax, ay, bx, by = (e[k][c] for k, c in (("p", "x"), ("p", "y"), ("q", "x"), ("q", "y")))
+        return ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0)) + ax)
+
+    return F.exists(edges, on_line) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+
+
 def slab_areas(rings: list[np.ndarray]) -> tuple[float, float]:
     """Areas of the intersection and of the union of polygons (n x 2 arrays of x, y; even-odd inside each), exact for straight edges.
 
@@ -122,15 +139,3 @@ def fill(ring: np.ndarray, width: int, height: int) -> np.ndarray:
             for a, b in zip(cuts[::2], cuts[1::2], strict=False):
                 mask[row, max(0, int(np.ceil(a))) : max(0, int(np.floor(b)) + 1)] = True
     return mask
-
-
-def contains(ring: np.ndarray, px: float, py: float) -> bool:
-    """Whether a point is in a polygon or on its border."""
-    x, y = ring[:, 0], ring[:, 1]
-    xn, yn = np.roll(x, -1), np.roll(y, -1)
-    on_line = (xn - x) * (py - y) == (yn - y) * (px - x)
-    if (on_line & (np.minimum(x, xn) <= px) & (px <= np.maximum(x, xn)) & (np.minimum(y, yn) <= py) & (py <= np.maximum(y, yn))).any():
-        return True
-    crosses = (y > py) != (yn > py)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return bool(((px < (xn - x) * (py - y) / (yn - y) + x) & crosses).sum() % 2)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
@@ -16,14 +16,15 @@ from ..functions.geometry import BOX, has_box, iou
 PADDING, PADDING_SCORE = 1_000_000, 0.0001
 
 
-def judged_detections(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true", agnostic: bool = False) -> DataFrame:
+def judged_detections(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true", agnostic: bool = False, named: bool = True) -> DataFrame:
     """objectid, name, score, has_gt and outcome (tp, fp or ignored) of each detection.
 
     A detection goes for the ground truth of its image (and name) that it overlaps most, the first by id on a tie. Of detections that
-    overlap their choice by more than the threshold the highest score claims it, the smallest id on a tie; later ones are false.
+    overlap their choice by more than the threshold the highest score claims it, the smallest id on a tie; later ones are false. Detections
+    without a name are left out, unless names don't count (agnostic) or `named` is False: then they are false.
     """
     keys = ["imagefile"] if agnostic else ["imagefile", "name"]
-    det = pred.objects.filter("name is not null" if not agnostic else "true").select("objectid", "imagefile", "name", "score", *(F.col(c).alias("d_" + c) for c in BOX))
+    det = pred.objects.filter("name is not null" if named and not agnostic else "true").select("objectid", "imagefile", "name", "score", *(F.col(c).alias("d_" + c) for c in BOX))
     wanted = F.coalesce(F.expr(where_object_gt), F.lit(False))
     truth = gt.objects.filter(has_box()).withColumn("wanted", wanted).select(F.col("objectid").alias("gt_id"), *keys, "wanted", *(F.col(c).alias("g_" + c) for c in BOX))
     pairs = det.filter(has_box("d_")).join(truth, keys).select("objectid", "score", "gt_id", "wanted", iou("d_", "g_").alias("iou"))
@@ -39,50 +40,69 @@ def _truths(gt: Dataset, where_object_gt: str, group: list[str]) -> DataFrame:
     return gt.objects.filter(where_object_gt).filter("name is not null" if group else "true").groupBy(*group).agg(F.count("*").alias("n_gt"))
 
 
+#: Parts that a group's scores are cut into.
+CHUNKS = 64
+
+
+def _chunked(df: DataFrame, group: str, score: str) -> DataFrame:
+    """df with `chunk`: in which of at most CHUNKS parts of its group's scores, highest first, a row is; nulls are last. Equal scores are in one part."""
+    cuts = df.groupBy(group).agg(F.array_distinct(F.percentile_approx(score, [k / CHUNKS for k in range(1, CHUNKS)], 1000)).alias("cuts"))
+    above = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: F.col(score) < c))
+    return df.join(cuts, group).withColumn("chunk", F.when(F.col(score).isNull(), CHUNKS).otherwise(above)).drop("cuts")
+
+
+def _running(df: DataFrame, group: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df (with chunks) with sums over the rows of the group up to each row, in order. Windows hold one chunk; of each chunk a total goes to a small table of offsets."""
+    totals = df.groupBy(group, "chunk").agg(*(F.sum(v).alias(f"all_{k}") for k, v in sums.items()))
+    before = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "chunk", *(F.coalesce(F.sum(f"all_{k}").over(before), F.lit(0)).alias(f"before_{k}") for k in sums))
+    up_to = Window.partitionBy(group, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = df.withColumns({k: F.sum(v).over(up_to) for k, v in sums.items()})
+    return within.join(offsets, [group, "chunk"]).withColumns({k: F.col(k) + F.col(f"before_{k}") for k in sums}).drop(*(f"before_{k}" for k in sums))
+
+
 def average_precision_envelope(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true") -> DataFrame:
     """name, n_gt and ap: the area below the envelope of the precision-recall curve, for each class of the ground truth."""
-    d = judged_detections(pred, gt, threshold, where_object_gt)
-    order = Window.partitionBy("name").orderBy(F.col("score").desc_nulls_last(), "objectid")
-    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("tp", F.sum(F.when(F.col("outcome") == "tp", 1).otherwise(0)).over(up_to)).withColumn("fp", F.sum(F.when(F.col("outcome") == "fp", 1).otherwise(0)).over(up_to))
+    hit = (F.col("outcome") == "tp").cast("long")
+    d = _chunked(judged_detections(pred, gt, threshold, where_object_gt).select("objectid", "name", "score", "outcome"), "name", "score")
+    d = _running(d, "name", [F.col("score").desc_nulls_last(), F.col("objectid")], {"tp": hit, "fp": (F.col("outcome") == "fp").cast("long")})
+    d = d.withColumn("precision", F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)))
+    # the envelope is the highest precision from a row on: of its chunk's rest, and of later chunks
+    tops = d.groupBy("name", "chunk").agg(F.max("precision").alias("top"))
+    later = tops.select("name", "chunk", F.max("top").over(Window.partitionBy("name").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    rest = Window.partitionBy("name", "chunk").orderBy(F.col("score").asc_nulls_first(), F.col("objectid").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("envelope", F.max("precision").over(rest)).join(later, ["name", "chunk"])
+    areas = d.filter("outcome = 'tp'").groupBy("name").agg(F.sum(F.greatest("envelope", F.coalesce("later", F.lit(0.0)))).alias("area"))
     counts = _truths(gt, where_object_gt, ["name"])
-    d = d.join(counts, "name").withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("precision", F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)))
-    d = d.withColumn("envelope", F.max("precision").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    d = d.withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0)))
-    areas = d.groupBy("name").agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"))
-    return counts.join(areas, "name", "left").select("name", "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return counts.join(areas, "name", "left").select("name", "n_gt", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
 
 
 def precision_recall(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true", mode: str = "by-class") -> DataFrame:
-    """Counts at each distinct score: group, score, tp and fp at or above it, positives and negatives in all.
+    """Counts at each distinct score: name (`all` in the modes that put classes together), score, hits at it, tp and fp at or above it, positives and negatives in all.
 
     mode: `by-class`, `aggregate-classes` (classes matter for matching only) or `class-agnostic`. Detections without ground truth count at
     score 0, missed positives too, and a fixed number of negatives stands just above it.
     """
     group = ["name"] if mode == "by-class" else []
-    d = judged_detections(pred, gt, threshold, where_object_gt, mode == "class-agnostic").filter("outcome <> 'ignored'")
+    label = F.col("name") if group else F.lit("all")
+    d = judged_detections(pred, gt, threshold, where_object_gt, mode == "class-agnostic", mode == "by-class").filter("outcome <> 'ignored'")
     score = F.when(F.col("has_gt"), F.coalesce("score", F.lit(0.0))).otherwise(0.0)
-    d = d.groupBy(*group, score.alias("s")).agg(F.count_if(F.expr("outcome = 'tp'")).alias("p"), F.count_if(F.expr("outcome = 'fp'")).alias("n"))
-    truths = _truths(gt, where_object_gt, group)
-    found = d.groupBy(*group).agg(F.sum("p").alias("found"))
-    joined = truths.join(found, group, "left") if group else truths.crossJoin(found)  # one row each
-    missed = joined.select(*group, F.lit(0.0).alias("s"), (F.col("n_gt") - F.coalesce("found", F.lit(0))).alias("p"), F.lit(0).cast("long").alias("n"))
-    padding = truths.select(*group, F.lit(PADDING_SCORE).alias("s"), F.lit(0).cast("long").alias("p"), F.lit(PADDING).cast("long").alias("n"))
-    scores = d.unionByName(missed).unionByName(padding).groupBy(*group, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    scores = scores.join(truths.select(*group), group, "left_semi") if group else scores
-    key = group or [F.lit(1)]
-    up_to = Window.partitionBy(*key).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*key)
-    name = F.col("name") if group else F.lit("all")
-    return scores.select(name.alias("name"), F.col("s").alias("score"), F.sum("p").over(up_to).alias("tp"), F.sum("n").over(up_to).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"))
+    d = d.groupBy(label.alias("name"), score.alias("s")).agg(F.count_if(F.expr("outcome = 'tp'")).alias("p"), F.count_if(F.expr("outcome = 'fp'")).alias("n"))
+    truths = _truths(gt, where_object_gt, group).select(label.alias("name"), "n_gt")
+    found = d.groupBy("name").agg(F.sum("p").alias("found"))
+    missed = truths.join(found, "name", "left").select("name", F.lit(0.0).alias("s"), (F.col("n_gt") - F.coalesce("found", F.lit(0))).alias("p"), F.lit(0).cast("long").alias("n"))
+    padding = truths.select("name", F.lit(PADDING_SCORE).alias("s"), F.lit(0).cast("long").alias("p"), F.lit(PADDING).cast("long").alias("n"))
+    scores = d.unionByName(missed).unionByName(padding).groupBy("name", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).join(truths.select("name"), "name", "left_semi")
+    curve = _running(_chunked(scores, "name", "s"), "name", [F.desc("s")], {"tp": F.col("p"), "fp": F.col("n")})
+    whole = scores.groupBy("name").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return curve.join(whole, "name").select("name", F.col("s").alias("score"), F.col("p").alias("hits"), "tp", "fp", "positives", "negatives")
 
 
 def average_precision(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true", mode: str = "by-class") -> DataFrame:
     """name and ap: precision summed over distinct scores, weighted by the gain in recall."""
     curve = precision_recall(pred, gt, threshold, where_object_gt, mode)
-    before = F.coalesce(F.lag("tp").over(Window.partitionBy("name").orderBy(F.col("score").desc())), F.lit(0))
-    steps = curve.withColumn("gain", (F.col("tp") - before) / F.nullif("positives", F.lit(0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)))
-    return steps.groupBy("name").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("ap"))
+    gain = F.col("hits") / F.nullif("positives", F.lit(0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))
+    return curve.groupBy("name").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("ap"))
 
 
 def roc_curve(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true", mode: str = "by-class") -> DataFrame:

@@ -5,13 +5,11 @@ A row goes only where its predicate is true: unknown (null) never deletes.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
-from ..functions.geometry import contains, has_box, overlap_area
+from ..functions.geometry import has_box, in_ring, overlap_area
 from ..functions.paths import last_parts
 
 
@@ -56,12 +54,37 @@ def _boxed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("imagefile", *(F.col(c).alias(prefix + c) for c in df.columns if c != "imagefile"))
 
 
+#: Objects of an image that share a cell of its grid on average; images with fewer have one cell.
+PER_CELL = 64
+
+
+def overlapping_pairs(boxes: DataFrame) -> DataFrame:
+    """Pairs a_..., b_... of different objects of an image whose boxes (imagefile, objectid, x1, y1, width, height) share an area, in both orders.
+
+    Boxes go into the cells of a grid that is the finer the more boxes an image has, and meet within cells; a pair counts in the cell of its
+    overlap's corner only. So a crowded image is spread, and costs no more than the pairs that are near each other.
+    """
+    real = boxes.filter("width > 0 and height > 0")
+    grid = real.groupBy("imagefile").agg(F.count("*").alias("n"), F.min("x1").alias("left"), F.min("y1").alias("top"), F.max(F.expr("x1 + width")).alias("right"), F.max(F.expr("y1 + height")).alias("bottom"))
+    side = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / PER_CELL)))
+    grid = grid.select("imagefile", "left", "top", (F.expr("right - left") / side).alias("dx"), (F.expr("bottom - top") / side).alias("dy"))
+    cell = lambda v, low, step: F.floor((v - F.col(low)) / F.col(step))
+    placed = real.join(grid, "imagefile")
+    across = F.sequence(cell(F.col("x1"), "left", "dx"), cell(F.expr("x1 + width"), "left", "dx"))
+    down = F.sequence(cell(F.col("y1"), "top", "dy"), cell(F.expr("y1 + height"), "top", "dy"))
+    spread = placed.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(down))
+    fields = ("objectid", "x1", "y1", "width", "height")
+    mine = spread.select("imagefile", "cx", "cy", "left", "top", "dx", "dy", *(F.col(c).alias("a_" + c) for c in fields))
+    theirs = spread.select("imagefile", "cx", "cy", *(F.col(c).alias("b_" + c) for c in fields))
+    pairs = mine.join(theirs, ["imagefile", "cx", "cy"]).filter("a_objectid <> b_objectid").filter(overlap_area("a_", "b_") > 0)
+    here = (cell(F.greatest("a_x1", "b_x1"), "left", "dx") == F.col("cx")) & (cell(F.greatest("a_y1", "b_y1"), "top", "dy") == F.col("cy"))
+    return pairs.filter(here).drop("cx", "cy", "left", "top", "dx", "dy")
+
+
 def filter_objects_by_intersection(ds: Dataset, threshold: float = 0.1) -> Dataset:
     """Deletes objects of which another object of the image covers more than that share; both of two may go. A box without area goes."""
     boxes = ds.objects.filter(has_box()).select("imagefile", "objectid", "x1", "y1", "width", "height")
-    pairs = _boxed(boxes, "a_").join(_boxed(boxes, "b_"), "imagefile").filter("a_objectid <> b_objectid")
-    area = F.col("a_width") * F.col("a_height")
-    covered = pairs.filter((area > 0) & (overlap_area("a_", "b_") > threshold * area)).select(F.col("a_objectid").alias("objectid"))
+    covered = overlapping_pairs(boxes).filter(overlap_area("a_", "b_") > threshold * F.col("a_width") * F.col("a_height")).select(F.col("a_objectid").alias("objectid"))
     flat = boxes.filter("width * height <= 0").select("objectid")
     return ds.drop_objects(covered.union(flat))
 
@@ -90,10 +113,6 @@ def filter_objects_inside_certain_objects(ds: Dataset, where_shadowing: str, whe
     pairs = centred.join(_boxed(shadows, "s_"), "imagefile").filter("cx is not null")
     by_box = F.expr("cx > s_x1 and cx < s_x1 + s_width and cy > s_y1 and cy < s_y1 + s_height")
 
-    @F.pandas_udf("boolean")
-    def in_ring(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([r is not None and len(r) > 0 and contains(np.array([(p["x"], p["y"]) for p in r], float), a, b) for r, a, b in zip(rings, x, y, strict=True)])
-
     boxed = pairs.filter("s_ring is null").filter(by_box).select("objectid")
     ringed = pairs.filter("s_ring is not null").filter(in_ring("s_ring", "cx", "cy")).select("objectid")
     inside = boxed.union(ringed).distinct()

@@ -90,16 +90,24 @@ def filter_objects_by_score(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_objects_by_score(_ds(spark, d), 0.5).properties.select("id", "key")
 
 
-@query(""", c AS (SELECT o.objectid, imagefile, x1 + width / 2 AS cx, y1 + height / 2 AS cy FROM objects o WHERE coalesce(name <> '1-URGENT', true)),
-s AS (SELECT * FROM objects WHERE name = '1-URGENT')
-SELECT objectid FROM objects WHERE objectid NOT IN (SELECT c.objectid FROM c JOIN s USING (imagefile) WHERE cx > s.x1 AND cx < s.x1 + s.width AND cy > s.y1 AND cy < s.y1 + s.height)""")
+_CENTRES = """, mean AS (SELECT objectid, avg(x) AS mx, avg(y) AS my FROM polygons GROUP BY 1
+), c AS (SELECT o.objectid, imagefile, coalesce(mx, x1 + width / 2) AS cx, coalesce(my, y1 + height / 2) AS cy FROM objects o LEFT JOIN mean USING (objectid) WHERE NOT coalesce({shadow}, false)
+), s AS (SELECT * FROM objects WHERE {shadow}
+), corners AS (SELECT objectid, id, trunc(x) AS ax, trunc(y) AS ay FROM polygons JOIN s USING (objectid)
+), edges AS (SELECT objectid, ax, ay, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS ex, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS ey FROM corners WINDOW w AS (PARTITION BY objectid ORDER BY id)
+), ringed AS (SELECT c.objectid FROM c JOIN s USING (imagefile) JOIN edges e ON e.objectid = s.objectid GROUP BY c.objectid, s.objectid
+  HAVING bool_or((ex - ax) * (cy - ay) = (ey - ay) * (cx - ax) AND least(ax, ex) <= cx AND cx <= greatest(ax, ex) AND least(ay, ey) <= cy AND cy <= greatest(ay, ey))
+    OR count(*) FILTER ((ay > cy) <> (ey > cy) AND cx < (ex - ax) * (cy - ay) / (ey - ay) + ax) % 2 = 1
+), boxed AS (SELECT c.objectid FROM c JOIN s USING (imagefile) WHERE s.objectid NOT IN (SELECT objectid FROM edges) AND cx > s.x1 AND cx < s.x1 + s.width AND cy > s.y1 AND cy < s.y1 + s.height
+), inside AS (SELECT objectid FROM ringed UNION SELECT objectid FROM boxed)"""
+
+
+@query(_CENTRES.format(shadow="name = '1-URGENT' AND objectid % 3 <> 0") + "SELECT objectid FROM objects WHERE objectid NOT IN (SELECT objectid FROM inside)")
 def filter_objects_inside_boxes(spark: SparkSession, d: str) -> DataFrame:
-    ds = _ds(spark, d)
-    ds = ds.with_(polygons=ds.polygons.filter("false"))  # all objects are boxes
-    return _ids(filters.filter_objects_inside_certain_objects(ds, "objects.name = '1-URGENT'"))
+    return _ids(filters.filter_objects_inside_certain_objects(_ds(spark, d), "objects.name = '1-URGENT' AND objectid % 3 <> 0"))
 
 
-@query()
+@query(_CENTRES.format(shadow="name = '1-URGENT'") + "SELECT objectid FROM objects WHERE name = '1-URGENT' OR objectid IN (SELECT objectid FROM inside)")
 def filter_objects_inside_polygons(spark: SparkSession, d: str) -> DataFrame:
     return _ids(filters.filter_objects_inside_certain_objects(_ds(spark, d), "name = '1-URGENT'", keep=True))
 
@@ -144,9 +152,10 @@ def expand_polygons(spark: SparkSession, d: str) -> DataFrame:
     return modify.expand_objects(_ds(spark, d), 0.5).polygons.select("id", "x", "y")
 
 
-@query("SELECT 'all/' || split_part(imagefile, '/', 2) AS imagefile, count(*) AS n FROM objects GROUP BY 1")
+@query("SELECT objectid, 'all/' || split_part(o.imagefile, '/', 2) AS imagefile, 'there/' || split_part(maskfile, '/', 2) AS maskfile, i.width FROM objects o JOIN images i USING (imagefile)")
 def move_media(spark: SparkSession, d: str) -> DataFrame:
-    return modify.move_media(_ds(spark, d), image_path="all").objects.groupBy("imagefile").agg(F.count("*").alias("n"))
+    ds = modify.move_media(_ds(spark, d), image_path="all", mask_path="there")
+    return ds.objects.select("objectid", "imagefile").join(ds.images.select("imagefile", "maskfile", "width"), "imagefile").select("objectid", "imagefile", "maskfile", "width")
 
 
 @query("SELECT '../old/' || imagefile AS imagefile, '../old/' || maskfile AS maskfile FROM images")
@@ -225,7 +234,7 @@ def tail_images(spark: SparkSession, d: str) -> DataFrame:
     return _ids(algebra.tail_images(_ds(spark, d), 25))
 
 
-@query()
+@query("SELECT imagefile FROM images ORDER BY md5(imagefile || '0'), imagefile LIMIT 25")
 def random_n_images(spark: SparkSession, d: str) -> DataFrame:
     return algebra.random_n_images(_ds(spark, d), 25).images.select("imagefile")
 
@@ -237,10 +246,13 @@ def split_dataset(spark: SparkSession, d: str) -> DataFrame:
     return train.union(test)
 
 
-@query("SELECT objectid, 1 AS parts FROM objects")
+@query(""", f AS (SELECT imagefile, CAST(('0x' || substr(md5(imagefile || '0'), 1, 8))::BIGINT % 3 AS INT) AS fold FROM images)
+SELECT objectid, fold, CAST(t AS INT) AS training FROM objects JOIN f USING (imagefile) CROSS JOIN (VALUES (0), (1), (2)) v(t) WHERE t <> fold""")
 def k_fold(spark: SparkSession, d: str) -> DataFrame:
-    folds = [_ids(v) for _, v in algebra.k_fold(_ds(spark, d), 3)]
-    return folds[0].union(folds[1]).union(folds[2]).groupBy("objectid").agg(F.count("*").cast("int").alias("parts"))
+    folds = algebra.k_fold(_ds(spark, d), 3)
+    train = [_ids(t).withColumn("training", F.lit(n)) for n, (t, _) in enumerate(folds)]
+    own = [_ids(v).withColumn("fold", F.lit(n)) for n, (_, v) in enumerate(folds)]
+    return own[0].union(own[1]).union(own[2]).join(train[0].union(train[1]).union(train[2]), "objectid")
 
 
 @query(""", i AS (SELECT imagefile FROM images UNION SELECT imagefile FROM images WHERE width > 700),
@@ -250,6 +262,18 @@ def add_dataset(spark: SparkSession, d: str) -> DataFrame:
     return algebra.add_dataset(_ds(spark, d), fixtures.reference(spark, d)).objects.select("objectid", "imagefile", "name")
 
 
+@query(""", r AS (SELECT objectid, (SELECT max(objectid) FROM objects) + row_number() OVER (ORDER BY objectid) AS new FROM ref_objects)
+SELECT 'properties' AS part, (SELECT max(id) FROM properties) + row_number() OVER (ORDER BY id) AS id, new AS objectid, key || '=' || value AS value FROM properties JOIN r USING (objectid)
+UNION ALL SELECT 'matches', (SELECT max(id) FROM matches) + row_number() OVER (ORDER BY id), new, CAST(match + (SELECT max(match) FROM matches) + 1 AS VARCHAR) FROM matches JOIN r USING (objectid)
+UNION ALL SELECT 'images', count(*), NULL, NULL FROM images""")
+def add_dataset_children(spark: SparkSession, d: str) -> DataFrame:
+    ds = _ds(spark, d)
+    out = algebra.add_dataset(ds, fixtures.reference(spark, d))
+    new = lambda t, value: out.table(t).join(ds.table(t).select("id"), "id", "left_anti").select(F.lit(t).alias("part"), "id", "objectid", value.alias("value"))
+    images = out.images.agg(F.count("*").alias("id")).select(F.lit("images").alias("part"), "id", F.lit(None).cast("long").alias("objectid"), F.lit(None).cast("string").alias("value"))
+    return new("properties", F.concat("key", F.lit("="), "value")).union(new("matches", F.col("match").cast("string"))).union(images)
+
+
 @query("SELECT o.objectid, CASE WHEN r.objectid IS NULL THEN o.name ELSE r.name END AS name, CASE WHEN r.objectid IS NULL THEN o.x1 ELSE r.x1 END AS x1 FROM objects o LEFT JOIN ref_objects r USING (objectid)")
 def sync_objects_data(spark: SparkSession, d: str) -> DataFrame:
     return algebra.sync_objects_data(_ds(spark, d), fixtures.reference(spark, d), ["name", "x1"]).objects.select("objectid", "name", "x1")
@@ -265,17 +289,20 @@ def sync_objectids(spark: SparkSession, d: str) -> DataFrame:
     return algebra.sync_objectids(fixtures.predictions(spark, d), fixtures.reference(spark, d)).objects.select("objectid", "imagefile")
 
 
-@query("SELECT id, x FROM polygons")
+@query(""", far AS (SELECT id, x + 5 AS x, y, 10000000 + (SELECT max(id) FROM polygons) + row_number() OVER (ORDER BY id) AS new FROM polygons WHERE id % 8 = 1)
+SELECT id, objectid, x + 0.25 AS x, y FROM polygons WHERE id % 8 <> 1 UNION ALL SELECT new, objectid, far.x, far.y FROM far JOIN polygons USING (id)""")
 def sync_polygon_ids(spark: SparkSession, d: str) -> DataFrame:
     ds = _ds(spark, d)
-    moved = ds.with_(polygons=ds.polygons.withColumns({"id": F.col("id") + 10**7, "x": F.col("x") + 0.25}))
-    return algebra.sync_polygon_ids(moved, ds, epsilon=1.0).polygons.select("id", (F.col("x") - 0.25).alias("x"))
+    shift = F.when(F.col("id") % 8 == 1, 5.0).otherwise(0.25)  # those that move by 5 have no partner
+    moved = ds.with_(polygons=ds.polygons.select((F.col("id") + 10**7).alias("id"), "objectid", (F.col("x") + shift).alias("x"), "y", "name"))
+    return algebra.sync_polygon_ids(moved, ds, epsilon=1.0).polygons.select("id", "objectid", "x", "y")
 
 
-@query("""SELECT (SELECT count(*) FROM images) AS images_remaining, 0 AS images_new, 0 AS images_deleted, count_if(r.objectid IS NOT NULL) AS objects_remaining, count_if(r.objectid IS NULL) AS objects_new, 0 AS objects_deleted,
+@query("""SELECT (SELECT count(*) FROM images WHERE width > 700 AND height < 720) AS images_remaining, (SELECT count(*) FROM images WHERE width > 700 AND height >= 720) AS images_new, (SELECT count(*) FROM images WHERE width <= 700 AND height < 720) AS images_deleted, count_if(r.objectid IS NOT NULL) AS objects_remaining, count_if(r.objectid IS NULL) AS objects_new, 0 AS objects_deleted,
 count_if(o.x1 <> r.x1) AS objects_moved, count_if(o.name = r.name) AS objects_not_renamed FROM objects o LEFT JOIN ref_objects r USING (objectid)""")
 def diff(spark: SparkSession, d: str) -> DataFrame:
-    return algebra.diff(_ds(spark, d), fixtures.reference(spark, d))
+    ds, ref = _ds(spark, d), fixtures.reference(spark, d)
+    return algebra.diff(ds.with_(images=ds.images.filter("width > 700")), ref.with_(images=ref.images.filter("height < 720")))
 
 
 # ---- reports ----
@@ -351,16 +378,30 @@ def evaluate_detection_by_class(spark: SparkSession, d: str) -> DataFrame:
     return found.select("name", F.round("ap", 9).alias("ap"))
 
 
-@query()
+_AREA = """points AS (
+  SELECT CASE WHEN has_gt THEN score ELSE 0 END AS s, tp::BIGINT AS p, (NOT tp)::BIGINT AS n FROM {judged}
+  UNION ALL SELECT 0, (SELECT count(*) FROM objects) - (SELECT count_if(tp) FROM {judged}), 0 UNION ALL SELECT 0.0001, 0, 1000000
+), sums AS (SELECT s, sum(p) AS p, sum(n) AS n FROM points GROUP BY 1), runs AS (SELECT s, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS total FROM sums WINDOW w AS (ORDER BY s DESC))
+SELECT '{mode}' AS name, round(sum(p / total * (tp / nullif(tp + fp, 0))), 9) AS ap FROM runs"""
+
+
+@query(_JUDGED.replace("AND a.name = b.name", "").replace("WHERE d.name IS NOT NULL", "").replace("judged", "anyone").replace("pairs", "any_pairs").replace("best", "any_best").replace("claims", "any_claims").replace(", truth AS", ", any_truth AS") + _JUDGED + f""", every AS (SELECT d.score, b.gt IS NOT NULL AS has_gt, c.objectid IS NOT NULL AS tp FROM det_objects d LEFT JOIN best b USING (objectid) LEFT JOIN claims c USING (objectid))
+SELECT * FROM (WITH {_AREA.format(judged="anyone", mode="class-agnostic")}) UNION ALL SELECT * FROM (WITH {_AREA.format(judged="every", mode="all")})""")
 def evaluate_detection_agnostic(spark: SparkSession, d: str) -> DataFrame:
     a = evaluate.average_precision(fixtures.predictions(spark, d), _ds(spark, d), mode="class-agnostic").withColumn("name", F.lit("class-agnostic"))
     return a.unionByName(evaluate.average_precision(fixtures.predictions(spark, d), _ds(spark, d), mode="aggregate-classes")).select("name", F.round("ap", 9).alias("ap"))
 
 
-@query("""SELECT o.name, count(*) AS support, round(count_if(o.name = r.name) / count(*), 9) AS recall FROM objects o JOIN ref_objects r USING (objectid) WHERE o.name IS NOT NULL AND r.name IS NOT NULL GROUP BY 1""")
+@query(""", b AS (SELECT o.name AS truth, r.name AS said FROM objects o JOIN ref_objects r USING (objectid) WHERE o.name IS NOT NULL AND r.name IS NOT NULL
+), n AS (SELECT truth AS name FROM b UNION SELECT said FROM b
+), c AS (SELECT name, (SELECT count(*) FROM b WHERE truth = name) AS support, (SELECT count(*) FROM b WHERE said = name) AS predicted, (SELECT count(*) FROM b WHERE truth = name AND said = name) AS tp FROM n
+), m AS (SELECT name, tp / nullif(predicted, 0) AS precision, tp / nullif(support, 0) AS recall, 2 * tp / nullif(predicted + support, 0) AS f1, support FROM c
+), rows AS (SELECT * FROM m UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT avg((truth = said)::INT) FROM b), (SELECT count(*) FROM b) UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM m
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM m)
+SELECT name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM rows""")
 def evaluate_classification(spark: SparkSession, d: str) -> DataFrame:
     report = evaluate.classification_report(fixtures.reference(spark, d), _ds(spark, d))
-    return report.filter("support > 0 and name not in ('accuracy', 'macro avg', 'weighted avg')").select("name", "support", F.round("recall", 9).alias("recall"))
+    return report.select("name", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
 # ---- media and samples ----
@@ -371,10 +412,14 @@ def crop_media(spark: SparkSession, d: str) -> DataFrame:
     return media.crop_media(_ds(spark, d), 100, 50, 400, 300, "cropped").objects.select("objectid", "x1", "y1")
 
 
-@query("SELECT objectid, CAST(0 AS DOUBLE) AS x1, CAST(64 AS DOUBLE) AS width, CAST(48 AS DOUBLE) AS height FROM objects WHERE x1 IS NOT NULL")
+@query(""", t AS (SELECT objectid, 64 / width AS kx, 48 / height AS ky, -x1 * 64 / width AS ox, -y1 * 48 / height AS oy FROM objects WHERE x1 IS NOT NULL)
+SELECT o.objectid, 'crops/' || lpad(CAST(o.objectid AS VARCHAR), 9, '0') || '.jpg' AS imagefile, round(x1 * kx + ox, 6) + 0 AS x1, round(y1 * ky + oy, 6) + 0 AS y1, round(width * kx, 6) AS width, round(kx, 6) AS kx, round(oy, 6) AS oy,
+  round((SELECT sum(p.x * kx + ox) FROM polygons p WHERE p.objectid = o.objectid), 4) AS xs FROM objects o JOIN t USING (objectid)""")
 def crop_objects(spark: SparkSession, d: str) -> DataFrame:
-    o = media.crop_objects(_ds(spark, d), "crops", 64, 48).objects
-    return o.select("objectid", F.round("x1", 6).alias("x1"), F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))
+    ds = media.crop_objects(_ds(spark, d), "crops", 64, 48)
+    xs = ds.polygons.groupBy("objectid").agg(F.round(F.sum("x"), 4).alias("xs"))
+    o = ds.objects.join(modify.object_transforms(ds), "objectid").join(xs, "objectid", "left")
+    return o.select("objectid", "imagefile", *((F.round(c, 6) + 0).alias(c) for c in ("x1", "y1", "width", "kx")), F.round("by", 6).alias("oy"), "xs")
 
 
 @query("SELECT objectid, round(x1, 6) AS x1, round(y1, 6) AS y1, imagefile FROM objects WHERE x1 IS NOT NULL")
@@ -406,15 +451,19 @@ def exported_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(""", i AS (SELECT imagefile, row_number() OVER (ORDER BY imagefile) - 1 AS image_id FROM images),
 c AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS category_id FROM (SELECT DISTINCT name FROM objects WHERE name IS NOT NULL)),
-p AS (SELECT objectid, min(x) AS xa, max(x) AS xb FROM polygons GROUP BY 1)
-SELECT row_number() OVER (ORDER BY objectid) - 1 AS id, image_id, category_id, CAST(round_even(coalesce(xa, x1), 0) AS INT) AS x, CAST(round_even(coalesce(xb - xa, width), 0) AS INT) AS width
+p AS (SELECT objectid, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb, string_agg(CAST(trunc(x)::INT AS VARCHAR) || ',' || CAST(trunc(y)::INT AS VARCHAR), ',' ORDER BY id) AS ring FROM polygons GROUP BY 1)
+SELECT row_number() OVER (ORDER BY objectid) - 1 AS id, image_id, category_id, CAST(round_even(coalesce(xa, x1), 0) AS INT) AS x, CAST(round_even(coalesce(xb - xa, width), 0) AS INT) AS width, CAST(round_even(coalesce(ya, y1), 0) AS INT) AS y, CAST(round_even(coalesce(yb - ya, height), 0) AS INT) AS height,
+round(CASE WHEN ring IS NULL THEN width * height ELSE width * height / 2 END, 6) AS area, coalesce(ring, '') AS ring
 FROM objects JOIN i USING (imagefile) JOIN c USING (name) LEFT JOIN p USING (objectid) WHERE x1 IS NOT NULL""")
 def coco_annotations(spark: SparkSession, d: str) -> DataFrame:
     a = exports.coco_tables(_ds(spark, d))["annotations"]
-    return a.select("id", "image_id", "category_id", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("width"))
+    return a.select("id", "image_id", "category_id", *(F.col("bbox")[k].alias(c) for k, c in enumerate(("x", "y", "width", "height"))), F.round("area", 6).alias("area"), F.array_join(F.flatten("segmentation"), ",").alias("ring"))
+
+
+_SHARE = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || rtrim(rtrim(printf('%.7f', floor(abs({0}) * 1e7 + 1e-6) / 1e7), '0'), '.') || CASE WHEN printf('%.7f', floor(abs({0}) * 1e7 + 1e-6) / 1e7) LIKE '%.0000000' THEN '.0' ELSE '' END"
 
 
-@query("SELECT replace(split_part(imagefile, '/', 2), '.jpg', '') AS file, count(*) AS lines FROM objects WHERE x1 IS NOT NULL AND name IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+@query(f"""SELECT replace(split_part(imagefile, '/', 2), '.jpg', '') AS file, string_agg(CASE WHEN o.name = '1-URGENT' THEN '0' ELSE '1' END || ' ' || {' || chr(32) || '.join(_SHARE.format(e) for e in ("((x1 + o.width / 2) / i.width)", "((y1 + o.height / 2) / i.height)", "(o.width / i.width)", "(o.height / i.height)"))}, chr(10) ORDER BY objectid) AS text
+FROM objects o JOIN images i USING (imagefile) WHERE x1 IS NOT NULL AND o.name IN ('1-URGENT', '2-HIGH') GROUP BY 1""")
 def yolo_files(spark: SparkSession, d: str) -> DataFrame:
-    texts = exports.yolo_lines(_ds(spark, d), ["1-URGENT", "2-HIGH"])
-    return texts.select(F.col("file"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return exports.yolo_lines(_ds(spark, d), ["1-URGENT", "2-HIGH"])

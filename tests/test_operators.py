@@ -127,6 +127,81 @@ def test_sync(three):
     assert rows(algebra.sync_rounded_coordinates(rounded, three).objects, "x1") == rows(three.objects, "x1")
 
 
+def _iou(a, b):
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both / (a[2] * a[3] + b[2] * b[3] - both)
+
+
+def test_sync_objectids_equals_greedy_pairs(spark):
+    rnd = np.random.default_rng(4)
+    files = ["a.jpg", "b.jpg"]
+    box = lambda: tuple(float(v) for v in (*rnd.integers(0, 40, 2), *rnd.integers(10, 30, 2)))
+    mine = {k: (files[k % 2], box()) for k in range(1, 30)}
+    theirs = {100 + k: (files[k % 2], box()) for k in range(25)}
+    make = lambda d: Dataset.from_rows(spark, images=[image(f) for f in files], objects=[thing(k, f, b) for k, (f, b) in d.items()])
+    new, used = {}, set()
+    for score, i, j in sorted(((_iou(b, c), i, j) for i, (f, b) in mine.items() for j, (g, c) in theirs.items() if f == g), key=lambda x: (-x[0], x[1], x[2])):
+        if score >= 0.3 and i not in new and j not in used:
+            new[i] = j
+            used.add(j)
+    for n, i in enumerate(k for k in mine if k not in new):
+        new[i] = 125 + n
+    out = algebra.sync_objectids(make(mine), make(theirs), 0.3)
+    assert rows(out.objects, "objectid", "imagefile", "x1") == sorted(((new[i], f, b[0]) for i, (f, b) in mine.items()), key=repr) and len(used) > 5
+
+
+def test_pairs_of_a_crowded_image_equal_brute_force(spark):
+    rnd = np.random.default_rng(7)
+    boxes = {k: tuple(float(v) for v in (*rnd.integers(-50, 900, 2), *rnd.integers(1, 60, 2))) for k in range(700)}
+    boxes |= {1000: (0.0, 0.0, 900.0, 900.0), 1001: (5.0, 5.0, 0.0, 10.0), 1002: boxes[3]}
+    ds = Dataset.from_rows(spark, images=[image("a.jpg"), image("b.jpg")], objects=[thing(k, "a.jpg", b) for k, b in boxes.items()] + [thing(5000, "b.jpg", (0, 0, 900, 900))])
+    got = rows(filters.overlapping_pairs(ds.objects), "a_objectid", "b_objectid")
+    real = {k: b for k, b in boxes.items() if b[2] * b[3] > 0}
+    assert got == sorted(((i, j) for i, a in real.items() for j, b in real.items() if i != j and _iou(a, b) > 0), key=repr)
+
+
+def test_detection_curves_equal_plain_loops(spark):
+    """Average precision of many detections with ties and null scores, counted one by one."""
+    rnd = np.random.default_rng(9)
+    gt = [thing(k, "a.jpg", (20 * k, 0, 10, 10), "xy"[k % 2]) for k in range(80)]
+    det = [thing(1000 + k, "a.jpg", (20 * (k % 90) + int(rnd.integers(0, 6)), 0, 10, 10), "xy"[k % 2], None if k % 17 == 0 else round(float(rnd.random()), 1 + k % 2)) for k in range(300)]
+    g, d = (Dataset.from_rows(spark, images=[image("a.jpg")], objects=o) for o in (gt, det))
+    judged = {r.objectid: r.outcome for r in evaluate.judged_detections(d, g).collect()}
+    got = {r["name"]: (r.n_gt, r.ap) for r in evaluate.average_precision_envelope(d, g).collect()}
+    for name in "xy":
+        own = sorted((o for o in det if o[6] == name), key=lambda o: (o[7] is None, -(o[7] or 0), o[0]))
+        hits = np.cumsum([judged[o[0]] == "tp" for o in own])
+        precision = hits / np.arange(1, len(own) + 1)
+        envelope = np.maximum.accumulate(precision[::-1])[::-1]
+        ap = sum(e for e, o in zip(envelope, own) if judged[o[0]] == "tp") / 40
+        assert got[name] == (40, pytest.approx(ap))
+    curve = evaluate.precision_recall(d, g, mode="aggregate-classes").collect()
+    for r in curve:
+        assert r.tp == sum(x.hits for x in curve if x.score >= r.score)
+
+
+def test_clipped_edges_have_the_clipped_area(spark):
+    rnd = np.random.default_rng(3)
+    points, rings = [], {}
+    for k in range(40):
+        centre, half = rnd.uniform(-20, 120, 2), rnd.uniform(5, 40, 2)
+        rings[k] = np.array([centre + half * v for v in ((0, -1), (1, 0), (0, 1), (-1, 0))])
+        points += [(4 * k + n, k, float(x), float(y), None) for n, (x, y) in enumerate(rings[k])]
+    ds = Dataset.from_rows(spark, images=[image("a.jpg", 100, 80)], objects=[thing(k, "a.jpg", (0, 0, 1, 1)) for k in rings], polygons=points)
+    got = {}
+    for r in modify.clip_objects(ds).polygons.orderBy("id").collect():
+        assert 0 <= r.x <= 100 and 0 <= r.y <= 80
+        got.setdefault(r.objectid, []).append((r.x, r.y))
+    frame = np.array([(0, 0), (100, 0), (100, 80), (0, 80)], float)
+    for k, ring in rings.items():
+        common, _ = geometry.slab_areas([ring, frame])
+        own = np.array(got.get(k, [(0, 0)]))
+        area = abs(np.dot(own[:, 0], np.roll(own[:, 1], -1)) - np.dot(np.roll(own[:, 0], -1), own[:, 1])) / 2
+        assert area == pytest.approx(common, abs=1e-6)
+
+
 def test_property_to_id_must_stay_unique(three):
     with pytest.raises(ValueError, match="unique"):
         modify.property_to_objects_field(modify.update(three, "properties", {"value": "'3'"}, "objectid = 1"), "objectid", "yaw")
