@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.dataset import Dataset
-from quillframe.sources import exports, imports
+from quillframe.sources import exports, files, imports
 
 BOX = ("x1", "y1", "width", "height")
 
@@ -87,13 +87,45 @@ def test_exports_write_every_polygon_of_an_object(spark, two):
 def test_yolo_coco_cityscapes(spark, two, tmp_path):
     assert [tuple(r) for r in exports.yolo_lines(two, ["car", "bus"]).collect()] == [("a", "0 0.2 0.2 0.2 0.2\n1 0.25 0.5 0.5 1.0")]
     assert exports.yolo_lines(two, ["car"], as_polygons=True).first()["text"] == "0 0.1 0.1 0.3 0.1 0.3 0.3 0.1 0.3"
-    exports.export_coco(two, str(tmp_path / "coco"), description="x")
-    a = spark.read.json(str(tmp_path / "coco" / "annotations")).orderBy("id").collect()
-    assert [(r.image_id, r.category_id, r.bbox, r.area) for r in a] == [(0, 1, [10, 5, 20, 10], 200.0), (0, 0, [0, 0, 50, 50], 2500.0)]
+    whole = json.loads(open(exports.export_coco(two, str(tmp_path / "coco"), "val", description="x")).read())
+    assert [(r["image_id"], r["category_id"], r["bbox"], r["area"]) for r in whole["annotations"]] == [(0, 1, [10, 5, 20, 10], 200.0), (0, 0, [0, 0, 50, 50], 2500.0)]
+    assert whole["info"] == {"description": "x"} and [i["file_name"] for i in whole["images"]] == ["a.jpg", "b.jpg"] and [c["name"] for c in whole["categories"]] == ["bus", "car"]
+    assert not (tmp_path / "coco" / "annotations" / "instances_val.json.parts").exists()
+    empty = json.loads(open(exports.export_coco(Dataset.empty(spark), str(tmp_path / "none"))).read())
+    assert (empty["images"], empty["annotations"], empty["categories"]) == ([], [], [])
     record = json.loads(exports.cityscapes_records(two).filter(F.col("file") == "a").first()["text"])
     assert record["objects"][1] == {"label": "bus", "polygon": [[0, 0], [50, 0], [50, 50], [0, 50]]}
 
 
+def test_exports_make_the_files_that_readers_expect(spark, two, tmp_path):
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    for name in "ab":
+        (tmp_path / "in" / "d" / f"{name}.jpg").write_bytes(name.encode())
+    ds, out = two.with_(rootdir=str(tmp_path / "in")), tmp_path / "out"
+    assert exports.export_yolo(ds, str(out / "yolo"), ["car", "bus"], subset="train", copy_images=True, level=2) == 1
+    assert (out / "yolo" / "labels" / "train" / "d_a.txt").read_text() == "0 0.2 0.2 0.2 0.2\n1 0.25 0.5 0.5 1.0\n"
+    assert (out / "yolo" / "images" / "train" / "d_b.jpg").read_bytes() == b"b"
+    assert exports.export_yolo(ds, str(out / "poly"), ["bus"], as_polygons=True) == 1
+    assert (out / "poly" / "labels" / "a.txt").read_text() == "0 0.0 0.0 0.5 0.0 0.5 1.0 0.0 1.0\n"
+    assert exports.export_cityscapes(ds, str(out / "city"), split="val", image_kind="leftImg8bit") == 2
+    assert json.loads((out / "city" / "gtFine" / "val" / "d" / "d_a_gtFine_polygons.json").read_text())["imgWidth"] == 100
+    assert (out / "city" / "leftImg8bit" / "val" / "d" / "d_a_leftImg8bit.jpg").read_bytes() == b"a"
+    moved = exports.export_labelme(ds, str(out / "xml"), "f", str(out / "jpg"))
+    assert sorted(f.name for f in (out / "xml").iterdir()) == ["a.xml", "b.xml"] and (out / "jpg" / "a.jpg").exists()
+    assert {(i.name, i.imagefile) for i in moved.images.collect()} == {(f"d/{n}.jpg", f"{out}/jpg/{n}.jpg") for n in "ab"}
+    exports.export_coco(ds, str(out / "coco"), "t", copy_images=True)
+    assert (out / "coco" / "images" / "t" / "a.jpg").read_bytes() == b"a"
+    with pytest.raises(Exception, match="(?i)no such file|not found|does not exist|cannot open"):
+        exports.export_yolo(two.with_(rootdir=str(tmp_path / "none")), str(out / "bad"), ["car"], copy_images=True)
+
+
+def test_mask_files(spark, tmp_path):
+    masks = spark.createDataFrame([("d/a.jpg", 2, 3, bytes([0, 1, 2, 3, 4, 255])), ("b", 1, 1, bytes([9]))], "imagefile string, height int, width int, data binary")
+    assert files.write_masks(masks, str(tmp_path)) == 2
+    back = {r.imagefile: (r.height, r.width, bytes(r.data)) for r in files.read_masks(spark, f"{tmp_path}/*.png", str(tmp_path)).unionByName(files.read_masks(spark, f"{tmp_path}/d/*.png", str(tmp_path))).collect()}
+    assert back == {"d/a.png": (2, 3, bytes([0, 1, 2, 3, 4, 255])), "b.png": (1, 1, bytes([9]))}
+
+
 def test_sqlite_and_video(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "old.db")
     for t in ("images(imagefile, width, height, maskfile, timestamp, name, score)", "objects(objectid, imagefile, x1, y1, width, height, name, score)", "properties(id, objectid, key, value)", "polygons(id, objectid, x, y, name)", "matches(id, match, objectid)"):
