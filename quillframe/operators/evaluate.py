@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions.geometry import BOX, has_box, iou
+from .media import repaint_mask
 
 #: Negatives that anchor the precision curve at threshold zero, and their score.
 PADDING, PADDING_SCORE = 1_000_000, 0.0001
@@ -173,6 +174,21 @@ def evaluate_segmentation(ds: Dataset, pred_masks: DataFrame, gt_masks: DataFram
     return ds.with_(images=images), segmentation_scores(cells)[1]
 
 
+def evaluate_segmentation_by_class(ds: Dataset, pred_masks: DataFrame, gt_masks: DataFrame, gt_mapping: dict[int | str, str], pred_mapping: dict[int | str, str] | None = None, record_class: str | None = None) -> tuple[Dataset, DataFrame, DataFrame]:
+    """evaluate_segmentation for masks whose grey values mean classes by name, and the IoU of each class. Keys are as in label_table; values without a class don't count."""
+    names = list(dict.fromkeys(gt_mapping.values()))
+    if len(names) > 255:
+        raise ValueError("an 8-bit mask can't hold so many classes")
+    if unknown := set((pred_mapping or {}).values()) - set(names):
+        raise ValueError(f"classes of predictions only: {', '.join(sorted(unknown))}")
+    painted = lambda masks, mapping: repaint_mask(masks, {k: names.index(v) for k, v in mapping.items()}, other=255)
+    said, truth = painted(pred_masks, pred_mapping or gt_mapping), painted(gt_masks, gt_mapping)
+    out, whole = evaluate_segmentation(ds, said, truth, len(names), None if record_class is None else names.index(record_class))
+    per_class, _ = segmentation_scores(confusion(said, truth, len(names)))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("cls") + 1)
+    return out, whole, per_class.select(named.alias("name"), "iou")
+
+
 def evaluate_binary_segmentation(pred_masks: DataFrame, gt_masks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """threshold, precision and recall for each grey value (truth is 0 or 255, other pixels don't count), and the area below the curve."""
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dataset import Dataset, next_id
-from ..functions.geometry import fill, has_box
+from ..dataset import CHILDREN, Dataset, next_id
+from ..functions.geometry import BOX, fill, has_box
 from ..functions.paths import base_name, folder
 from .algebra import outlines
 from .modify import TRANSFORM, insert, numbered, update_object_transform
@@ -27,10 +27,52 @@ def _below(path: str, column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.concat(F.lit(path.rstrip("/") + "/"), F.col(column)))
 
 
-def _fit(width: int, height: int) -> dict[str, Column]:
-    """Scale and shift that take an object's box to (0, 0, width, height)."""
-    kx, ky = F.lit(float(width)) / F.col("width"), F.lit(float(height)) / F.col("height")
-    return {"kx": kx, "ky": ky, "bx": -F.col("x1") * kx, "by": -F.col("y1") * ky}
+EDGES = ("distort", "constant", "background", "original")
+
+
+def crop_frame(edges: str, width: int | None = None, height: int | None = None) -> dict[str, Column]:
+    """The crop of an object's box, as expressions: its whole-number region ya, xa, yb, xb, the size cw, ch, and the transform kx, ky, bx, by from image to crop.
+
+    distort stretches the region to the size; constant pads it with black to the size's ratio first, half on each side; background takes
+    more of the image instead; original keeps the region's own size. Sides that are not whole numbers move inwards.
+    """
+    if edges not in EDGES:
+        raise ValueError(f"edges must be one of {', '.join(EDGES)}")
+    if edges != "original" and not (width and height):
+        raise ValueError("a width and a height are needed")
+    x1, y1, w, h = (F.col(c) for c in BOX)
+    if edges == "background":
+        ratio = height / width
+        flat = h / w < ratio
+        more_y, more_x = F.when(flat, w * ratio - h).otherwise(0.0), F.when(flat, 0.0).otherwise(h / ratio - w)
+        x1, y1, w, h = x1 - more_x / 2, y1 - more_y / 2, w + more_x, h + more_y
+    whole = lambda c: c.cast("long")
+    ya, xa, yb, xb = whole(F.ceil(y1)), whole(F.ceil(x1)), whole(F.floor(y1 + h)), whole(F.floor(x1 + w))
+    rows, cols = yb - ya, xb - xa
+    pad_x = pad_y = F.lit(0).cast("long")
+    full_x, full_y = cols, rows
+    if edges == "constant":
+        ratio = height / width
+        tall = rows > whole(ratio * cols)
+        full_x = F.when(tall, whole(rows / ratio)).otherwise(cols)
+        full_y = F.when(tall, rows).otherwise(whole(ratio * cols))
+        half = lambda c: whole(F.floor(c / 2))
+        pad_x, pad_y = half(full_x - cols), half(full_y - rows)
+    kx = F.lit(1.0) if edges == "original" else F.lit(float(width)) / full_x
+    ky = F.lit(1.0) if edges == "original" else F.lit(float(height)) / full_y
+    size = (cols, rows) if edges == "original" else (F.lit(width), F.lit(height))
+    return {"ya": ya, "xa": xa, "yb": yb, "xb": xb, "pad_x": pad_x, "pad_y": pad_y, "full_x": full_x, "full_y": full_y, "cw": size[0].cast("int"), "ch": size[1].cast("int"), "kx": kx, "ky": ky, "bx": kx * (pad_x - xa), "by": ky * (pad_y - ya)}
+
+
+def _frames(ds: Dataset, where_object: str | None, edges: str, width: int | None, height: int | None) -> DataFrame:
+    """Objects with a box in an image, with their crops; regions of one pixel or none are an error."""
+    kept = ds.where("objects", where_object).filter(has_box()).join(ds.images.select("imagefile"), "imagefile", "left_semi")
+    if not kept.filter("width <= 1 or height <= 1").isEmpty():
+        raise ValueError("an object's box is too small to be cropped")
+    frames = kept.select(*ds.objects.columns, *(v.alias(k) for k, v in crop_frame(edges, width, height).items()))
+    if not frames.filter("yb - ya <= 1 or xb - xa <= 1").isEmpty():
+        raise ValueError("an object's box is too small to be cropped")
+    return frames
 
 
 def _apply(ds: Dataset, change: DataFrame) -> Dataset:
@@ -42,33 +84,59 @@ def _apply(ds: Dataset, change: DataFrame) -> Dataset:
     return update_object_transform(out, c)
 
 
-def crop_objects(ds: Dataset, image_path: str, width: int, height: int, where_object: str | None = None, by_name: bool = False) -> Dataset:
-    """A dataset of one image for each object with a box, stretched to the size; each has its object's name and score, and transforms say how to go back."""
-    if not ds.properties.filter(F.col("key").isin(*TRANSFORM)).isEmpty():
-        raise ValueError("objects have transforms already; revert them first")
-    kept = ds.where("objects", where_object).filter(has_box()).filter("width > 0 and height > 0").join(ds.images.select("imagefile"), "imagefile", "left_semi")
-    change = kept.select("objectid", *(v.alias(k) for k, v in _fit(width, height).items()))
-    file = F.concat(F.lit(image_path.rstrip("/") + "/"), F.when(F.lit(by_name), F.concat(F.coalesce("name", F.lit("none")), F.lit("/"))).otherwise(""), F.lpad(F.col("objectid").cast("string"), 9, "0"), F.lit(".jpg"))
-    files = kept.select("objectid", file.alias("crop"), "name", "score", F.col("imagefile").alias("old_imagefile"))
-    out = _apply(ds.keep_objects(kept), change)
-    images = files.select(F.col("crop").alias("imagefile"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(None).cast("string").alias("maskfile"), F.lit(None).cast("timestamp").alias("timestamp"), "name", "score")
-    objects = out.objects.join(files.select("objectid", "crop"), "objectid").withColumn("imagefile", F.col("crop"))
-    notes = files.select("objectid", F.explode(F.array(F.struct(F.lit("original_objectid").alias("key"), F.col("objectid").cast("string").alias("value")), F.struct(F.lit("old_imagefile").alias("key"), F.col("old_imagefile").alias("value")))).alias("p")).select("objectid", "p.key", "p.value")
-    made = numbered(notes, "id", next_id(out.properties, "id"), "objectid", "key")
+def crop_objects(
+    ds: Dataset, image_path: str, width: int | None = None, height: int | None = None, where_object: str | None = None, by_name: bool = False, edges: str = "distort", where_other_objects: str | None = None, name_in_file: bool = False, mask_path: str | None = None
+) -> Dataset:
+    """A dataset of one image for each object with a box; each has its object's name and score, and transforms say how to go back.
+
+    where_other_objects: these objects of an image go into each of its crops too, and all objects get fresh ids. Properties
+    `original_objectid` and, for the object that is cropped, `cropped` say which is which. See crop_frame for the edges.
+    """
+    if not ds.properties.filter(F.col("key").isin(*TRANSFORM, "original_objectid", "cropped")).isEmpty():
+        raise ValueError("objects have transforms or marks of crops already; revert them first")
+    frames = _frames(ds, where_object, edges, width, height)
+    named = F.regexp_replace(F.coalesce("name", F.lit("none")), "[^a-zA-Z0-9_.-]", "_")
+    number = F.lpad(F.col("objectid").cast("string"), 9, "0")
+    file = F.concat(named, F.lit("/"), number) if by_name else F.concat(named, F.lit("-"), number) if name_in_file else number
+    below = lambda path, end: F.concat(F.lit(path.rstrip("/") + "/"), file, F.lit(end))
+    frames = frames.withColumns({"crop": below(image_path, ".jpg"), "mask": below(mask_path, ".png") if mask_path else F.lit(None).cast("string")})
+    if where_other_objects is None:
+        members = frames.select(F.col("objectid").alias("frame"), "objectid", F.col("objectid").alias("new"))
+    else:
+        others = ds.where("objects", where_other_objects).select("objectid", "imagefile")
+        more = frames.select(F.col("objectid").alias("frame"), "imagefile").join(others, "imagefile").select("frame", "objectid")
+        members = numbered(more.union(frames.select("objectid", "objectid")).distinct(), "new", 1, "frame", "objectid").select("frame", "objectid", "new")
+    change = members.join(frames.select(F.col("objectid").alias("frame"), "crop", F.col("imagefile").alias("old"), *TRANSFORM), "frame")
+    renamed = lambda t: ds.table(t).join(members.select("objectid", "new"), "objectid").withColumn("objectid", F.col("new"))
+    tables = {t: renamed(t) for t in ("objects", *CHILDREN)}
+    if where_other_objects is not None:
+        tables |= {t: numbered(tables[t].withColumnRenamed("id", "was"), "id", 1, "objectid", "was") for t in CHILDREN}
+    out = _apply(ds.with_(**tables), change.select(F.col("new").alias("objectid"), *TRANSFORM))
+    masks = ds.images.filter("maskfile is not null").select("imagefile", F.lit(True).alias("masked")).distinct()
+    images = frames.join(masks, "imagefile", "left").join(ds.images.select("imagefile", "timestamp").dropDuplicates(["imagefile"]), "imagefile")
+    images = images.select(F.col("crop").alias("imagefile"), F.col("cw").alias("width"), F.col("ch").alias("height"), F.when(F.col("masked"), F.col("mask")).alias("maskfile"), "timestamp", "name", "score")
+    objects = out.objects.join(change.select(F.col("new").alias("objectid"), "crop"), "objectid").withColumn("imagefile", F.col("crop"))
+    note = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    own = F.when(F.col("frame") == F.col("objectid"), F.lit("true"))
+    notes = change.select(F.col("new").alias("objectid"), F.explode(F.array(note("original_objectid", F.col("objectid")), note("old_imagefile", F.col("old")), note("cropped", own))).alias("p"))
+    made = numbered(notes.select("objectid", "p.key", "p.value").filter("value is not null"), "id", next_id(out.properties, "id"), "objectid", "key")
     return insert(out.with_(images=images, objects=objects), "properties", made)
 
 
-def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int, rows: int = 5, columns: int = 5, gap: int = 10, where_object: str | None = None) -> Dataset:
-    """Packs crops of objects with a box into collages, row by row in order of name; transforms and old paths say how to go back."""
-    kept = ds.where("objects", where_object).filter(has_box()).join(ds.images.select("imagefile"), "imagefile", "left_semi")
-    if not kept.filter("width <= 0 or height <= 0").isEmpty():
-        raise ValueError("an object's box has no area")
+def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int, rows: int = 5, columns: int = 5, gap: int = 10, where_object: str | None = None, edges: str = "constant", split_by_name: bool = False) -> Dataset:
+    """Packs crops of objects with a box into collages, row by row in order of name; transforms and old paths say how to go back. split_by_name: each name begins a new collage."""
+    kept = _frames(ds, where_object, edges, cell_width, cell_height)
     placed = numbered(kept, "n", 0, F.col("name").asc_nulls_first(), F.col("objectid"))
-    cell = F.col("n") % (rows * columns)
+    cells = rows * columns
+    if split_by_name:
+        names = placed.groupBy("name").agg(F.min("n").alias("first"), F.ceil(F.count("*") / cells).alias("sheets"))
+        before = F.sum("sheets").over(Window.orderBy(F.col("name").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))  # a row for each name
+        names = names.select(F.col("name").alias("group"), "first", F.coalesce(before, F.lit(0)).alias("before"))
+        placed = placed.join(names, F.col("name").eqNullSafe(F.col("group"))).withColumn("n", F.col("n") - F.col("first") + F.col("before") * cells)
+    cell = F.col("n") % cells
     left, top = (cell % columns) * (cell_width + gap), F.floor(cell / columns) * (cell_height + gap)
-    fit = _fit(cell_width, cell_height)
-    file = F.concat(F.lit(image_path.rstrip("/") + "/"), F.lpad(F.floor(F.col("n") / (rows * columns)).cast("string"), 6, "0"), F.lit(".jpg"))
-    placed = placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), fit["kx"].alias("kx"), fit["ky"].alias("ky"), (fit["bx"] + left).alias("bx"), (fit["by"] + top).alias("by")).persist()
+    file = F.concat(F.lit(image_path.rstrip("/") + "/"), F.lpad(F.floor(F.col("n") / cells).cast("string"), 6, "0"), F.lit(".jpg"))
+    placed = placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), "kx", "ky", (F.col("bx") + left).alias("bx"), (F.col("by") + top).alias("by")).persist()
     out = _apply(ds.keep_objects(placed), placed)
     size = (columns * (cell_width + gap) - gap, rows * (cell_height + gap) - gap)
     nothing = lambda kind: F.lit(None).cast(kind)
@@ -78,6 +146,26 @@ def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int
     return insert(out.with_(images=images, objects=objects), "properties", notes)
 
 
+def crop_object_pixels(ds: Dataset, pixels: DataFrame, edges: str, width: int | None = None, height: int | None = None, where_object: str | None = None) -> DataFrame:
+    """objectid, height, width and data of each object's crop from grey pictures (imagefile, height, width, data); what lies outside is black, scaling takes the nearest pixel."""
+    frames = _frames(ds, where_object, edges, width, height).select("objectid", "imagefile", *(F.col(c).cast("long").alias(c) for c in ("ya", "xa", "yb", "xb", "pad_x", "pad_y", "full_x", "full_y", "cw", "ch")))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            out = []
+            for r in some.itertuples():
+                whole = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
+                part = np.zeros((r.full_y, r.full_x), np.uint8)
+                a, b, c, d = max(r.ya, 0), min(r.yb, r.height), max(r.xa, 0), min(r.xb, r.width)
+                if b > a and d > c:
+                    part[r.pad_y + a - r.ya : r.pad_y + b - r.ya, r.pad_x + c - r.xa : r.pad_x + d - r.xa] = whole[a:b, c:d]
+                part = part[(np.arange(r.ch) * r.full_y // r.ch)[:, None], np.arange(r.cw) * r.full_x // r.cw]
+                out.append((r.objectid, r.ch, r.cw, part.tobytes()))
+            yield pd.DataFrame(out, columns=["objectid", "height", "width", "data"])
+
+    return frames.join(pixels.select("imagefile", "height", "width", "data"), "imagefile").mapInPandas(cut, "objectid long, height int, width int, data binary")
+
+
 def write_media(ds: Dataset, image_path: str, mask_path: str | None = None, where_image: str | None = None) -> Dataset:
     """Paths of a copy of the media below new folders; images that the condition leaves out go."""
     out = ds.keep_images(ds.where("images", where_image))
@@ -85,18 +173,20 @@ def write_media(ds: Dataset, image_path: str, mask_path: str | None = None, wher
     return out.with_(images=out.images.withColumns({"imagefile": _below(image_path, "imagefile"), "maskfile": masks}), objects=out.objects.withColumn("imagefile", _below(image_path, "imagefile")))
 
 
-def polygons_to_mask(ds: Dataset, boxes_too: bool = False) -> DataFrame:
-    """imagefile, height, width and data: polygons filled with 255; where several polygons of one object meet, each counts its part, and sums stop at 255."""
+def polygons_to_mask(ds: Dataset, boxes_too: bool = False, skip_empty: bool = False) -> DataFrame:
+    """imagefile, height, width and data of each image of known size: polygons filled with 255; where several polygons of one object meet, each counts its part, and sums stop at 255. skip_empty leaves out masks that are black."""
     shapes = outlines(ds) if boxes_too else outlines(ds).join(ds.polygons.select("objectid"), "objectid", "left_semi")
-    sized = shapes.join(ds.images.select("imagefile", F.col("width").alias("w"), F.col("height").alias("h")), "imagefile")
+    images = ds.images.filter("imagefile is not null and width is not null and height is not null").select("imagefile", F.col("width").alias("w"), F.col("height").alias("h")).dropDuplicates(["imagefile"])
+    sized = images.join(shapes, "imagefile", "inner" if skip_empty else "left")
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         w, h = int(rows["w"].iloc[0]), int(rows["h"].iloc[0])
         total = np.zeros((h, w), np.int64)
-        for _, own in rows.sort_values("id").groupby("objectid"):
+        for _, own in rows.dropna(subset=["objectid"]).sort_values("id").groupby("objectid"):
             rings = [r[["x", "y"]].to_numpy(float) for _, r in own.groupby("name", sort=False)]
             total += sum(fill(r, w, h).astype(np.int64) * 255 for r in rings) // len(rings)
-        return pd.DataFrame([(rows["imagefile"].iloc[0], h, w, np.minimum(total, 255).astype(np.uint8).tobytes())], columns=["imagefile", "height", "width", "data"])
+        out = [] if skip_empty and not total.any() else [(rows["imagefile"].iloc[0], h, w, np.minimum(total, 255).astype(np.uint8).tobytes())]
+        return pd.DataFrame(out, columns=["imagefile", "height", "width", "data"])
 
     return sized.groupBy("imagefile").applyInPandas(draw, "imagefile string, height int, width int, data binary")
 
@@ -124,10 +214,10 @@ def label_table(mapping: dict[int | str, int]) -> np.ndarray:
     return table
 
 
-def repaint_mask(masks: DataFrame, mapping: dict[int | str, int]) -> DataFrame:
-    """Masks with grey values replaced; values that the mapping lacks stay."""
+def repaint_mask(masks: DataFrame, mapping: dict[int | str, int], other: int | None = None) -> DataFrame:
+    """Masks with grey values replaced; values that the mapping lacks stay, or become `other`."""
     table = label_table(mapping)
-    lut = np.where(table >= 0, table, np.arange(256)).astype(np.uint8)
+    lut = np.where(table >= 0, table, np.arange(256) if other is None else other).astype(np.uint8)
 
     @F.pandas_udf("binary")
     def paint(data: pd.Series) -> pd.Series:

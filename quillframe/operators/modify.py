@@ -133,9 +133,10 @@ def rename_objects(ds: Dataset, names: dict[str, str], discard_other: bool = Fal
 
 
 def resize_annotations(ds: Dataset, width: int | None = None, height: int | None = None, where_image: str | None = None) -> Dataset:
-    """Scales boxes and vertices to new image sizes (one size given: the ratio stays), cut to whole numbers."""
+    """Scales boxes and vertices to new image sizes (one size given: the ratio stays), cut to whole numbers. Images that share a mask must be of one size."""
     if width is None and height is None:
         raise ValueError("give a width, a height or both")
+    check_mask_sizes(ds)
     scaled = ds.where("images", where_image).select("imagefile", F.col("width").alias("w"), F.col("height").alias("h"))
     kx = F.lit(width) / F.col("w") if width is not None else F.lit(height) / F.col("h")
     ky = F.lit(height) / F.col("h") if height is not None else F.lit(width) / F.col("w")
@@ -152,6 +153,22 @@ def resize_annotations(ds: Dataset, width: int | None = None, height: int | None
     )
 
 
+def check_mask_sizes(ds: Dataset) -> None:
+    """Raises an error if images of different sizes share a mask."""
+    sizes = ds.images.filter("maskfile is not null").groupBy("maskfile").agg(F.count_distinct("width").alias("w"), F.count_distinct("height").alias("h")).filter("w > 1 or h > 1")
+    if bad := [r.maskfile for r in sizes.orderBy("maskfile").limit(5).collect()]:
+        raise ValueError(f"images of different sizes share a mask, such as {', '.join(bad)}")
+
+
+def invalid_objects(ds: Dataset) -> DataFrame:
+    """objectid and what is wrong: a box that is known in part, or of negative size, or a polygon of fewer than three vertices or with unknown ones."""
+    known = sum((F.col(c).isNotNull().cast("int") for c in BOX), F.lit(0))
+    boxes = ds.objects.select("objectid", F.when((known > 0) & (known < 4), "part of a box").when((F.col("width") < 0) | (F.col("height") < 0), "negative size").alias("fault"))
+    rings = ds.polygons.groupBy("objectid", "name").agg(F.count("*").alias("n"), F.count_if(F.expr("x is null or y is null")).alias("unknown"))
+    polygons = rings.select("objectid", F.when(F.col("unknown") > 0, "unknown vertex").when(F.col("n") < 3, "fewer than three vertices").alias("fault"))
+    return boxes.union(polygons).filter("fault is not null").distinct()
+
+
 def property_to_objects_field(ds: Dataset, field: str, key: str) -> Dataset:
     """Copies a property's value (the first by id) into a column of objects; as `objectid` it renumbers objects in all tables."""
     value = ds.properties.filter(F.col("key") == key).groupBy("objectid").agg(F.min_by("value", "id").alias("v"))

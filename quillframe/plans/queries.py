@@ -422,6 +422,22 @@ def crop_objects(spark: SparkSession, d: str) -> DataFrame:
     return o.select("objectid", "imagefile", *((F.round(c, 6) + 0).alias(c) for c in ("x1", "y1", "width", "kx")), F.round("by", 6).alias("oy"), "xs")
 
 
+@query(""", f AS (SELECT o.*, CASE WHEN height / width < 0.75 THEN 0 ELSE height / 0.75 - width END AS mx, CASE WHEN height / width < 0.75 THEN width * 0.75 - height ELSE 0 END AS my FROM objects o WHERE x1 IS NOT NULL AND name = '1-URGENT'
+), r AS (SELECT objectid AS frame, imagefile, ceil(x1 - mx / 2) AS xa, ceil(y1 - my / 2) AS ya, floor(x1 + width + mx / 2) AS xb, floor(y1 + height + my / 2) AS yb FROM f
+), m AS (SELECT frame, objectid FROM r JOIN objects USING (imagefile) WHERE objects.score > 0.8 UNION SELECT frame, frame FROM r)
+SELECT row_number() OVER (ORDER BY frame, m.objectid) AS objectid, 'crops/' || lpad(CAST(frame AS VARCHAR), 9, '0') || '.jpg' AS imagefile, round((x1 - xa) * 64 / (xb - xa), 5) + 0 AS x1, round((y1 - ya) * 48 / (yb - ya), 5) + 0 AS y1, round(width * 64 / (xb - xa), 5) AS width FROM m JOIN r USING (frame) JOIN objects o ON o.objectid = m.objectid""")
+def crop_with_other_objects(spark: SparkSession, d: str) -> DataFrame:
+    ds = media.crop_objects(_ds(spark, d), "crops", 64, 48, where_object="name = '1-URGENT'", edges="background", where_other_objects="score > 0.8")
+    return ds.objects.select("objectid", "imagefile", *((F.round(c, 5) + 0).alias(c) for c in ("x1", "y1", "width")))
+
+
+@query("""SELECT objectid, 'negative size' AS fault FROM objects WHERE objectid % 9 = 0 AND x1 IS NOT NULL UNION SELECT objectid, 'part of a box' FROM objects WHERE objectid % 9 = 1 AND x1 IS NOT NULL UNION SELECT objectid, 'fewer than three vertices' FROM polygons WHERE objectid % 2 = 0""")
+def invalid_objects(spark: SparkSession, d: str) -> DataFrame:
+    ds = _ds(spark, d)
+    bad = ds.objects.withColumns({"width": F.expr("if(objectid % 9 = 0, -1D, width)"), "x1": F.expr("if(objectid % 9 = 1, null, x1)")})
+    return modify.invalid_objects(ds.with_(objects=bad, polygons=ds.polygons.filter("objectid % 2 = 1 or id % 4 > 1")))
+
+
 @query("SELECT objectid, round(x1, 6) AS x1, round(y1, 6) AS y1, imagefile FROM objects WHERE x1 IS NOT NULL")
 def tile_then_revert(spark: SparkSession, d: str) -> DataFrame:
     ds = media.tile_objects(_ds(spark, d), "tiles", 64, 48)

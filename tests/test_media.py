@@ -66,6 +66,98 @@ def test_crops_tiles_and_paths(spark):
     assert [(r.batch, r.place) for r in b] == [(0, 0), (0, 1), (1, 0)]
 
 
+FRAMES = [
+    # edges, box (y1, x1, y2, x2), height, width; where the box lies in the crop, and its size
+    ("original", (-10, 30, 10, 70), None, None, (0, 0, 20, 40), (20, 40)),
+    ("original", (40, 170, 60, 210), None, None, (0, 0, 20, 40), (20, 40)),
+    ("distort", (40, 30, 60, 70), 40, 40, (0, 0, 40, 40), (40, 40)),
+    ("constant", (40, 30, 60, 70), 40, 40, (10, 0, 30, 40), (40, 40)),
+    ("constant", (40, 30, 80, 50), 40, 40, (0, 10, 40, 30), (40, 40)),
+    ("background", (45, 40, 55, 60), 20, 20, (5, 0, 15, 20), (20, 20)),
+    ("background", (40, 45, 60, 55), 20, 20, (0, 5, 20, 15), (20, 20)),
+    ("background", (0, 40, 10, 60), 20, 20, (5, 0, 15, 20), (20, 20)),
+    ("background", (0, 40, 10, 60), 40, 40, (10, 0, 30, 40), (40, 40)),
+]
+
+
+@pytest.mark.parametrize("edges, roi, height, width, inside, size", FRAMES)
+def test_crops_by_edges(spark, edges, roi, height, width, inside, size):
+    y1, x1, y2, x2 = map(float, roi)
+    ds = Dataset.from_rows(spark, images=[("a", 200, 100, None, None, None, None)], objects=[(1, "a", x1, y1, x2 - x1, y2 - y1, "n", None)])
+    out = media.crop_objects(ds, "crops", width, height, edges=edges)
+    o, i = out.objects.first(), out.images.first()
+    assert (o.y1, o.x1, o.y1 + o.height, o.x1 + o.width) == pytest.approx(inside) and (i.height, i.width) == size
+    assert {(p.key, p.value) for p in out.properties.filter("key in ('cropped', 'original_objectid')").collect()} == {("cropped", "true"), ("original_objectid", "1")}
+    whole = (np.arange(100)[:, None] + np.arange(200)[None, :]).astype(np.uint8)
+    cut = media.crop_object_pixels(ds, spark.createDataFrame([("a", 100, 200, whole.tobytes())], evaluate.MASK), edges, width, height).first()
+    part = np.frombuffer(cut.data, np.uint8).reshape(cut.height, cut.width)
+    assert part.shape == size
+    k = (inside[2] - inside[0]) / (y2 - y1), (inside[3] - inside[1]) / (x2 - x1)
+    for y in range(size[0]):
+        for x in (0, size[1] // 2, size[1] - 1):
+            there = int(np.floor((y - inside[0]) / k[0] + y1)), int(np.floor((x - inside[1]) / k[1] + x1))
+            seen = 0 <= there[0] < 100 and 0 <= there[1] < 200 and (edges != "constant" or (inside[0] <= y < inside[2] and inside[1] <= x < inside[3]))
+            assert part[y, x] == (whole[there] if seen else 0), (y, x)
+
+
+def test_crops_need_a_size_and_an_area(spark):
+    ds = Dataset.from_rows(spark, images=[("a", 200, 100, None, None, None, None)], objects=[(1, "a", 9.1, 20.0, 2.8, 20.0, None, None)])
+    with pytest.raises(ValueError, match="needed"):
+        media.crop_objects(ds, "crops", edges="constant")
+    with pytest.raises(ValueError, match="small"):
+        media.crop_objects(ds, "crops", 20, 20, edges="constant")
+    with pytest.raises(ValueError, match="one of"):
+        media.crop_objects(ds, "crops", 20, 20, edges="round")
+
+
+def test_crops_take_other_objects_along(spark):
+    ds = Dataset.from_rows(
+        spark,
+        images=[("a", 200, 100, "m", None, None, None)],
+        objects=[(1, "a", 10.0, 10.0, 20.0, 20.0, "car", None), (2, "a", 15.0, 15.0, 5.0, 5.0, "wheel", None), (3, "a", 100.0, 10.0, 20.0, 20.0, "car", 0.5)],
+        properties=[(1, 2, "size", "small")],
+        polygons=[(1, 2, 15.0, 15.0, "p")],
+        matches=[(1, 4, 1), (2, 4, 2)],
+    )
+    out = media.crop_objects(ds, "crops", 40, 40, where_object="name = 'car'", where_other_objects="name = 'wheel'", name_in_file=True, mask_path="masks")
+    got = sorted((o.objectid, o.imagefile, o.name, o.x1, o.width) for o in out.objects.collect())
+    assert got == [(1, "crops/car-000000001.jpg", "car", 0.0, 40.0), (2, "crops/car-000000001.jpg", "wheel", 10.0, 10.0), (3, "crops/car-000000003.jpg", "wheel", -170.0, 10.0), (4, "crops/car-000000003.jpg", "car", 0.0, 40.0)]
+    assert out.properties.filter("key = 'size'").count() == 2 and out.polygons.count() == 2 and sorted(m.objectid for m in out.matches.collect()) == [1, 2, 3]
+    assert {i.maskfile for i in out.images.collect()} == {"masks/car-000000001.png", "masks/car-000000003.png"}
+    assert {(p.objectid, p.value) for p in out.properties.filter("key = 'original_objectid'").collect()} == {(1, "1"), (2, "2"), (3, "2"), (4, "3")}
+
+
+def test_tiles_begin_anew_with_each_name(spark):
+    ds = Dataset.from_rows(spark, images=[("a", 900, 100, None, None, None, None)], objects=[(k, "a", 30.0 * k, 5.0, 20.0, 10.0, n, None) for k, n in enumerate([None, "x", "x", "x", "y"])])
+    out = media.tile_objects(ds, "t", 40, 40, rows=1, columns=2, split_by_name=True)
+    assert {o.objectid: o.imagefile for o in out.objects.collect()} == {0: "t/000000.jpg", 1: "t/000001.jpg", 2: "t/000001.jpg", 3: "t/000002.jpg", 4: "t/000003.jpg"}
+    for edges in ("constant", "background", "distort"):
+        back = modify.revert_object_transforms(media.tile_objects(ds, "t", 40, 30, edges=edges))
+        assert sorted((o.objectid, round(o.x1, 6), round(o.y1, 6), round(o.width, 6), o.imagefile) for o in back.objects.collect()) == [(k, 30.0 * k, 5.0, 20.0, "a") for k in range(5)]
+
+
+def test_masks_of_empty_images_and_checks(spark):
+    ds = Dataset.from_rows(spark, images=[("a", 8, 6, "x", None, None, None), ("b", 4, 2, None, None, None, None), ("c", None, None, None, None, None, None)], objects=[(1, "a", 1.0, 1.0, 3.0, 2.0, None, None)])
+    assert {(r.imagefile, len(r.data), max(r.data)) for r in media.polygons_to_mask(ds, boxes_too=True).collect()} == {("a", 48, 255), ("b", 8, 0)}
+    assert [r.imagefile for r in media.polygons_to_mask(ds, boxes_too=True, skip_empty=True).collect()] == ["a"]
+    good = [("a", 60, 40, "x", None, None, None), ("b", 60, 40, "x", None, None, None), (None, 60, 40, "x", None, None, None), ("d", 300, 500, None, None, None, None), ("e", 400, 600, None, None, None, None)]
+    modify.check_mask_sizes(Dataset.from_rows(spark, images=good))
+    with pytest.raises(ValueError, match="share a mask"):
+        modify.resize_annotations(Dataset.from_rows(spark, images=[*good, ("f", 100, 100, "x", None, None, None)]), width=10)
+
+
+def test_segmentation_by_class_names(spark):
+    truth = spark.createDataFrame([("a", 1, 6, bytes([0, 0, 200, 255, 7, 0]))], evaluate.MASK)
+    said = spark.createDataFrame([("a", 1, 6, bytes([1, 2, 2, 2, 1, 9]))], evaluate.MASK)
+    ds = Dataset.from_rows(spark, images=[("a", 6, 1, None, None, None, None)])
+    out, whole, per_class = evaluate.evaluate_segmentation_by_class(ds, said, truth, {0: "road", ">=200": "car"}, {1: "road", 2: "car"}, "car")
+    # the pixels 7 and 9 have no class; of the rest: road is 1 of 2, car 2 of 3
+    assert {r["name"]: r.iou for r in per_class.collect()} == {"road": 0.5, "car": pytest.approx(2 / 3)}
+    assert out.images.first()["score"] == pytest.approx(2 / 3) and whole.first()["pixel_accuracy"] == 0.75
+    with pytest.raises(ValueError, match="only"):
+        evaluate.evaluate_segmentation_by_class(ds, said, truth, {0: "road"}, {1: "bus"})
+
+
 def test_interactive_effects(spark):
     ds = Dataset.from_rows(spark, images=[("a", 1, 1, None, None, None, None)], objects=[(k, "a", None, None, None, None, "n", None) for k in range(4)], matches=[(1, 5, 0)])
     one = modify.add_match(ds, 0, 1)
