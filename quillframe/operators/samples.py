@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..dataset import Dataset
-from .modify import numbered
+from ..dataset import Dataset, next_id
+from .modify import insert, numbered
 
 
 def image_samples(ds: Dataset, where_image: str | None = None, where_object: str | None = None) -> DataFrame:
@@ -30,3 +33,41 @@ def batches(samples: DataFrame, key: str, size: int, seed: int | None = None) ->
     order = [F.col(key)] if seed is None else [F.xxhash64(key, F.lit(seed)), F.col(key)]
     n = numbered(samples, "__n", 0, *order)
     return n.withColumn("batch", F.floor(F.col("__n") / size)).withColumn("place", F.col("__n") % size).drop("__n")
+
+
+def select_keys(samples: DataFrame, keys: list[str] | tuple[str, ...] | dict[str, str]) -> DataFrame:
+    """The named columns in their order; a dict renames them."""
+    named = keys if isinstance(keys, dict) else {k: k for k in keys}
+    if unknown := [k for k in named if k not in samples.columns]:
+        raise ValueError(f"samples have no {', '.join(unknown)}")
+    return samples.select(*(F.col(k).alias(v) for k, v in named.items()))
+
+
+def transformed(samples: DataFrame, transforms: Callable[[DataFrame], DataFrame] | dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One function of all samples, or one of each named column."""
+    if callable(transforms):
+        return transforms(samples)
+    if unknown := [k for k in transforms if k not in samples.columns]:
+        raise ValueError(f"samples have no {', '.join(unknown)}")
+    return samples.withColumns({k: f(F.col(k)) for k, f in transforms.items()})
+
+
+def iterate(batched: DataFrame) -> Iterator[list[Row]]:
+    """The rows of each batch in order; the driver holds a partition at a time."""
+    rows = batched.repartitionByRange("batch", "place").sortWithinPartitions("batch", "place").toLocalIterator(prefetchPartitions=True)
+    for _, own in groupby(rows, key=lambda r: r["batch"]):
+        yield list(own)
+
+
+def add_records(ds: Dataset, records: Iterable[tuple[int, str, str]]) -> Dataset:
+    """Adds properties (objectid, key, value), such as predictions made for samples; objects must exist."""
+    rows = ds.spark.createDataFrame(list(records), "objectid long, key string, value string")
+    return add_record_table(ds, rows)
+
+
+def add_record_table(ds: Dataset, rows: DataFrame) -> Dataset:
+    """add_records from a table of any size."""
+    lost = rows.join(ds.objects, "objectid", "left_anti").select("objectid").limit(1).collect()
+    if lost:
+        raise KeyError(f"no object has the id {lost[0][0]}")
+    return insert(ds, "properties", numbered(rows, "id", next_id(ds.properties, "id"), "objectid", "key", "value"))

@@ -434,7 +434,7 @@ def crop_with_other_objects(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT objectid, 'negative size' AS fault FROM objects WHERE objectid % 9 = 0 AND x1 IS NOT NULL UNION SELECT objectid, 'part of a box' FROM objects WHERE objectid % 9 = 1 AND x1 IS NOT NULL UNION SELECT objectid, 'fewer than three vertices' FROM polygons WHERE objectid % 2 = 0""")
 def invalid_objects(spark: SparkSession, d: str) -> DataFrame:
     ds = _ds(spark, d)
-    bad = ds.objects.withColumns({"width": F.expr("if(objectid % 9 = 0, -1D, width)"), "x1": F.expr("if(objectid % 9 = 1, null, x1)")})
+    bad = ds.objects.withColumns({"width": F.expr("if(objectid % 9 = 0 and x1 is not null, -1D, width)"), "x1": F.expr("if(objectid % 9 = 1, null, x1)")})
     return modify.invalid_objects(ds.with_(objects=bad, polygons=ds.polygons.filter("objectid % 2 = 1 or id % 4 > 1")))
 
 
@@ -457,6 +457,17 @@ def object_samples(spark: SparkSession, d: str) -> DataFrame:
     return s.select("objectid", F.try_element_at("properties", F.lit("status")).alias("status"), F.try_element_at("properties", F.lit("yaw")).alias("yaw"))
 
 
+@query("SELECT objectid AS id, name AS label, CASE WHEN score > 0.5 THEN 'sure' ELSE 'unsure' END AS score FROM objects")
+def selected_samples(spark: SparkSession, d: str) -> DataFrame:
+    chosen = samples.select_keys(samples.object_samples(_ds(spark, d)), {"objectid": "id", "name": "label", "score": "score"})
+    return samples.transformed(chosen, {"score": lambda c: F.when(c > 0.5, "sure").otherwise("unsure")})
+
+
+@query("SELECT objectid, floor((row_number() OVER (ORDER BY objectid) - 1) / 64)::BIGINT AS batch, (row_number() OVER (ORDER BY objectid) - 1) % 64 AS place FROM objects")
+def batches(spark: SparkSession, d: str) -> DataFrame:
+    return samples.batches(samples.object_samples(_ds(spark, d)), "objectid", 64).select("objectid", "batch", "place")
+
+
 @query("SELECT imagefile, replace(imagefile, '/', '_') AS name FROM images")
 def exported_names(spark: SparkSession, d: str) -> DataFrame:
     return _ds(spark, d).images.select("imagefile", paths.exported_name(F.col("imagefile"), 2).alias("name"))

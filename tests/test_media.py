@@ -158,6 +158,22 @@ def test_segmentation_by_class_names(spark):
         evaluate.evaluate_segmentation_by_class(ds, said, truth, {0: "road"}, {1: "bus"})
 
 
+def test_samples_for_training(spark):
+    ds = Dataset.from_rows(spark, images=[("a", 1, 1, None, None, None, None)], objects=[(k, "a", None, None, None, None, "n", 0.1 * k) for k in range(7)])
+    chosen = samples.transformed(samples.select_keys(samples.object_samples(ds), {"objectid": "id", "score": "score"}), {"score": lambda c: c * 10})
+    got = list(samples.iterate(samples.batches(chosen, "id", 3)))
+    assert [[r["id"] for r in b] for b in got] == [[0, 1, 2], [3, 4, 5], [6]] and got[1][0]["score"] == pytest.approx(3.0)
+    assert sorted(r["id"] for b in samples.iterate(samples.batches(chosen, "id", 2, seed=1)) for r in b) == list(range(7))
+    assert samples.transformed(chosen, lambda df: df.filter("id > 4")).count() == 2
+    for bad in (lambda: samples.select_keys(chosen, ["absent"]), lambda: samples.transformed(chosen, {"absent": F.abs})):
+        with pytest.raises(ValueError):
+            bad()
+    out = samples.add_records(ds, [(1, "said", "yes"), (2, "said", "no")])
+    assert sorted((p.id, p.objectid, p.value) for p in out.properties.collect()) == [(1, 1, "yes"), (2, 2, "no")]
+    with pytest.raises(KeyError):
+        samples.add_records(ds, [(99, "k", "v")])
+
+
 def test_interactive_effects(spark):
     ds = Dataset.from_rows(spark, images=[("a", 1, 1, None, None, None, None)], objects=[(k, "a", None, None, None, None, "n", None) for k in range(4)], matches=[(1, 5, 0)])
     one = modify.add_match(ds, 0, 1)

@@ -1,5 +1,6 @@
 """Readers and writers of annotation formats on small files."""
 
+import datetime
 import json
 import sqlite3
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.dataset import Dataset
-from quillframe.sources import exports, files, imports
+from quillframe.sources import exports, files, imports, writer
 
 BOX = ("x1", "y1", "width", "height")
 
@@ -126,14 +127,87 @@ def test_mask_files(spark, tmp_path):
     assert back == {"d/a.png": (2, 3, bytes([0, 1, 2, 3, 4, 255])), "b.png": (1, 1, bytes([9]))}
 
 
+def _files(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "file string")
+
+
+def test_masks_and_options_of_readers(spark, tmp_path):
+    (tmp_path / "000001.txt").write_text("Car 0.0 1 1.5 10 20 29 49 1 2 3 4 5 6 0.1\n\nVan 0.0 0 1.5 0 0 9 9 1 2 3 4 5 6 0.1 0.75\n")
+    (tmp_path / "000002.txt").write_text("")
+    images = spark.createDataFrame([("i/000001.png", 100, 50), ("i/000002.png", 100, 50)], "imagefile string, width int, height int")
+    ds = imports.import_kitti(spark, str(tmp_path), images, _files(spark, "m/000001.png", "m/000002.png"))
+    assert {(i.imagefile, i.maskfile) for i in ds.images.collect()} == {(f"i/00000{k}.png", f"m/00000{k}.png") for k in (1, 2)}
+    assert [o.name for o in ds.objects.orderBy("objectid").collect()] == ["Car", "Van"] and ds.properties.count() == 20
+    with pytest.raises(ValueError, match="no mask"):
+        imports.import_kitti(spark, str(tmp_path), images, _files(spark, "m/000001.png"))
+    with pytest.raises(ValueError, match="no annotation"):
+        imports.import_kitti(spark, str(tmp_path), images.union(spark.createDataFrame([("i/3.png", 1, 1)], images.schema)))
+    entry = {"name": "a.jpg", "attributes": {}, "labels": []}
+    (tmp_path / "d.json").write_text(json.dumps([entry]))
+    bdd = imports.import_bdd(spark, str(tmp_path / "d.json"), spark.createDataFrame([("x/a.jpg", 10, 10)], "imagefile string, width int, height int"), _files(spark, "m/a_train_id.png"))
+    assert bdd.images.first()["maskfile"] == "m/a_train_id.png"
+    for split in ("train", "val"):
+        city = tmp_path / "gtFine" / split / "x"
+        city.mkdir(parents=True)
+        (city / f"x_0_{split}_gtFine_polygons.json").write_text(json.dumps({"imgHeight": 10, "imgWidth": 20, "objects": []}))
+    masks = _files(spark, "m/x_0_val_gtFine_labelIds.png", "m/x_0_val_gtFine_color.png")
+    ds = imports.import_cityscapes(spark, str(tmp_path / "gtFine/*/*"), "color", masks, splits=["val"])
+    assert [(i.imagefile.rsplit("/", 1)[1], i.maskfile) for i in ds.images.collect()] == [("x_0_val_leftImg8bit.png", "m/x_0_val_gtFine_color.png")]
+    with pytest.raises(ValueError, match="another size"):
+        imports.import_cityscapes(spark, str(tmp_path / "gtFine/*/*"), images=ds.images.select("imagefile", F.lit(1).alias("width"), "height"))
+
+
+def test_labelme_goes_back_to_the_dataset(spark, two, tmp_path):
+    shifted = two.with_(polygons=two.polygons.withColumn("x", F.col("x") + 1), objects=two.objects.withColumn("name", F.concat("name", F.lit("!"))))
+    for r in exports.labelme_records(shifted, "f").collect():
+        (tmp_path / f"{r.file}.xml").write_text(r.text)
+    out = imports.replace_from_labelme(two, str(tmp_path))
+    assert sorted(tuple(r) for r in out.objects.select("objectid", "name", *BOX).collect()) == [(1, "car!", 11.0, 5.0, 20.0, 10.0), (2, "bus!", 0.0, 0.0, 50.0, 50.0)]
+    assert out.polygons.filter("objectid = 1").agg(F.min("x")).first()[0] == 11.0 and out.polygons.count() == 8
+    with pytest.raises(ValueError, match="no object has the id"):
+        imports.replace_from_labelme(two.keep_objects(two.objects.filter("objectid = 1")), str(tmp_path))
+    names = spark.createDataFrame([("d/a.jpg", "old/a.jpg"), ("d/b.jpg", "old/b.jpg")], "imagefile string, name string")
+    assert {i.imagefile for i in imports.import_labelme(spark, str(tmp_path), "d", names).images.collect()} == {"old/a.jpg", "old/b.jpg"}
+    with pytest.raises(KeyError):
+        imports.import_labelme(spark, str(tmp_path), "d", names.limit(1))
+
+
+def test_dataset_writer(spark):
+    w = writer.DatasetWriter(spark, flush=2)
+    assert w.add_image({"imagefile": "a.jpg", "width": 10, "height": 5, "name": "n", "score": 0.5}) == "a.jpg"
+    w.add_image({"imagefile": "a.jpg", "width": 10, "height": 5})
+    w.add_image({"imagefile": "b.jpg", "width": 10, "height": 5, "maskfile": "m.png", "timestamp": datetime.datetime(2020, 1, 2)})
+    ids = [w.add_object({"imagefile": "a.jpg", "x1": 1, "y1": 2, "width": 3, "height": 4, "name": "car", "score": 1.0, "yaw": 15}), w.add_object({"imagefile": "b.jpg", "objectid": 7}), w.add_object({"imagefile": "b.jpg"})]
+    assert ids == [1, 7, 8]
+    match = w.add_match(1)
+    assert (match, w.add_match(7, match), w.add_match(8)) == (0, 0, 1)
+    for bad, error in (({"imagefile": "a.jpg", "x1": 1.5}, TypeError), ({"imagefile": "a.jpg", "score": 1}, TypeError), ({}, KeyError), ([], TypeError), ({"imagefile": "a.jpg", "objectid": 7}, ValueError)):
+        with pytest.raises(error):
+            w.add_object(bad)
+    for bad, error in (({"width": 1, "height": 1}, KeyError), ({"imagefile": "c", "width": "1", "height": 1}, TypeError), ({"imagefile": "c", "width": 1, "height": 1, "timestamp": "now"}, TypeError), ({"imagefile": "c", "width": 1, "height": 1, "size": 1}, ValueError)):
+        with pytest.raises(error):
+            w.add_image(bad)
+    ds = w.dataset()
+    assert sorted(i.imagefile for i in ds.images.collect()) == ["a.jpg", "b.jpg"] and ds.objects.count() == 3
+    assert [(p.objectid, p.key, p.value) for p in ds.properties.collect()] == [(1, "yaw", "15")] and sorted((m.match, m.objectid) for m in ds.matches.collect()) == [(0, 1), (0, 7), (1, 8)]
+    more = writer.DatasetWriter(spark, ds)
+    assert more.add_object({"imagefile": "a.jpg", "key": "v"}) == 9 and more.add_match(9) == 2 and more.add_image({"imagefile": "b.jpg", "width": 1, "height": 1})
+    assert more.dataset().objects.count() == 4 and more.dataset().images.count() == 2
+    more.add_object({"imagefile": "a.jpg", "objectid": 7})
+    with pytest.raises(ValueError, match="taken"):
+        more.dataset()
+
+
 def test_sqlite_and_video(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "old.db")
     for t in ("images(imagefile, width, height, maskfile, timestamp, name, score)", "objects(objectid, imagefile, x1, y1, width, height, name, score)", "properties(id, objectid, key, value)", "polygons(id, objectid, x, y, name)", "matches(id, match, objectid)"):
         db.execute(f"CREATE TABLE {t}")
     db.execute("INSERT INTO images VALUES ('a.jpg', 3, 4, NULL, '2020-01-02 03:04:05.5', NULL, 0.5)")
+    db.executemany("INSERT INTO matches VALUES (?, ?, ?)", [(k, k // 2, None if k == 3 else k) for k in range(250)])
     db.commit()
-    ds = imports.import_sqlite(spark, str(tmp_path / "old.db"))
+    ds = imports.import_sqlite(spark, str(tmp_path / "old.db"), step=40)
     assert ds.images.first()["timestamp"].year == 2020 and ds.objects.count() == 0
+    assert sorted(tuple(r) for r in ds.matches.fillna(-1).collect()) == [(k, k // 2, -1 if k == 3 else k) for k in range(250)]
     assert imports.add_video(ds, "v.avi", 3, 10, 20).images.count() == 4
     with pytest.raises(ValueError):
         imports.add_video(ds, "v.avi", 3, 10, 20, "m.avi", 2)
