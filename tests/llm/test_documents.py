@@ -432,6 +432,32 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontaminate.drop_leaks(d, b).count() == 202 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_recall_of_paraphrases(spark):
+    """Benchmark items of the given tables, changed in six ways between words of other documents."""
+    sf, rnd = "/root/testdata/sf0.01", random.Random(3)
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in bench.collect() if r.text and len(r.text.split()) >= 10][:100]
+    pool = [w for r in docs.limit(300).collect() for w in words(r.text)]
+    every = lambda n: lambda t: [rnd.choice(pool) if k % n == 2 else w for k, w in enumerate(t)]
+    kinds = {
+        "exact": (lambda t: t, 1.0),
+        "every fifth word replaced": (every(5), 0.9),
+        "every third word replaced": (every(3), 0.8),
+        "a fifth of the words left out": (lambda t: [w for w in t if rnd.random() > 0.2], 0.9),
+        "a quarter more words": (lambda t: [x for w in t for x in ([w, rnd.choice(pool)] if rnd.random() < 0.25 else [w])], 0.9),
+        "neighbours exchanged": (lambda t: [t[k ^ 1] if k % 4 < 2 and k ^ 1 < len(t) else w for k, w in enumerate(t)], 0.9),
+    }
+    fill = lambda: rnd.choices(pool, k=rnd.randint(20, 150))
+    rows = [(10**6 * n + k, " ".join([*fill(), *change(t), *fill()])) for n, (change, _) in enumerate(kinds.values(), 1) for k, (_, t) in enumerate(items)]
+    rows += [(10**9 + k, " ".join(fill())) for k in range(300)]
+    got = {}
+    for r in decontaminate.leaks(docs.union(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    assert not any(i >= 10**9 for i in got)
+    for n, (name, (_, least)) in enumerate(kinds.items(), 1):
+        assert sum(i in got.get(10**6 * n + k, ()) for k, (i, _) in enumerate(items)) >= least * len(items), name
+
+
 def test_decontamination_searches_a_benchmark_of_many_blocks_whole(spark, monkeypatch):
     rnd = random.Random(16)
     vocabulary = [f"word{k}" for k in range(3000)]
