@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .storage import written
+from .storage import remove, written
 
 SKETCH_BITS, SAMPLES = 2048, 1024
 #: Members of a bucket that meet in one block.
@@ -237,16 +237,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # all copies of a set share all its keys, so the smallest id is the same in each of its buckets
     filed = signed.select(F.explode("keys").alias("key"), "name", "id").groupBy("key", "name").agg(F.min("id").alias("node")).select("key", "node").distinct()
     sizes = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(filed.join(sizes, "key"))
-    company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = written(members.join(company, "node").select("key", "node", "company"))
-    wanted = company.select(F.col("node").alias("id"))
+    sized = written(filed.join(sizes, "key"))
+    company = sized.groupBy("node").agg(F.sum("size").alias("company"))
+    members = written(sized.join(company, "node").select("key", "node", "company"))
+    wanted = written(company.select(F.col("node").alias("id")))
+    remove(sized)
     nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", *_SKETCH).dropDuplicates(["node", "name"]))
     sets = written(full_sets(docs.filter("id is not null").join(wanted.hint("merge"), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
     centres = members.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("others"), "node")).alias("c")).select("key", F.col("c.node").alias("v"))
     star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     links = written(_confirmed(_near(star, nodes, percent), sets, percent))
     labels = written(components(links))
+    remove(links)
     for nearest in (True, False):
         more = written(_confirmed(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest), sets, percent))
         if more.isEmpty():
@@ -254,9 +256,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         # new links join components, of which there are far fewer than links
         to = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: E731, B023
         joined = more.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
-        over = written(components(joined)).select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        found = written(components(joined))
+        over = found.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
         lone = over.join(labels, over["comp"] == labels["node"], "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
-        labels = written(labels.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")).union(lone))
+        before, labels = labels, written(labels.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")).union(lone))
+        for old in (before, more, found):
+            remove(old)
+    for old in (members, nodes, sets, wanted):
+        remove(old)
     # only sets that several documents have need a look for the smallest id; as tables, both sides of each join can be split where a key is hot
     shared = written(signed.groupBy("name").agg(F.min("id").alias("node"), F.max("id").alias("last")).filter("node < last").select("name", "node"))
     mine = signed.select("id", "n", "name").join(shared, "name", "left").select("id", "n", F.coalesce("node", "id").alias("node"))

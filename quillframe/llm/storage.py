@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.
 
-    Where that setting is absent (tests, a single machine) a folder in the warehouse takes its place,
-    which Spark resolves on the file system that tables are kept on.
+    Where that setting is absent on a single machine (tests, a bench) a folder in the warehouse takes its place. On a cluster it is needed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.work"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.work"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
