@@ -78,6 +78,20 @@ class Dataset:
         df = self.table(table).alias(table)
         return df if condition is None else df.filter(F.expr(condition) if isinstance(condition, str) else condition)
 
+    def __len__(self) -> int:
+        """The number of images."""
+        return self.images.count()
+
+    def __getitem__(self, n: int) -> Dataset:
+        """The n-th image by path, with all that belongs to it."""
+        if n < 0:
+            raise IndexError("images count from 0")
+        one = self.images.select("imagefile").orderBy("imagefile").offset(n).limit(1)
+        if one.isEmpty():
+            raise IndexError(f"there is no image {n}")
+        out = self.keep_images(one)
+        return out.keep_objects(out.objects.join(one, "imagefile", "left_semi"))
+
     def then(self, operator: Callable, *args: object, **kwargs: object) -> object:
         """operator(self, ...): chains of operators read from left to right, and run when a result is asked for."""
         return operator(self, *args, **kwargs)

@@ -41,11 +41,19 @@ def _numeric_if_possible(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, number) if failed else df
 
 
-def histogram(ds: Dataset, query: str) -> DataFrame:
-    """x and n of a query of one column."""
+def histogram(ds: Dataset, query: str, bins: int | None = None, limits: tuple[float, float] | None = None) -> DataFrame:
+    """x and n of a query of one column. bins: numbers are counted in so many equal parts of the limits (or of their range), x being a part's begin; the last part includes its end, and what lies outside is left out."""
     df = ds.sql(query)
     df = _numeric_if_possible(df.toDF("x").dropna(), "x")
-    return df.groupBy("x").agg(F.count("*").alias("n"))
+    if bins is None:
+        return df.groupBy("x").agg(F.count("*").alias("n"))
+    df = df.select(F.col("x").try_cast("double").alias("x")).dropna()
+    low, high = limits or df.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return df.groupBy("x").agg(F.count("*").alias("n"))
+    step = (high - low) / bins or 1.0
+    part = F.least(F.floor((F.col("x") - low) / step), F.lit(bins - 1))
+    return df.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy((F.lit(float(low)) + part * step).alias("x")).agg(F.count("*").alias("n"))
 
 
 def stacked_histogram(ds: Dataset, query: str) -> DataFrame:

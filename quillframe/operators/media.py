@@ -275,3 +275,15 @@ def grid_by_time(ds: Dataset, fps: float = 5.0, folders: list[str] | None = None
     return shown.select(F.explode(F.sequence("first", "last")).alias("tick"), "folder", "imagefile")
 
 
+def place_in_grid(shown: DataFrame, folders: list[str], columns: int, width: int, height: int) -> DataFrame:
+    """shown (tick, folder, imagefile) with x and y, where each folder's cell begins: row by row in the order of folders, in one picture for each tick."""
+    place = F.array_position(F.array(*map(F.lit, folders)), F.col("folder")) - 1
+    return shown.withColumns({"x": (place % columns * width).cast("int"), "y": (F.floor(place / columns) * height).cast("int")}).filter(place >= 0)
+
+
+def missing_media(ds: Dataset, root: str | None = None) -> DataFrame:
+    """imagefile and file of each image or mask that isn't below the root."""
+    root = (root or ds.rootdir).rstrip("/")
+    there = ds.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", root + "/", -1).alias("file"))
+    named = ds.images.select("imagefile", F.col("imagefile").alias("file")).union(ds.images.select("imagefile", "maskfile")).filter("file is not null")
+    return named.join(there, "file", "left_anti").select("imagefile", "file")

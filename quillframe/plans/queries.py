@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..operators import algebra, evaluate, filters, info, media, modify, samples
-from ..functions import paths
+from ..functions import dates, paths
 from ..sources import exports
 from . import fixtures
 
@@ -328,6 +328,25 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return info.histogram(_ds(spark, d), "SELECT value FROM properties WHERE key = 'yaw'")
 
 
+@query("SELECT -20 + least(floor((x1 + 20) / 62), 9) * 62 AS x, count(*) AS n FROM objects WHERE x1 BETWEEN -20 AND 600 GROUP BY 1")
+def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
+    return info.histogram(_ds(spark, d), "SELECT x1 FROM objects", 10, (-20.0, 600.0))
+
+
+@query("SELECT objectid, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(objectid * 1000003), '%Y-%m-%d %H:%M:%S.%f') AS text, objectid % 2 = 0 AS known FROM objects")
+def time_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = dates.time_text(F.timestamp_micros(F.lit(1704067200000000) + F.col("objectid") * 1000003))
+    read = dates.parsed_time(F.when(F.col("objectid") % 2 == 0, text).otherwise("no time"))
+    same = F.when(read.isNull(), text).otherwise(dates.time_text(read))
+    return _ds(spark, d).objects.select("objectid", same.alias("text"), read.isNotNull().alias("known"))
+
+
+@query("""SELECT a.imagefile, a.objectid, b.objectid AS other FROM objects a JOIN objects b ON a.imagefile = b.imagefile AND a.objectid <> b.objectid WHERE a.x1 < b.x1 + b.width AND b.x1 < a.x1 + a.width AND a.y1 < b.y1 + b.height AND b.y1 < a.y1 + a.height""")
+def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = filters.overlapping_pairs(_ds(spark, d).objects.filter("x1 is not null"))
+    return found.select("imagefile", F.col("a_objectid").alias("objectid"), F.col("b_objectid").alias("other"))
+
+
 @query("SELECT CAST(p.value AS DOUBLE) AS x, o.name AS series, count(*) AS n FROM properties p JOIN objects o USING (objectid) WHERE key = 'rank' AND o.name IS NOT NULL GROUP BY 1, 2")
 def stacked_histogram(spark: SparkSession, d: str) -> DataFrame:
     return info.stacked_histogram(_ds(spark, d), "SELECT value, name FROM properties JOIN objects USING (objectid) WHERE key = 'rank'")

@@ -24,6 +24,7 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"not an image")
     ds = Dataset.from_rows(spark, rootdir=str(tmp_path), images=[("a.png", 7, 5, None, None, None, None), ("bad.png", 7, 5, None, None, None, None), ("gone.png", 7, 5, None, None, None, None)])
     assert [r.imagefile for r in filters.filter_bad_images(ds).images.collect()] == ["a.png"]
+    assert {(r.imagefile, r.file) for r in media.missing_media(ds).collect()} == {("gone.png", "gone.png")}
     added = imports.add_pictures(Dataset.empty(spark), f"{tmp_path}/a.png", f"{tmp_path}/*.png").images.first()
     assert (added.width, added.height) == (7, 5) and added.maskfile.endswith("/a.png")
 
@@ -48,6 +49,8 @@ def test_grid_shows_the_latest_image_of_each_folder(spark):
     t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     ds = Dataset.from_rows(spark, images=[(f, 1, 1, None, t(s), None, None) for f, s in (("x/1", 0), ("x/2", 2.5), ("y/1", 1), ("y/2", 4))])
     shown = {(r.tick, r.folder): r.imagefile for r in media.grid_by_time(ds, fps=1).collect()}
+    placed = media.place_in_grid(media.grid_by_time(ds, fps=1), ["y", "x"], 2, 30, 20).filter("tick = 3").collect()
+    assert {(r.folder, r.x, r.y) for r in placed} == {("y", 0, 0), ("x", 30, 0)}
     assert shown == {(1, "x"): "x/1", (2, "x"): "x/1", (3, "x"): "x/2", (2, "y"): "y/1", (3, "y"): "y/1"}
 
 

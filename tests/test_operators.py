@@ -257,6 +257,13 @@ def test_paths(spark):
     assert tuple(r) == ("/a/c/d.jpg", "../c/d.jpg", "d.jpg", "d")
 
 
+def test_images_by_number(three):
+    assert len(three) == 3 and rows(three[1].objects, "objectid") == [(2,), (3,)] and rows(three[1].images, "imagefile") == [("b.jpg",)]
+    for n in (3, -1):
+        with pytest.raises(IndexError):
+            three[n]
+
+
 def test_save_and_load(three, tmp_path):
     three.save(str(tmp_path / "ds"))
     again = Dataset.load(three.spark, str(tmp_path / "ds"))
