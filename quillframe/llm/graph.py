@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .storage import remove, written
 
 
+#: Edges that a task of a step writes to one file.
+FILE_EDGES = 20_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -20,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
+    files = state[0] // FILE_EDGES + 1  # steps never add edges
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -27,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(least, "u")
         small = hooked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small)
+        new = written(small.coalesce(files))
         remove(now)
         now, before, state = new, state, _state(new)
         if state == before:
