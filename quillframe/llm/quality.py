@@ -1,7 +1,7 @@
 """Quality classifier: importance resampling from hashed n-gram models of target and raw text.
 
 Two generative models over the same hashed n-grams are counted in one pass: the raw model over all documents, the target model over a
-bounded sample of labelled good ones (quality 1 and not toxic, of at most `fit_rows` labelled rows). N-grams are single words (A-Z
+bounded sample of labelled good ones (quality 1 and not toxic, of two thirds of at most `fit_rows` labelled rows). N-grams are single words (A-Z
 lower-cased, without a last full stop or comma) in 2**20 buckets, and pairs of neighbouring word shapes (length, case, last character,
 repetition of the one or two words before) in 2**16.
 
@@ -10,11 +10,11 @@ drawn towards zero by what chance explains. A document's log weight is the sum o
 ratio of both models for the text, taken for `length` words at most (a longer text counts by its mean, so that length itself is neutral).
 
 Documents are sampled without replacement by Gumbel top-k: those with the k largest keys, log weight / temperature + Gumbel noise drawn
-from the id. k is given, or as many documents as the share of good ones among the labelled rows foretells. The k-th key is found by
-counting, digit by digit; documents that tie with it stay.
+from the id. k is given, or foretold by the last third of the labelled rows: the number of documents whose key is above that which parts
+good ones from others with the fewest errors. The k-th key is found by counting, digit by digit; documents that tie with it stay.
 
 Defined cases: null and empty texts have log weight 0. Rows that repeat an id each get their own weight, with the same noise. Labels of
-ids that several rows have count for each. Without labelled rows of both kinds, everything is kept. Columns may have any names; those named
+ids that several rows have count for each. Without labelled rows of both kinds in the last third, everything is kept. Columns may have any names; those named
 `__weight` and `__kept` are replaced.
 """
 
@@ -100,17 +100,16 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = 4.5, prior: float
     return out
 
 
-def _weighted(rows: DataFrame, labels: DataFrame, own_id: str, place: int, keep: list[str], fit_rows: int, length: int) -> tuple[DataFrame, float | None]:
-    """keep (columns of rows) and `weight` of each row; and the share of good ones among the labelled, None without both kinds."""
+def _weighted(rows: DataFrame, labels: DataFrame, own_id: str, place: int, keep: list[str], fit_rows: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """keep (columns of rows) and `weight` of each row; and the sample of labels (label_id, good, held)."""
     spark = rows.sparkSession
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     turn = F.xxhash64(F.lit("fit"), "doc_id")
     sample = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")).orderBy(turn).limit(fit_rows)
-    sample = written(sample.select(F.col("doc_id").alias("label_id"), "good"))
-    seen, right = sample.agg(F.count("*"), F.sum("good")).first()
+    sample = written(sample.select(F.col("doc_id").alias("label_id"), "good", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0).alias("held")))
     text = rows.columns[place]
     # at most fit_rows rows of 12 bytes
-    marked = rows.select(own_id, text).join(F.broadcast(sample.filter("good = 1")), F.col(own_id) == F.col("label_id"), "left").select(text, F.col("label_id").isNotNull().alias("target"))
+    marked = rows.select(own_id, text).join(F.broadcast(sample.filter("good = 1 and not held")), F.col(own_id) == F.col("label_id"), "left").select(text, F.col("label_id").isNotNull().alias("target"))
     counts = _counted(marked).toArrow()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     at = counts["bucket"].to_numpy()
@@ -128,7 +127,19 @@ def _weighted(rows: DataFrame, labels: DataFrame, own_id: str, place: int, keep:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept_places), pa.array(weights)], names=[*keep, "weight"])
 
     schema = StructType([*(rows.schema.fields[k] for k in kept_places), StructField("weight", DoubleType())])
-    return rows.mapInArrow(weigh, schema), right / seen if right and right < seen else None
+    return rows.mapInArrow(weigh, schema), sample
+
+
+def best_cut(keys: np.ndarray, good: np.ndarray) -> int | None:
+    """The least key of what is taken, so that good rows are parted from others with the fewest errors; midway between the rows around it. None without both kinds."""
+    if good.all() or not good.any():
+        return None
+    order = np.argsort(keys, kind="stable")
+    k, g = keys[order], good[order]
+    errors = np.concatenate([[0], np.cumsum(g)]) + np.concatenate([np.cumsum(~g[::-1])[::-1], [0]])
+    errors[1:-1][k[1:] == k[:-1]] = len(k) + 1  # no cut between equal keys
+    n = int(np.argmin(errors))
+    return int(k[0]) if n == 0 else int(k[-1]) + 1 if n == len(k) else int(k[n - 1]) + (int(k[n]) - int(k[n - 1]) + 1) // 2
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -160,13 +171,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     read = docs.toDF(*numbered)
     columns = list(dict.fromkeys([*(place[c] for c in wanted), own_id]))
     used = list(dict.fromkeys([*columns, place[text_col]]))
-    rows, share = _weighted(read.select(*used), labels, own_id, used.index(place[text_col]), columns, fit_rows, length)
+    rows, sample = _weighted(read.select(*used), labels, own_id, used.index(place[text_col]), columns, fit_rows, length)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), own_id), 11).cast("double") + 0.5) / float(1 << 53)
     key = F.col("weight") / temperature - F.log(-F.log(uniform))
     rows = written(rows.withColumn("key", F.floor(key * 1e6).cast("long")))
-    total = rows.count()
     if k is None:
-        k = total if share is None else round(share * total)
+        # at most fit_rows rows on either side
+        held = rows.join(F.broadcast(sample.filter("held")), F.col(own_id) == F.col("label_id")).groupBy("label_id").agg(F.max("key").alias("key"), F.max("good").alias("good")).toArrow()
+        least = best_cut(held["key"].to_numpy(), held["good"].to_numpy() == 1)
+        k = rows.count() if least is None else rows.filter(F.col("key") >= least).count()
     cut = kth_largest(rows, "key", k)
     kept = F.lit(k > 0) if cut is None else F.col("key") >= cut
     return rows.select(*(F.col(place[c]).alias(c) for c in wanted), F.col("weight").alias("__weight"), kept.alias("__kept"))
