@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Runs hold (line hash, documents, holder), bucketed by
-hash and sorted within buckets, so that neither a join with runs nor a merge of runs shuffles them. Documents come in batches of falling
+hash and sorted within buckets, so that neither a join with runs nor a merge of runs shuffles their rows. Documents come in batches of falling
 ids. Each batch is merge-joined with the runs: what they lack (the anti-join) is new and gets its holder, the largest id of the batch that
 has it; the rest only adds to the counts. When a level has `fanout` runs they are merged into one run of the next level. Keys of at least
 `min_chars` code points that at least `min_docs` documents have then lose all lines outside their holder.
@@ -18,13 +18,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import delete, exists, shared_dir, written
+from .storage import children, delete, exists, shared_dir, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,31 +46,44 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
 
 
 class LineRuns:
-    """Levelled sorted runs of (__line, __docs, __holder) in a folder; only the run that saw a line first names its holder."""
+    """Levelled sorted runs of (__line, __docs, __holder) in a folder; only the run that saw a line first names its holder.
+
+    All runs are partitions of one table that is bucketed and sorted by line. However many runs are read, they are one scan whose rows are
+    dealt by line, so neither a join with them nor a merge of them shuffles their rows. Runs are never changed: a merge makes a new one.
+    A numbered manifest says which runs count, and a run of an earlier manifest goes only after the next manifest is there.
+    The table's entry in the session's catalogue lasts until close() or drop().
+    """
 
     COLUMNS = "__line binary, __docs long, __holder long"
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
         """Opens the folder's runs if it has any; without a folder, runs last until drop()."""
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.levels, self.replaced = spark, fanout, [], []
         self.folder = folder.rstrip("/") if folder else shared_dir(spark)
-        self.buckets, self.levels = int(spark.conf.get("spark.sql.shuffle.partitions")), []
-        if folder and exists(spark, f"{self.folder}/manifest"):
-            rows = spark.read.schema("level int, name string, buckets int").json(f"{self.folder}/manifest").collect()
-            self.levels = [[r.name for r in rows if r.level == k] for k in range(max((r.level for r in rows), default=-1) + 1)]
+        self.buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+        done = [int(n.removeprefix("manifest-")) for n in children(spark, self.folder) if n.startswith("manifest-") and exists(spark, f"{self.folder}/{n}/_SUCCESS")]
+        self.table = f"line_runs_{uuid.uuid4().hex}"
+        if done:
+            self.version = max(done)
+            rows = spark.read.schema("level int, run string, buckets int").json(f"{self.folder}/manifest-{self.version}").collect()
+            self.levels = [[r.run for r in rows if r.level == k] for k in range(max((r.level for r in rows), default=-1) + 1)]
             self.buckets = rows[0].buckets if rows else self.buckets
+        self.saved = {run for level in self.levels for run in level}
+        spark.sql(f"CREATE TABLE {self.table} ({self.COLUMNS}, __run string) USING parquet PARTITIONED BY (__run) CLUSTERED BY (__line) SORTED BY (__line) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/runs'")
+        if done:
+            spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
-    def _read(self, name: str) -> DataFrame:
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet CLUSTERED BY (__line) SORTED BY (__line) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
-        return self.spark.table(name)
+    @property
+    def live(self) -> list[str]:
+        return [run for level in self.levels for run in level]
 
-    def _union(self, names: list[str]) -> DataFrame:
-        return reduce(DataFrame.union, map(self._read, names))
+    def scan(self, runs: list[str]) -> DataFrame:
+        return self.spark.table(self.table).filter(F.col("__run").isin(runs)).drop("__run")
 
     def add(self, batch: DataFrame) -> None:
         """Takes (__line, __docs, __holder), one row for each line of a batch whose documents no earlier batch had."""
-        if self.levels and (known := [name for level in self.levels for name in level]):
-            seen = self._union(known).filter("__holder is not null").select("__line", F.lit(True).alias("__seen"))
+        if self.live:
+            seen = self.scan(self.live).filter("__holder is not null").select("__line", F.lit(True).alias("__seen"))
             # the part without a partner is the anti-join: lines that are new with this batch
             batch = batch.join(seen.hint("merge"), "__line", "left").select("__line", "__docs", F.when(F.col("__seen").isNull(), F.col("__holder")).alias("__holder"))
         self._keep(0, batch)
@@ -79,35 +91,46 @@ class LineRuns:
     def _keep(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name = f"line_run_{uuid.uuid4().hex}"
-        cut = run.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in self.COLUMNS.split(", "))))
-        cut.write.format("parquet").bucketBy(self.buckets, "__line").sortBy("__line").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        name = uuid.uuid4().hex
+        cut = (F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in self.COLUMNS.split(", ")))
+        run.select(*cut, F.lit(name).alias("__run")).write.insertInto(self.table)
         here = self.levels[level]
         here.append(name)
         if len(here) >= self.fanout:
             self.levels[level] = []
-            self._keep(level + 1, self._merged(here))
-            self._forget(here)
+            self._keep(level + 1, self.merged(here))
+            self.replaced += [run for run in here if run in self.saved]
+            self._forget([run for run in here if run not in self.saved])
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        return self._union(names).groupBy("__line").agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder"))
+    def merged(self, runs: list[str]) -> DataFrame:
+        """One row for each line of the runs."""
+        return self.scan(runs).groupBy("__line").agg(F.sum("__docs").alias("__docs"), F.max("__holder").alias("__holder"))
 
     def totals(self) -> DataFrame:
-        return self._merged([name for level in self.levels for name in level])
+        return self.merged(self.live)
 
     def save(self) -> None:
-        """Notes in the folder which runs it holds, for a later job."""
-        rows = [(k, name, self.buckets) for k, level in enumerate(self.levels) for name in level]
-        self.spark.createDataFrame(rows, "level int, name string, buckets int").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest")
-
-    def _forget(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            delete(self.spark, f"{self.folder}/{name}")
+        """Notes in the folder which runs it holds, for a later job; then runs that have been merged go."""
+        rows = [(k, run, self.buckets) for k, level in enumerate(self.levels) for run in level]
+        manifest = self.spark.createDataFrame(rows, "level int, run string, buckets int").coalesce(1)
+        manifest.write.mode("overwrite").json(f"{self.folder}/manifest-{self.version + 1}")  # over what a job left that died here
+        self._forget(self.replaced)
+        if self.version:
+            delete(self.spark, f"{self.folder}/manifest-{self.version}")
+        self.version, self.saved, self.replaced = self.version + 1, set(self.live), []
+
+    def _forget(self, runs: list[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (__run = '{run}')")
+            delete(self.spark, f"{self.folder}/runs/__run={run}")
+
+    def close(self) -> None:
+        """Forgets the table; the folder's files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def drop(self) -> None:
-        self._forget([name for level in self.levels for name in level])
-        self.levels = []
+        self.close()
+        delete(self.spark, self.folder)
 
 
 def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, runs_dir: str | None = None) -> DataFrame:
@@ -116,15 +139,19 @@ def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     batch_of = sum((F.when(F.col("__doc") < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     lines = written(document_lines(docs, id_col, text_col, min_chars).withColumn("__batch", batch_of), "__batch")
     runs = LineRuns(docs.sparkSession, runs_dir, fanout)
-    for k in range(len(set(cuts)) + 1):
-        own = lines.filter(F.col("__batch") == k)
-        runs.add(own.groupBy("__line").agg(F.count_distinct("__doc").alias("__docs"), F.max("__doc").alias("__holder")))
-    # as a table its size is known, so that Spark broadcasts it while it is small and else joins by sorting and splits hot lines
-    common = written(runs.totals().filter(F.col("__docs") >= min_docs))
-    if runs_dir:
-        runs.save()
-    else:
-        runs.drop()
+    try:
+        for k in range(len(set(cuts)) + 1):
+            own = lines.filter(F.col("__batch") == k)
+            runs.add(own.groupBy("__line").agg(F.count_distinct("__doc").alias("__docs"), F.max("__doc").alias("__holder")))
+        # as a table its size is known, so that Spark broadcasts it while it is small and else joins by sorting and splits hot lines
+        common = written(runs.totals().filter(F.col("__docs") >= min_docs))
+        if runs_dir:
+            runs.save()
+    finally:
+        if runs_dir:
+            runs.close()
+        else:
+            runs.drop()
     return lines.join(common, "__line").filter(F.col("__doc") != F.col("__holder")).groupBy("__doc").agg(F.collect_set("__line").alias("__lost"))
 
 

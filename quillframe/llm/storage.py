@@ -37,6 +37,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(own)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it doesn't exist."""
+    files, own = _path(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(own)] if files.exists(own) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     files, own = _path(spark, path)

@@ -138,8 +138,7 @@ def test_line_runs_are_opened_again_by_a_later_job(spark, tmp_path):
     folder = f"file://{tmp_path}/runs"
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     one = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(first), batches=2, fanout=2, runs_dir=folder).collect()}
-    for name in line_dedup.LineRuns(spark, folder, 2).levels[0]:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")  # as in a session that has not seen them
+    assert not any(t.name.startswith("line_runs_") for t in spark.catalog.listTables())  # a later job has not seen the first one's tables
     two = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(later), batches=2, fanout=2, runs_dir=folder).collect()}
     count = lambda docs, n: sum(line(n) in t for _, t in docs)
     common = [n for n in range(10) if count(first, n) >= 5]
@@ -148,8 +147,61 @@ def test_line_runs_are_opened_again_by_a_later_job(spark, tmp_path):
     assert {k for k, t in two.items() if line(0) in t} == set() and {k for k, t in two.items() if line(4) in t} == set() and {k for k, t in two.items() if line(9) in t} == {105}
     batch = spark.range(10).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("__line"), F.lit(1).alias("__docs"))
     plan = line_dedup.LineRuns(spark, folder, 2)
-    joined = batch.groupBy("__line").agg(F.sum("__docs")).join(plan._union(sum(plan.levels, [])).hint("merge"), "__line", "left")._jdf.queryExecution().executedPlan().toString()
+    joined = batch.groupBy("__line").agg(F.sum("__docs")).join(plan.scan(plan.live).hint("merge"), "__line", "left")._jdf.queryExecution().executedPlan().toString()
     assert joined.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in joined
+    plan.close()
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "7"])
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_runs_count_each_line_once_over_all_batches(spark, fanout, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        runs, truth = line_dedup.LineRuns(spark, fanout=fanout), {}
+        for k in range(7):  # falling ids; line n is in every (n % 5 + 1)-th batch
+            own = {n: 100 - 10 * k - n % 3 for n in range(40) if k % (n % 5 + 1) == 0}
+            for n, doc in own.items():
+                docs, holder = truth.get(n, (0, doc))
+                truth[n] = docs + 2, holder
+            runs.add(spark.createDataFrame([(b"line %d" % n, 2, doc) for n, doc in own.items()], runs.COLUMNS))
+        assert len(runs.levels) > 1 and len(runs.live) > 1
+        got = runs.totals()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+        assert len(rows) == len(truth) and {bytes(r[0]): (r[1], r[2]) for r in rows} == {b"line %d" % n: v for n, v in truth.items()}
+        assert "Exchange" not in plan and "Union" not in plan
+        runs.drop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 3), (2, 2), (4, 2), (4, 3), (8, 2)])
+def test_lines_that_documents_of_all_batches_share(spark, batches, fanout):
+    rnd = random.Random(3)
+    line = lambda n: f"shared line number {n:03} that is long enough to be counted"
+    held = {}
+    for n in range(60):  # exactly 3 to 7 documents anywhere among 200; some of them twice in a document
+        for k in rnd.sample(range(200), 3 + n % 5):
+            held.setdefault(k, []).extend([n] * (1 + n % 2))
+    for n, ids in enumerate(([0, 1, 2, 198, 199], [0, 60, 120, 180], [5, 65, 66, 125, 185, 199])):
+        for k in ids:
+            held.setdefault(k, []).append(100 + n)
+    rows = [(k, "\n".join([f"own {k}", *(line(n).upper() if k % 2 else f"  {line(n)}\t" for n in held.get(k, []))])) for k in range(200)]
+    got = line_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches, fanout=fanout).collect()
+    assert sorted(map(tuple, got), key=repr) == _line_truth(rows)
+
+
+def test_a_job_that_dies_leaves_the_saved_runs_as_they_were(spark, tmp_path):
+    rows = [(k, f"a line that many documents share, all of them {k % 2}") for k in range(12)]
+    folder = f"file://{tmp_path}/runs"
+    line_dedup.lost_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=1, fanout=2, runs_dir=folder)
+    saved = sorted(map(tuple, (first := line_dedup.LineRuns(spark, folder, 2)).totals().collect()))
+    first.add(spark.createDataFrame([(b"new", 1, 1)], first.COLUMNS))  # merges with the saved run; never saved
+    first.close()
+    again = line_dedup.LineRuns(spark, folder, 2)
+    assert sorted(map(tuple, again.totals().collect())) == saved
+    again.close()
 
 
 def test_line_dedup_keeps_columns(docs, corpus):
