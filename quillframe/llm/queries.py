@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_text, line_dedup, near_dedup, packing, pii, quality, rules, url_filter
+from . import anagrams, chat_format, decontaminate, html_text, line_dedup, near_dedup, packing, pii, quality, rules, url_filter, word_tries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op4_html_text, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup)}
+def op11_word_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_tries.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL}
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anagrams.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op4_html_text, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup, op11_word_tries, op12_spelling_variants)}
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL, "op11_word_tries": word_tries.SQL, "op12_spelling_variants": anagrams.SQL}
