@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anagrams, chat_format, decontaminate, html_text, line_dedup, near_dedup, packing, pii, quality, rules, url_filter, word_tries
+from . import anagrams, chat_format, decontaminate, html_text, line_dedup, near_dedup, packing, pii, quality, rules, url_filter, warc, word_tries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anagrams.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op4_html_text, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup, op11_word_tries, op12_spelling_variants)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(_table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL, "op11_word_tries": word_tries.SQL, "op12_spelling_variants": anagrams.SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_packing, op3_near_dedup, op4_html_text, op5_url_filter, op6_quality_classifier, op7_pii, op8_decontaminate, op9_quality_rules, op10_line_dedup, op11_word_tries, op12_spelling_variants, op13_warc)}
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.sql(), "op10_line_dedup": line_dedup.SQL, "op11_word_tries": word_tries.SQL, "op12_spelling_variants": anagrams.SQL, "op13_warc": warc.SQL}
