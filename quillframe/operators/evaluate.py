@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions.geometry import BOX, has_box, iou
+from ..storage import written
 from .media import repaint_mask
+from .pairs import near_boxes
 
 #: Negatives that anchor the precision curve at threshold zero, and their score.
 PADDING, PADDING_SCORE = 1_000_000, 0.0001
@@ -25,15 +27,15 @@ def judged_detections(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_
     without a name are left out, unless names don't count (agnostic) or `named` is False: then they are false.
     """
     keys = ["imagefile"] if agnostic else ["imagefile", "name"]
-    det = pred.objects.filter("name is not null" if named and not agnostic else "true").select("objectid", "imagefile", "name", "score", *(F.col(c).alias("d_" + c) for c in BOX))
+    det = pred.objects.filter("name is not null" if named and not agnostic else "true").select("objectid", "imagefile", "name", "score", *BOX)
     wanted = F.coalesce(F.expr(where_object_gt), F.lit(False))
-    truth = gt.objects.filter(has_box()).withColumn("wanted", wanted).select(F.col("objectid").alias("gt_id"), *keys, "wanted", *(F.col(c).alias("g_" + c) for c in BOX))
-    pairs = det.filter(has_box("d_")).join(truth, keys).select("objectid", "score", "gt_id", "wanted", iou("d_", "g_").alias("iou"))
+    truth = gt.objects.filter(has_box()).withColumn("wanted", wanted).select("objectid", *keys, "wanted", *BOX)
+    pairs = near_boxes(det.select("objectid", *keys, "score", *BOX), truth, keys).select(F.col("a_objectid").alias("objectid"), F.col("a_score").alias("score"), F.col("b_objectid").alias("gt_id"), F.col("b_wanted").alias("wanted"), iou("a_", "b_").alias("iou"))
     best = pairs.groupBy("objectid").agg(F.max_by(F.struct("gt_id", "wanted", "iou", "score"), F.struct("iou", -F.col("gt_id"))).alias("b")).select("objectid", "b.*")
     hit = best.filter(F.col("iou") > threshold)
     first = hit.withColumn("turn", F.row_number().over(Window.partitionBy("gt_id").orderBy(F.col("score").desc_nulls_last(), "objectid")))
     claims = first.filter("turn = 1").select("objectid", F.when(F.col("wanted"), "tp").otherwise("ignored").alias("claim"))
-    seen = best.select("objectid", F.lit(True).alias("has_gt"))
+    seen = det.filter(has_box()).join(truth.select(*keys), keys, "left_semi").select("objectid", F.lit(True).alias("has_gt"))
     return det.join(claims, "objectid", "left").join(seen, "objectid", "left").select("objectid", "name", "score", F.coalesce("has_gt", F.lit(False)).alias("has_gt"), F.coalesce("claim", F.lit("fp")).alias("outcome"))
 
 
@@ -65,7 +67,7 @@ def _running(df: DataFrame, group: str, order: list[Column], sums: dict[str, Col
 def average_precision_envelope(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_gt: str = "true") -> DataFrame:
     """name, n_gt and ap: the area below the envelope of the precision-recall curve, for each class of the ground truth."""
     hit = (F.col("outcome") == "tp").cast("long")
-    d = _chunked(judged_detections(pred, gt, threshold, where_object_gt).select("objectid", "name", "score", "outcome"), "name", "score")
+    d = _chunked(written(judged_detections(pred, gt, threshold, where_object_gt).select("objectid", "name", "score", "outcome")), "name", "score")
     d = _running(d, "name", [F.col("score").desc_nulls_last(), F.col("objectid")], {"tp": hit, "fp": (F.col("outcome") == "fp").cast("long")})
     d = d.withColumn("precision", F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)))
     # the envelope is the highest precision from a row on: of its chunk's rest, and of later chunks
@@ -88,7 +90,7 @@ def precision_recall(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_o
     label = F.col("name") if group else F.lit("all")
     d = judged_detections(pred, gt, threshold, where_object_gt, mode == "class-agnostic", mode == "by-class").filter("outcome <> 'ignored'")
     score = F.when(F.col("has_gt"), F.coalesce("score", F.lit(0.0))).otherwise(0.0)
-    d = d.groupBy(label.alias("name"), score.alias("s")).agg(F.count_if(F.expr("outcome = 'tp'")).alias("p"), F.count_if(F.expr("outcome = 'fp'")).alias("n"))
+    d = written(d.groupBy(label.alias("name"), score.alias("s")).agg(F.count_if(F.expr("outcome = 'tp'")).alias("p"), F.count_if(F.expr("outcome = 'fp'")).alias("n")))
     truths = _truths(gt, where_object_gt, group).select(label.alias("name"), "n_gt")
     found = d.groupBy("name").agg(F.sum("p").alias("found"))
     missed = truths.join(found, "name", "left").select("name", F.lit(0.0).alias("s"), (F.col("n_gt") - F.coalesce("found", F.lit(0))).alias("p"), F.lit(0).cast("long").alias("n"))
@@ -114,7 +116,7 @@ def roc_curve(pred: Dataset, gt: Dataset, threshold: float = 0.5, where_object_g
 def classification_report(pred: Dataset, gt: Dataset) -> DataFrame:
     """name, precision, recall, f1 and support of each class, and rows `accuracy`, `macro avg` and `weighted avg`; objects are paired by id."""
     both = gt.objects.select("objectid", F.col("name").alias("truth")).join(pred.objects.select("objectid", F.col("name").alias("said")), "objectid").filter("truth is not null and said is not null")
-    cells = both.groupBy("truth", "said").agg(F.count("*").alias("n")).persist()
+    cells = written(both.groupBy("truth", "said").agg(F.count("*").alias("n")))
     right = cells.filter("truth = said").select(F.col("truth").alias("name"), F.col("n").alias("tp"))
     of_truth = cells.groupBy(F.col("truth").alias("name")).agg(F.sum("n").alias("support"))
     of_said = cells.groupBy(F.col("said").alias("name")).agg(F.sum("n").alias("predicted"))
@@ -167,7 +169,7 @@ def segmentation_scores(cells: DataFrame, by: list[str] | None = None) -> tuple[
 
 def evaluate_segmentation(ds: Dataset, pred_masks: DataFrame, gt_masks: DataFrame, classes: int, record_class: int | None = None) -> tuple[Dataset, DataFrame]:
     """The dataset with each image's score set to its mean IoU (or one class's), and the scores over all images."""
-    cells = confusion(pred_masks, gt_masks, classes).persist()
+    cells = written(confusion(pred_masks, gt_masks, classes))
     per_class, per_image = segmentation_scores(cells, ["imagefile"])
     score = per_image.select("imagefile", F.col("mean_iou").alias("s")) if record_class is None else per_class.filter(F.col("cls") == record_class).select("imagefile", F.col("iou").alias("s"))
     images = ds.images.join(score, "imagefile", "left").withColumn("score", F.coalesce("s", "score"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
-from ..functions.geometry import has_box, in_ring, overlap_area
+from ..functions.geometry import BOX, has_box, in_ring, overlap_area
 from ..functions.paths import last_parts
+from .pairs import near_boxes
 
 
 def filter_images_via_another(ds: Dataset, ref: Dataset, level: int | None = None, keep: bool = False) -> Dataset:
@@ -50,35 +51,10 @@ def filter_objects_at_image_edges(ds: Dataset, threshold: float = 0.03) -> Datas
     return ds.drop_objects(o.filter(F.when(c("xa").isNotNull(), by_polygon).otherwise(by_box)))
 
 
-def _boxed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("imagefile", *(F.col(c).alias(prefix + c) for c in df.columns if c != "imagefile"))
-
-
-#: Objects of an image that share a cell of its grid on average; images with fewer have one cell.
-PER_CELL = 64
-
-
 def overlapping_pairs(boxes: DataFrame) -> DataFrame:
-    """Pairs a_..., b_... of different objects of an image whose boxes (imagefile, objectid, x1, y1, width, height) share an area, in both orders.
-
-    Boxes go into the cells of a grid that is the finer the more boxes an image has, and meet within cells; a pair counts in the cell of its
-    overlap's corner only. So a crowded image is spread, and costs no more than the pairs that are near each other.
-    """
-    real = boxes.filter("width > 0 and height > 0")
-    grid = real.groupBy("imagefile").agg(F.count("*").alias("n"), F.min("x1").alias("left"), F.min("y1").alias("top"), F.max(F.expr("x1 + width")).alias("right"), F.max(F.expr("y1 + height")).alias("bottom"))
-    side = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / PER_CELL)))
-    grid = grid.select("imagefile", "left", "top", (F.expr("right - left") / side).alias("dx"), (F.expr("bottom - top") / side).alias("dy"))
-    cell = lambda v, low, step: F.floor((v - F.col(low)) / F.col(step))
-    placed = real.join(grid, "imagefile")
-    across = F.sequence(cell(F.col("x1"), "left", "dx"), cell(F.expr("x1 + width"), "left", "dx"))
-    down = F.sequence(cell(F.col("y1"), "top", "dy"), cell(F.expr("y1 + height"), "top", "dy"))
-    spread = placed.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(down))
-    fields = ("objectid", "x1", "y1", "width", "height")
-    mine = spread.select("imagefile", "cx", "cy", "left", "top", "dx", "dy", *(F.col(c).alias("a_" + c) for c in fields))
-    theirs = spread.select("imagefile", "cx", "cy", *(F.col(c).alias("b_" + c) for c in fields))
-    pairs = mine.join(theirs, ["imagefile", "cx", "cy"]).filter("a_objectid <> b_objectid").filter(overlap_area("a_", "b_") > 0)
-    here = (cell(F.greatest("a_x1", "b_x1"), "left", "dx") == F.col("cx")) & (cell(F.greatest("a_y1", "b_y1"), "top", "dy") == F.col("cy"))
-    return pairs.filter(here).drop("cx", "cy", "left", "top", "dx", "dy")
+    """Pairs a_..., b_... of different objects of an image whose boxes (imagefile, objectid, x1, y1, width, height) share an area, in both orders."""
+    real = boxes.select("imagefile", "objectid", *BOX).filter("width > 0 and height > 0")
+    return near_boxes(real, real).filter("a_objectid <> b_objectid").filter(overlap_area("a_", "b_") > 0)
 
 
 def filter_objects_by_intersection(ds: Dataset, threshold: float = 0.1) -> Dataset:
@@ -101,21 +77,23 @@ def filter_objects_by_score(ds: Dataset, threshold: float = 0.5) -> Dataset:
 def filter_objects_inside_certain_objects(ds: Dataset, where_shadowing: str, where_object: str | None = None, keep: bool = False) -> Dataset:
     """Deletes objects whose centre is inside a shadowing object of the image (keep: those whose centre isn't); shadows stay.
 
-    The centre is the mean vertex, or the box's centre. Shadows with polygons are tested on whole-number vertices, border included,
+    The centre is the mean vertex, or the box's centre; centres meet only shadows whose box they lie in. Shadows with polygons are tested on whole-number vertices, border included,
     shadows without on their open box.
     """
     mean = ds.polygons.groupBy("objectid").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    shadows = ds.where("objects", where_shadowing).select("objectid", "imagefile", "x1", "y1", "width", "height")
+    shadows = ds.where("objects", where_shadowing).select("objectid", "imagefile", *BOX)
     ring = ds.polygons.groupBy("objectid").agg(F.array_sort(F.collect_list(F.struct("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))).alias("ring"))
-    shadows = shadows.join(ring, "objectid", "left")
+    rings = shadows.select("objectid", "imagefile").join(ring, "objectid")
+    around = {"x1": F.array_min("ring.x"), "y1": F.array_min("ring.y"), "width": F.array_max("ring.x") - F.array_min("ring.x"), "height": F.array_max("ring.y") - F.array_min("ring.y")}
+    ringed = rings.select("objectid", "imagefile", *(v.cast("double").alias(c) for c, v in around.items()), F.lit(True).alias("ringed"))
+    boxed = shadows.join(ring.select("objectid"), "objectid", "left_anti").withColumn("ringed", F.lit(False))
     objects = ds.where("objects", where_object).join(shadows.select("objectid"), "objectid", "left_anti").join(mean, "objectid", "left")
     centred = objects.select("objectid", "imagefile", F.coalesce("mx", F.expr("x1 + width / 2")).alias("cx"), F.coalesce("my", F.expr("y1 + height / 2")).alias("cy"))
-    pairs = centred.join(_boxed(shadows, "s_"), "imagefile").filter("cx is not null")
-    by_box = F.expr("cx > s_x1 and cx < s_x1 + s_width and cy > s_y1 and cy < s_y1 + s_height")
-
-    boxed = pairs.filter("s_ring is null").filter(by_box).select("objectid")
-    ringed = pairs.filter("s_ring is not null").filter(in_ring("s_ring", "cx", "cy")).select("objectid")
-    inside = boxed.union(ringed).distinct()
+    points = centred.select("objectid", "imagefile", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.lit(0.0).alias("width"), F.lit(0.0).alias("height"))
+    near = near_boxes(points, ringed.unionByName(boxed))
+    in_box = near.filter("not b_ringed and a_x1 > b_x1 and a_x1 < b_x1 + b_width and a_y1 > b_y1 and a_y1 < b_y1 + b_height")
+    in_outline = near.filter("b_ringed").join(rings.select(F.col("objectid").alias("b_objectid"), "ring"), "b_objectid").filter(in_ring("ring", "a_x1", "a_y1"))
+    inside = in_box.select(F.col("a_objectid").alias("objectid")).union(in_outline.select("a_objectid")).distinct()
     return ds.drop_objects(centred.join(inside, "objectid", "left_anti") if keep else inside)
 
 

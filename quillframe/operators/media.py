@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..dataset import CHILDREN, Dataset, next_id
 from ..functions.geometry import BOX, fill, has_box
 from ..functions.paths import base_name, folder
-from .algebra import outlines
+from ..storage import written
 from .modify import TRANSFORM, insert, numbered, update_object_transform
+from .pairs import outlines
 
 
 def crop_media(ds: Dataset, x1: float, y1: float, x2: float, y2: float, image_path: str) -> Dataset:
@@ -136,7 +137,7 @@ def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int
     cell = F.col("n") % cells
     left, top = (cell % columns) * (cell_width + gap), F.floor(cell / columns) * (cell_height + gap)
     file = F.concat(F.lit(image_path.rstrip("/") + "/"), F.lpad(F.floor(F.col("n") / cells).cast("string"), 6, "0"), F.lit(".jpg"))
-    placed = placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), "kx", "ky", (F.col("bx") + left).alias("bx"), (F.col("by") + top).alias("by")).persist()
+    placed = written(placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), "kx", "ky", (F.col("bx") + left).alias("bx"), (F.col("by") + top).alias("by")))
     out = _apply(ds.keep_objects(placed), placed)
     size = (columns * (cell_width + gap) - gap, rows * (cell_height + gap) - gap)
     nothing = lambda kind: F.lit(None).cast(kind)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..dataset import CHILDREN, SCHEMAS, Dataset, next_id
 from ..functions import paths
-from ..functions.geometry import BOX, box_corners, clip_ring, has_box, overlap_bound, slab_areas
+from ..functions.geometry import BOX, box_corners, clip_ring, has_box
+from ..storage import written
+from .pairs import merged_clusters, shapes
 
 
 def numbered(df: DataFrame, column: str, first: int, *order: str | Column) -> DataFrame:
@@ -18,7 +20,7 @@ def numbered(df: DataFrame, column: str, first: int, *order: str | Column) -> Da
     Rows are sorted into range partitions; a count of each partition then gives its first number, so no task sees all rows.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    placed = placed.persist()
+    placed = written(placed)  # a part that is made again could be cut elsewhere
     counts = placed.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     offsets = counts.select("__part", before.alias("__before"))
@@ -257,49 +259,13 @@ def clip_objects(ds: Dataset, keep_num_vertices: bool = False) -> Dataset:
     return ds.with_(objects=objects, polygons=whole.select(*ds.polygons.columns).union(made.select(*ds.polygons.columns)))
 
 
-def clusters(boxes: list[tuple[int, list[np.ndarray]]], threshold: float) -> list[list[int]]:
-    """Agglomerates objects while the best pair of clusters overlaps enough: area of what all share over area of what any covers. Ties go to the first pair by place."""
-    groups = [[i] for i, _ in boxes]
-    rings = [list(r) for _, r in boxes]
-
-    def share(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-        if overlap_bound(a + b) < threshold:
-            return 0.0
-        common, union = slab_areas(a + b)
-        return common / union if union else 0.0
-
-    n = len(groups)
-    score = np.full((n, n), -np.inf)
-    for i in range(n):
-        for j in range(i + 1, n):
-            score[i, j] = share(rings[i], rings[j])
-    while len(groups) > 1:
-        i, j = np.unravel_index(np.argmax(score), score.shape)
-        if score[i, j] < threshold:
-            break
-        groups[i] += groups.pop(j)
-        rings[i] += rings.pop(j)
-        score = np.delete(np.delete(score, j, 0), j, 1)
-        for k in range(len(groups)):
-            if k != i:
-                score[min(i, k), max(i, k)] = share(rings[k], rings[i])
-    return [sorted(g) for g in groups]
-
-
 def merge_intersecting_objects(ds: Dataset, threshold: float = 0.5, where_image: str | None = None, where_object: str | None = None) -> Dataset:
     """Within an image, merges objects whose polygons overlap; see merge_groups for what a merged object is. Objects without box and vertices stay apart."""
     ds = bboxes_to_polygons(polygons_to_bboxes(ds))
     images = ds.where("images", where_image).select("imagefile")
     objects = ds.where("objects", where_object).select("objectid", "imagefile").join(images, "imagefile", "left_semi")
     rows = objects.join(ds.polygons.select("id", "objectid", "x", "y", F.coalesce("name", F.lit("")).alias("name")), "objectid")
-
-    def cluster(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["objectid", "id"])
-        boxes = [(int(o), [r[["x", "y"]].to_numpy(float) for _, r in g.groupby("name", sort=False)]) for o, g in df.groupby("objectid", sort=True)]
-        found = [(o, min(g)) for g in clusters(boxes, threshold) if len(g) > 1 for o in g]
-        return pd.DataFrame(found, columns=["objectid", "keep"]).astype("int64")
-
-    return merge_groups(ds, rows.groupBy("imagefile").applyInPandas(cluster, "objectid long, keep long"))
+    return merge_groups(ds, merged_clusters(shapes(rows), threshold))
 
 
 def merge_groups(ds: Dataset, groups: DataFrame) -> Dataset:
@@ -309,7 +275,7 @@ def merge_groups(ds: Dataset, groups: DataFrame) -> Dataset:
     `merged_name` and `merged_score`), all vertices (polygons renamed to name and old id), properties whose key has one value, and
     `is_merged`. Matches within a group go, others point to the kept object once.
     """
-    groups = groups.persist()
+    groups = written(groups)
     o = ds.objects.join(groups, "objectid")
     distinct = lambda c: F.count_distinct(c)
     made = o.groupBy("keep").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max(F.expr("x1 + width")).alias("x2"), F.max(F.expr("y1 + height")).alias("y2"), F.count("name").alias("names"), F.max("name").alias("one_name"), F.count("score").alias("scores"), F.max("score").alias("one_score"))

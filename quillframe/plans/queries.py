@@ -18,13 +18,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a query under its function's name; sql goes behind the derived tables' WITH clause (a leading comma adds to it)."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = fixtures.with_clause() + (" " if not sql.lstrip().startswith(",") else "") + sql
+            clause = fixtures.with_clause().replace("WITH", "WITH RECURSIVE", 1) if recursive else fixtures.with_clause()
+            ORACLE_SQL[f.__name__] = clause + (" " if not sql.lstrip().startswith(",") else "") + sql
         return f
 
     return add
@@ -289,6 +290,22 @@ def sync_objectids(spark: SparkSession, d: str) -> DataFrame:
     return algebra.sync_objectids(fixtures.predictions(spark, d), fixtures.reference(spark, d)).objects.select("objectid", "imagefile")
 
 
+@query(f""", edges AS (
+  SELECT a.objectid AS a, b.objectid AS b, {OVERLAP} / (a.width * a.height + b.width * b.height - {OVERLAP}) AS s
+  FROM det_objects a JOIN ref_objects b ON a.imagefile = b.imagefile AND {OVERLAP} >= 0.3 * (a.width * a.height + b.width * b.height - {OVERLAP})
+), rounds AS (
+  SELECT a, b, s, false AS taken FROM edges
+  UNION ALL SELECT a, b, s, ra = 1 AND rb = 1 FROM (
+    SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, a, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY s DESC, a, b) AS rb
+    FROM (SELECT *, bool_or(taken) OVER (PARTITION BY a) AS ga, bool_or(taken) OVER (PARTITION BY b) AS gb FROM rounds) WHERE NOT ga AND NOT gb)
+), pairs AS (SELECT a, b FROM rounds WHERE taken)
+SELECT coalesce(b, greatest((SELECT max(objectid) FROM det_objects), (SELECT max(objectid) FROM ref_objects)) + row_number() OVER (PARTITION BY b IS NULL ORDER BY objectid)) AS objectid, imagefile
+FROM det_objects LEFT JOIN pairs ON a = objectid""", recursive=True)
+def sync_objectids_boxes(spark: SparkSession, d: str) -> DataFrame:
+    mine, theirs = (ds.with_(polygons=ds.polygons.limit(0)) for ds in (fixtures.predictions(spark, d), fixtures.reference(spark, d)))
+    return algebra.sync_objectids(mine, theirs, 0.3).objects.select("objectid", "imagefile")
+
+
 @query(""", far AS (SELECT id, x + 5 AS x, y, 10000000 + (SELECT max(id) FROM polygons) + row_number() OVER (ORDER BY id) AS new FROM polygons WHERE id % 8 = 1)
 SELECT id, objectid, x + 0.25 AS x, y FROM polygons WHERE id % 8 <> 1 UNION ALL SELECT new, objectid, far.x, far.y FROM far JOIN polygons USING (id)""")
 def sync_polygon_ids(spark: SparkSession, d: str) -> DataFrame:

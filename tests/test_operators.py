@@ -85,13 +85,6 @@ def test_merge_intersecting(spark):
     assert {("k", "v"), ("is_merged", "1"), ("merged_name", "cat"), ("merged_name", "dog")} <= kept and not any(k == "q" for k, _ in kept)
 
 
-def test_clusters_of_squares():
-    square = lambda x, y: [np.array([(x, y), (x + 20, y), (x + 20, y + 20), (x, y + 20)], float)]
-    boxes = [(1, square(0, 0)), (2, square(10, 0)), (3, square(15, 0))]
-    assert modify.clusters(boxes, 0.1) == [[1, 2, 3]]
-    assert modify.clusters(boxes, 0.9) == [[1], [2], [3]]
-
-
 def test_transforms_round_trip(spark):
     ds = Dataset.from_rows(spark, images=[image("a.jpg")], objects=[thing(1, box=(45, 25, 10, 10))], properties=[(1, 1, "kx", "2"), (2, 1, "ky", "0.5"), (3, 1, "bx", "5"), (4, 1, "by", "-5")])
     out = modify.revert_object_transforms(ds)

@@ -1,0 +1,155 @@
+"""Near boxes, greedy matching and merging against the plain one-after-the-other versions."""
+
+import numpy as np
+import pytest
+
+from quillframe.dataset import Dataset
+from quillframe.functions.geometry import slab_areas
+from quillframe.operators import algebra, modify, pairs
+
+
+def share(a, b):
+    common, union = slab_areas(a + b)
+    return common / union if union else 0.0
+
+
+def greedy(score, least):
+    """Best pair first, ties to the first by place."""
+    score, out = score.copy(), []
+    for _ in range(min(score.shape)):
+        i, j = np.unravel_index(np.argmax(score), score.shape)
+        if score[i, j] < least:
+            break
+        out.append((int(i), int(j)))
+        score[i, :] = score[:, j] = -np.inf
+    return out
+
+
+def clusters(items, threshold):
+    """Agglomeration, one merge after the other: items are (id, rings)."""
+    groups, rings = [[i] for i, _ in items], [list(r) for _, r in items]
+    while len(groups) > 1:
+        score = np.full((len(groups),) * 2, -np.inf)
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups)):
+                score[i, j] = share(rings[i], rings[j])
+        i, j = np.unravel_index(np.argmax(score), score.shape)
+        if score[i, j] < threshold:
+            break
+        groups[i] += groups.pop(j)
+        rings[i] += rings.pop(j)
+    return sorted(sorted(g) for g in groups)
+
+
+def square(x, y, size=20):
+    return [np.array([(x, y), (x + size, y), (x + size, y + size), (x, y + size)], float)]
+
+
+def test_clusters_of_squares():
+    items = [(1, square(0, 0)), (2, square(10, 0)), (3, square(15, 0))]
+    assert clusters(items, 0.1) == [[1, 2, 3]] and clusters(items, 0.9) == [[1], [2], [3]]
+
+
+SCHEMA = "imagefile string, objectid long, x1 double, y1 double, width double, height double"
+
+
+def boxes_of(rnd, n, files, first=0):
+    """Boxes of all sizes, some of them points and lines, some alike, in crowds and alone."""
+    size = np.concatenate([rnd.exponential(12, (n // 2, 2)), 2.0 ** rnd.uniform(-4, 9, (n - n // 2, 2))])
+    size[:: 17] = 0
+    size[1::19, 0] = 0
+    place = np.where(rnd.random((n, 1)) < 0.5, rnd.normal(100, 30, (n, 2)), rnd.uniform(-500, 900, (n, 2)))
+    rows = [(files[k % len(files)], first + k, *map(float, np.round([*place[k], *size[k]], 1))) for k in range(n)]
+    return rows + [(*rows[3][:1], first + n, *rows[3][2:]), (None, first + n + 1, 1.0, 1.0, 5.0, 5.0), (files[0], first + n + 2, None, 1.0, 5.0, 5.0), (files[0], first + n + 3, 1.0, 1.0, -5.0, 5.0)]
+
+
+@pytest.mark.parametrize("n, files", [(30, ["a", "b", "c"]), (900, ["a"]), (700, ["a", "b"])])
+def test_near_boxes_equal_all_pairs(spark, n, files):
+    rnd = np.random.default_rng(n)
+    left, right = boxes_of(rnd, n, files), boxes_of(rnd, n // 2, files, 10_000)
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    touch = lambda p, q: p[0] == q[0] and p[0] and min(p[2] + p[4], q[2] + q[4]) >= max(p[2], q[2]) and min(p[3] + p[5], q[3] + q[5]) >= max(p[3], q[3])
+    real = lambda rows: [r for r in rows if None not in r and r[4] >= 0]
+    for a, b in ((left, right), (left, left), (right, left)):
+        got = pairs.near_boxes(make(a), make(b)).select("a_objectid", "b_objectid").collect()
+        assert sorted(map(tuple, got)) == sorted((p[1], q[1]) for p in real(a) for q in real(b) if touch(p, q))
+    assert pairs.near_boxes(make(left).limit(0), make(right)).count() == 0
+
+
+def test_a_crowd_costs_what_is_near(spark):
+    """20,000 small boxes and some large ones in one image: rows that meet in cells stay within a few times the pairs that touch."""
+    rnd = np.random.default_rng(1)
+    rows = [("a", k, float(x), float(y), 4.0, 4.0) for k, (x, y) in enumerate(rnd.uniform(0, 4000, (20_000, 2)))] + [("a", 50_000 + k, 0.0, 10.0 * k, 4000.0, 4.0) for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = pairs.near_boxes(df, df)
+    n = found.count()
+    met = pairs.near_boxes(df, df)
+    plan = met._jdf.queryExecution().optimizedPlan()
+    assert 20_000 < n < 60_000 and "Cartesian" not in plan.toString()
+
+
+@pytest.mark.parametrize("last", [0, 5, 100_000])
+def test_greedy_matching_equals_one_after_the_other(spark, last):
+    rnd = np.random.default_rng(2)
+    score = np.round(rnd.random((25, 18)), 1) * (rnd.random((25, 18)) < 0.5)  # many ties
+    edges = [(i, 100 + j, float(score[i, j])) for i in range(25) for j in range(18) if score[i, j] >= 0.2]
+    got = pairs.greedy_matching(spark.createDataFrame(edges, "a long, b long, score double"), last).collect()
+    assert sorted((r.a, r.b - 100) for r in got) == sorted(greedy(score, 0.2))
+    assert pairs.greedy_matching(spark.createDataFrame([], "a long, b long, score double"), last).collect() == []
+
+
+def test_matching_of_a_crowded_image(spark):
+    """10,000 objects of one image, paired as plain greedy over all pairs does."""
+    rnd = np.random.default_rng(3)
+    n = 10_000
+    a = np.column_stack([rnd.uniform(0, 3000, (n, 2)), rnd.uniform(10, 40, (n, 2))])
+    b = a[rnd.permutation(n)] + np.column_stack([rnd.normal(0, 4, (n, 2)), np.zeros((n, 2))])
+    make = lambda rows, first: Dataset.from_rows(spark, images=[("a.jpg", 3000, 3000, None, None, None, None)], objects=[(first + k, "a.jpg", *map(float, r), None, None) for k, r in enumerate(rows)])
+    edges = []
+    for k in range(n):
+        w = np.minimum(a[k, 0] + a[k, 2], b[:, 0] + b[:, 2]) - np.maximum(a[k, 0], b[:, 0])
+        h = np.minimum(a[k, 1] + a[k, 3], b[:, 1] + b[:, 3]) - np.maximum(a[k, 1], b[:, 1])
+        both = np.maximum(w, 0) * np.maximum(h, 0)
+        iou = both / (a[k, 2] * a[k, 3] + b[:, 2] * b[:, 3] - both)
+        edges += [(-iou[j], k, j) for j in np.flatnonzero(iou >= 0.3)]
+    used_a, used_b, expected = set(), set(), set()
+    for _, i, j in sorted(edges):
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            expected.add((i, j))
+    got = {(r.objectid, r.ref_objectid - 50_000) for r in algebra.match_objects(make(a, 0), make(b, 50_000), 0.3).collect()}
+    assert got == expected and len(expected) > 8000
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.4])
+def test_merging_equals_one_after_the_other(spark, threshold):
+    rnd = np.random.default_rng(5)
+    objects, polygons, items = [], [], {}
+    for k in range(60):
+        f = f"{k % 3}.jpg"
+        x, y, w, h = map(float, np.round([*rnd.uniform(0, 60, 2), *rnd.uniform(15, 40, 2)], 2))
+        if k % 4 == 0:
+            ring = [(x, y), (x + w, y + h / 3), (x + w / 2, y + h), (x + w / 3, y + h / 2)]
+            polygons += [(10 * k + n, k, *p, None) for n, p in enumerate(ring)]
+        elif k % 7 == 0 and k > 14:
+            x, y, w, h = objects[k - 21][2:6]  # a copy
+            f = objects[k - 21][1]
+        objects.append((k, f, x, y, w, h, None, None))
+        ring = ring if k % 4 == 0 else [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        items.setdefault(f, []).append((k, [np.array(ring, float)]))
+    ds = Dataset.from_rows(spark, images=[(f"{k}.jpg", 100, 100, None, None, None, None) for k in range(3)], objects=objects, polygons=polygons)
+    expected = sorted(g for own in items.values() for g in clusters(own, threshold))
+    out = modify.merge_intersecting_objects(ds, threshold)
+    assert sorted(r.objectid for r in out.objects.collect()) == sorted(g[0] for g in expected)
+    found = pairs.merged_clusters(pairs.shapes(pairs.outlines(ds)), threshold).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.keep, []).append(r.objectid)
+    assert sorted(sorted(g) for g in got.values()) == [g for g in expected if len(g) > 1] and max(map(len, expected)) > 2
+
+
+def test_many_copies_are_one_cluster(spark):
+    objects = [(k, "a.jpg", 5.0, 5.0, 10.0, 10.0, None, None) for k in range(3000)] + [(5000, "a.jpg", 6.0, 5.0, 10.0, 10.0, None, None), (5001, "a.jpg", 100.0, 5.0, 10.0, 10.0, None, None)]
+    ds = Dataset.from_rows(spark, images=[("a.jpg", 200, 200, None, None, None, None)], objects=objects)
+    assert sorted(r.objectid for r in modify.merge_intersecting_objects(ds, 0.5).objects.collect()) == [0, 5001]
