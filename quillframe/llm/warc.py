@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .storage import shared_dir
+from ..storage import shared_dir
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, headers map<string,string>, payload_length long, payload binary"
 #: Columns that are one header's value.
