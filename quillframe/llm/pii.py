@@ -1,9 +1,11 @@
 """Personal data: rule-based seeds, then contextual patterns bootstrapped from them.
 
-Seeds are matches of the four base rules (e-mail, IPv4, payment card, phone). The words before a seed make lexical patterns (the last
-word, the last two words, as far as they lie in the CONTEXT_CHARS code points before it). Patterns and instances form a bipartite graph: a pattern's confidence for a kind is the mean score of the
-distinct instances that it extracts, an instance's score is the noisy-or of its patterns' confidences; seeds stay at 1 for their kind
-and 0 for others. After a few rounds, confident patterns with enough distinct seeds add the identifiers they extract that no base rule
+Seeds are matches of the four base rules (e-mail, IPv4, payment card, phone). The words around a seed, as far as they lie in the
+CONTEXT_CHARS code points before and after it, make lexical patterns: the last word before it, the last two, either with the shape of the
+identifier (9 for digits, A and a for letters), the first word after it, and the words on both sides. Patterns and instances form a
+bipartite graph: a pattern's confidence for a kind is the mean score of the distinct instances that it extracts; an instance's score is the
+noisy-or of its best pattern that looks before it and its best that looks only behind it, as patterns that look at the same words are no
+evidence of their own. Seeds stay at 1 for their kind and 0 for others. After a few rounds, confident patterns with enough distinct seeds add the identifiers they extract that no base rule
 saw: words with an `@` or at least four digits, groups of digits with single spaces or hyphens between them being one. Base spans never go.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. Regular expressions are written with single-character
@@ -33,7 +35,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: groups of digits, or words with four digits or an @
 IDENTIFIER = r"(?<![^ \t-\r])(?:(?=[0-9](?:[ -]?[0-9]){3})[0-9](?:[0-9 -](?<![ -][ -]))*(?<=[0-9])(?![^ \t-\r.,;:!?)])|(?=[^ \t-\r@]*+@|(?:[^ \t-\r0-9]*+[0-9]){4})[^ \t-\r]++)"
 CONTEXT_CHARS = 64
-_SPANS = "array<struct<start:int,end:int,hit:string,gap:string>>"
+_SPANS = "array<struct<start:int,end:int,hit:string,gap:string,after:string>>"
 
 
 def _literal(pattern: str) -> str:
@@ -45,21 +47,24 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def spans_of(text: str, pattern: str) -> str:
-    """SQL for all leftmost non-overlapping matches: their places and, as `gap`, the CONTEXT_CHARS code points before them.
+    """SQL for all leftmost non-overlapping matches: their places and, as `gap` and `after`, the CONTEXT_CHARS code points before and after them.
 
-    Places are running sums of lengths, taken in blocks of 256 matches, so that arrays which grow stay short. The text before a match is
-    put together from the last matches and what lies between them, so that long texts of many matches are not cut up again and again;
-    so many matches hold CONTEXT_CHARS code points or reach back to the text's begin, as a match has two code points at least.
+    Places are running sums of lengths, taken in blocks of 256 matches, so that arrays which grow stay short. The text around a match is
+    put together from the matches next to it and what lies between them, so that long texts of many matches are not cut up again and again;
+    so many matches hold CONTEXT_CHARS code points or reach to the text's ends, as a match has two code points at least.
     """
     near = f"array_join(transform(slice(y, greatest(1, i + 1 - {CONTEXT_CHARS // 2}), least(i, {CONTEXT_CHARS // 2})), v -> v.both), '')"
-    pieces = f"zip_with(slice(split({text}, {_literal(pattern)}, -1), 1, size(f)), f, (g, h) -> named_struct('lead', right(g, {CONTEXT_CHARS}), 'both', right(concat(right(g, {CONTEXT_CHARS}), h), {CONTEXT_CHARS}), 'skip', char_length(g), 'hit', h))"
-    hits = f"{_let('y', pieces, f"transform(y, (x, i) -> named_struct('gap', right(concat({near}, x.lead), {CONTEXT_CHARS}), 'skip', x.skip, 'hit', x.hit))")}"
+    cut = f"named_struct('lead', right(g, {CONTEXT_CHARS}), 'both', right(concat(right(g, {CONTEXT_CHARS}), h), {CONTEXT_CHARS}), 'fore', left(concat(left(g, {CONTEXT_CHARS}), h), {CONTEXT_CHARS}), 'skip', char_length(g), 'hit', h)"
+    pieces = f"zip_with(slice(p, 1, size(f)), f, (g, h) -> {cut})"
+    follows = f"concat(transform(y, v -> v.fore), array(left(element_at(p, -1), {CONTEXT_CHARS})))"
+    around = f"named_struct('gap', right(concat({near}, x.lead), {CONTEXT_CHARS}), 'after', left(array_join(slice(w, i + 2, {CONTEXT_CHARS // 2 + 1}), ''), {CONTEXT_CHARS}), 'skip', x.skip, 'hit', x.hit)"
+    hits = _let("p", f"split({text}, {_literal(pattern)}, -1)", _let("y", pieces, _let("w", follows, f"transform(y, (x, i) -> {around})")))
     block = f"""aggregate(slice(z, 256 * i + 1, 256), named_struct('at', 0, 'out', cast(array() as {_SPANS})),
         (s, x) -> named_struct('at', s.at + x.skip + char_length(x.hit), 'out',
-            concat(s.out, cast(array(named_struct('start', s.at + x.skip, 'end', s.at + x.skip + char_length(x.hit), 'hit', x.hit, 'gap', x.gap)) as {_SPANS}))))"""
+            concat(s.out, cast(array(named_struct('start', s.at + x.skip, 'end', s.at + x.skip + char_length(x.hit), 'hit', x.hit, 'gap', x.gap, 'after', x.after)) as {_SPANS}))))"""
     blocks = f"transform(sequence(0, size(z) div 256), i -> {block})"
     before = "aggregate(k, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x.at, 'out', concat(s.out, array(s.at))), s -> s.out)"
-    moved = f"flatten(zip_with(k, {before}, (b, o) -> transform(b.out, x -> named_struct('start', x.start + o, 'end', x.end + o, 'hit', x.hit, 'gap', x.gap))))"
+    moved = f"flatten(zip_with(k, {before}, (b, o) -> transform(b.out, x -> named_struct('start', x.start + o, 'end', x.end + o, 'hit', x.hit, 'gap', x.gap, 'after', x.after))))"
     return _let("f", f"regexp_extract_all({text}, {_literal(pattern)}, 0)", _let("z", hits, _let("k", blocks, moved)))
 
 
@@ -79,37 +84,45 @@ _GUARD = {
 }
 
 
-def _context(text: str) -> str:
-    """The last two words of a text's last characters, lower-cased, without punctuation around them."""
-    words = f"filter(split(right({text}, {CONTEXT_CHARS}), '[ \\\\t-\\\\r]+'), w -> w <> '')"
-    return _let("c", words, "transform(slice(c, greatest(size(c) - 1, 1), 2), w -> regexp_replace(lower(w), '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}=:]+$', ''))")
+def _context(text: str, last: bool) -> str:
+    """The last or first two words of a text that stands next to an identifier, lower-cased, without punctuation around them; words of nothing else don't count."""
+    words = f"filter(transform(split({text}, '[ \\\\t-\\\\r]+'), w -> regexp_replace(lower(w), '^[^\\\\p{{L}}\\\\p{{N}}]+|[^\\\\p{{L}}\\\\p{{N}}=:]+$', '')), w -> w <> '')"
+    return _let("c", words, "slice(c, greatest(size(c) - 1, 1), 2)" if last else "slice(c, 1, 2)")
+
+
+def _shape(hit: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(left({hit}, {CONTEXT_CHARS}), '[0-9]', '9'), '[A-Z]', 'A'), '[a-z]', 'a')"
 
 
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __base: start, end, kind (its place in KINDS), hit and gap (the text before) of each base match."""
+    """docs with __base: start, end, kind (its place in KINDS), hit, gap and after (the text before and behind) of each base match."""
     out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__digit", F.expr("rlike(__text, '[0-9]')"))
     kinds = []
     for n, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)):
-        found = f"transform(filter({spans_of('__text', pattern)}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind', {n}, 'end', x.end, 'hit', x.hit, 'gap', x.gap))"
-        kinds.append(f"case when {_GUARD[kind]} then {found} else cast(array() as array<struct<start:int,kind:int,end:int,hit:string,gap:string>>) end")
+        found = f"transform(filter({spans_of('__text', pattern)}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind', {n}, 'end', x.end, 'hit', x.hit, 'gap', x.gap, 'after', x.after))"
+        kinds.append(f"case when {_GUARD[kind]} then {found} else cast(array() as array<struct<start:int,kind:int,end:int,hit:string,gap:string,after:string>>) end")
     return out.withColumn("__base", F.expr(f"concat({', '.join(kinds)})"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """__seen: every base match and every other identifier of a text, with the words before it."""
-    seeds = f"transform(__base, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'kind', x.kind, 'words', {_context('x.gap')}))"
+    """__seen: every base match and every other identifier of a text, with its patterns."""
+    around = lambda x, hit: f"'words', {_context(x + '.gap', True)}, 'after', {_context(x + '.after', False)}, 'shape', {_shape(hit)}"
+    seeds = f"transform(__base, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'kind', x.kind, {around('x', 'x.hit')}))"
     lead = "(char_length(t.hit) - char_length(ltrim('(<[\"', t.hit)))"
     hit = "rtrim('.,;:!?)>]\"', ltrim('(<[\"', t.hit))"
-    tokens = f"transform({spans_of('__text', IDENTIFIER)}, t -> named_struct('start', t.start + {lead}, 'end', t.start + {lead} + char_length({hit}), 'hit', {hit}, 'kind', cast(null as int), 'words', {_context('t.gap')}))"
+    tokens = f"transform({spans_of('__text', IDENTIFIER)}, t -> named_struct('start', t.start + {lead}, 'end', t.start + {lead} + char_length({hit}), 'hit', {hit}, 'kind', cast(null as int), {around('t', hit)}))"
     unseen = f"filter({tokens}, t -> char_length(t.hit) >= 6 and (contains(t.hit, '@') or char_length(regexp_replace(t.hit, '[^0-9]', '')) >= 4) and not exists(flatten(slice(m, t.start div 4096 + 1, (t.end - 1) div 4096 - t.start div 4096 + 1)), b -> b.start < t.end and t.start < b.end))"
     by_place = "transform(sequence(0, char_length(__text) div 4096), i -> filter(__base, b -> b.start < 4096 * (i + 1) and b.end > 4096 * i))"
     unseen = _let("m", by_place, unseen)
-    kind = "array<struct<start:int,end:int,hit:string,kind:int,words:array<string>>>"
+    kind = "array<struct<start:int,end:int,hit:string,kind:int,words:array<string>,after:array<string>,shape:string>>"
     return docs.withColumn("__seen", F.expr(f"case when __digit or contains(__text, '@') then concat(cast({seeds} as {kind}), cast({unseen} as {kind})) else cast(array() as {kind}) end"))
 
 
-def _patterns(words: Column) -> Column:
-    return F.filter(F.array(F.try_element_at(words, F.lit(-1)), F.when(F.size(words) > 1, F.array_join(words, " "))), lambda p: p.isNotNull() & (p != ""))
+def _patterns(words: Column, after: Column, shape: Column) -> Column:
+    """Patterns that an occurrence has; their first letter says what they look at."""
+    last, both, following = F.try_element_at(words, F.lit(-1)), F.when(F.size(words) > 1, F.array_join(words, " ")), F.try_element_at(after, F.lit(1))
+    mark = lambda kind, *parts: F.concat(F.lit(f"{kind} "), *(x for k, p in enumerate(parts) for x in ((F.lit(" _ "), p) if k else (p,))))
+    return F.filter(F.array(mark("l", last), mark("l", both), mark("s", last, shape), mark("s", both, shape), mark("b", last, following), mark("r", following)), lambda p: p.isNotNull())
 
 
 def accepted(seen: DataFrame, rounds: int, confidence: float, min_seeds: int) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +137,8 @@ def accepted(seen: DataFrame, rounds: int, confidence: float, min_seeds: int) ->
     for k in range(rounds):
         gathered = edges.join(scores, "hit").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
         trust = written(support.join(gathered, ["pattern", "kind"]).select("pattern", "kind", (F.col("score") / F.col("instances")).alias("trust")))
-        found = unseen.join(trust, "pattern").groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("score"))
+        best = unseen.join(trust, "pattern").groupBy("hit", "kind", F.col("pattern").startswith("r ").alias("behind")).agg(F.max("trust").alias("trust"))
+        found = best.groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("score"))
         scores = written(seeds.union(found))
     return trust.filter(F.col("trust") >= confidence).select("pattern", "kind"), found.filter(F.col("score") >= confidence).select("hit", "kind")
 
@@ -134,7 +148,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     key = F.unhex(F.md5(F.concat_ws("\0", id_col, "__text")))
     slim = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     table = written(_occurrences(base_spans(docs.select(id_col, text_col), text_col)).select(F.col(id_col).alias("doc_id"), key.alias("key"), slim(F.col("__base")).alias("base"), F.col("__seen").alias("seen")))
-    seen = table.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.hit", "s.kind", F.explode(_patterns(F.col("s.words"))).alias("pattern"))
+    seen = table.select("key", F.explode("seen").alias("s")).select("key", "s.start", "s.end", "s.hit", "s.kind", F.explode(_patterns(F.col("s.words"), F.col("s.after"), F.col("s.shape"))).alias("pattern"))
     patterns, hits = accepted(seen.select("pattern", "hit", "kind"), rounds, confidence, min_seeds)
     new = seen.filter("kind is null").drop("kind").join(patterns, "pattern").join(hits, ["hit", "kind"])
     added = new.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))

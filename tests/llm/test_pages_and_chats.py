@@ -3,7 +3,9 @@
 import hashlib
 import random
 import time
+from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -118,3 +120,115 @@ def test_a_long_conversation_of_one_key(spark):
     got = chat_format.digests(d).collect()
     said = "".join(f"{'assistant' if k % 2 else 'user'}\n</s> said {k}\n" for k in range(turns))
     assert len(got) == 1 and got[0].n_turns == turns and got[0].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[0].valid
+
+
+class PlainBlocks(HTMLParser):
+    """Blocks of well-formed pages from the standard parser's events: a block ends where an element that makes blocks, or that is boilerplate, begins or ends."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.out = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(t for t, _ in self.parts).split())
+        kept = [x for x in self.stack if x[0] not in html_text.SILENT]
+        if text and len(kept) == len(self.stack):
+            linked = sum(len(t.split()) for t, x in self.parts if x)
+            inner = next((n for n, _, _ in reversed(self.stack) if n in html_text.BLOCKS), "")
+            kind = "heading" if inner in html_text.HEADINGS else "paragraph" if inner in html_text.PARAGRAPHS else ""
+            names = {n for n, _, _ in self.stack}
+            self.out.append((text, len(text.split()), min(1.0, linked / len(text.split())), kind, bool(names & {"article", "main"}), any(b for _, b, _ in self.stack), any(m for _, _, m in self.stack)))
+        self.parts = []
+
+    def handle_starttag(self, name, attributes):
+        if name == "br":
+            self.parts.append((" ", False))
+            return
+        boiler, marked = html_text._marks(name, " ".join(f'{k}="{v}"' for k, v in attributes))
+        if name in html_text.BLOCKS or boiler or marked:
+            self.cut()
+        self.stack.append((name, boiler, marked))
+
+    def handle_endtag(self, name):
+        assert self.stack[-1][0] == name
+        if name in html_text.BLOCKS or any(self.stack[-1][1:]):
+            self.cut()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.parts.append((data, any(n == "a" for n, _, _ in self.stack)))
+
+
+def _random_page(rnd):
+    words = ["alpha", "beta", "gamma&amp;", "&lt;b&gt;", "caf&eacute;", "x&#65;y", "1,2"]
+    classes = ["", ' class="content"', ' class="sidebar"', ' id="nav-menu"', ' class="post body"', ' class="ad banner"', ' role="navigation"', ' class="story__text"', ' style="display: none"']
+
+    def inner(depth):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.random()
+            text = " ".join(rnd.choices(words, k=rnd.randint(1, 9)))
+            if kind < 0.4 or depth == 0:
+                out.append(f" {text} ")
+            elif kind < 0.5:
+                out.append(f' <a href="#">{text}</a> ')
+            elif kind < 0.55:
+                out.append("<br>")
+            elif kind < 0.65:
+                name = rnd.choice(["b", "span", "em"])
+                out.append(f"<{name}{rnd.choice(classes)}> {text} </{name}>")
+            else:
+                name = rnd.choice(["div", "section", "article", "main", "nav", "footer", "aside", "ul", "h2", "blockquote"])
+                out.append(f"<{name}{rnd.choice(classes)}>{inner(depth - 1)}</{name}>")
+        return "".join(out)
+
+    return f"<html><body>{inner(4)}</body></html>"
+
+
+def test_blocks_and_features_equal_a_plain_parser():
+    rnd = random.Random(21)
+    kinds = set()
+    for _ in range(400):
+        page = _random_page(rnd)
+        plain = PlainBlocks()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        got = html_text.blocks_of(page)
+        assert [(b.text, b.words, b.links, b.kind, b.article, b.boiler, b.marked) for b in got] == plain.out, page
+        rows = html_text.featured(got)
+        for k, row in enumerate(rows):
+            here, before, after = (plain.out[n] if 0 <= n < len(rows) else ("", 0, 0.0, "", False, False, False) for n in (k, k - 1, k + 1))
+            assert row == (here[1], here[2], before[1], before[2], after[1], after[2], here[3] == "paragraph", here[3] == "heading", *here[4:])
+        kinds |= {b.kind for b in got}
+    assert kinds == {"", "heading"} or kinds == {"", "heading", "paragraph"}
+
+
+def test_tree_equals_exhaustive_search():
+    """Each node splits where the weighted Gini impurity over all features and all gaps between values is least."""
+    rnd = np.random.default_rng(9)
+
+    def plain(rows, depth):
+        y = [r[-1] > 0 for r in rows]
+        if depth == 0 or all(y) or not any(y):
+            return sum(y) / len(y) >= 0.5
+        best = None
+        for f in range(len(rows[0]) - 1):
+            values = sorted({r[f] for r in rows})
+            for low, high in zip(values, values[1:]):
+                cut, score = (low + high) / 2, 0.0
+                for side in (True, False):
+                    own = [a for a, r in zip(y, rows) if (r[f] <= cut) == side]
+                    share = sum(own) / len(own)
+                    score += len(own) * share * (1 - share)
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, f, cut)
+        if best is None:
+            return sum(y) / len(y) >= 0.5
+        _, f, cut = best
+        return (f, cut, plain([r for r in rows if r[f] <= cut], depth - 1), plain([r for r in rows if r[f] > cut], depth - 1))
+
+    flat = lambda t: (t.feature, t.value, flat(t.low), flat(t.high)) if isinstance(t, html_text.Node) else bool(t)
+    for _ in range(20):
+        rows = np.column_stack([rnd.integers(0, 6, (40, 4)), rnd.random(40) < 0.5]).astype(float)
+        assert flat(html_text.grow(rows, 4)) == plain(rows.tolist(), 4)
