@@ -6,7 +6,8 @@ identifier (9 for digits, A and a for letters), the first word after it, and the
 bipartite graph: a pattern's confidence for a kind is the mean score of the distinct instances that it extracts; an instance's score is the
 noisy-or of its best pattern that looks before it and its best that looks only behind it, as patterns that look at the same words are no
 evidence of their own. Seeds stay at 1 for their kind and 0 for others. After a few rounds, confident patterns with enough distinct seeds add the identifiers they extract that no base rule
-saw: words with an `@` or at least four digits, groups of digits with single spaces or hyphens between them being one. Base spans never go.
+saw: words with an `@` or at least four digits, groups of digits with single spaces or hyphens between them being one. What has a kind's form
+but was dropped by its base rule (a number of a card's length that fails the checksum) isn't added as that kind. Base spans never go.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. Regular expressions are written with single-character
 loops and look-behinds, so that they need neither deep stacks nor quadratic time on very long runs; what they accept is stated beside
@@ -76,6 +77,9 @@ _VALID = {
     "card": f"char_length({_DIGITS}) between 14 and 19 and {_LUHN}",
     "phone": f"char_length({_DIGITS}) between 10 and 15",
 }
+#: The kind whose form an identifier has as a whole. One that the base rules dropped all the same is of another kind, or none, whatever stands around it.
+_FORM = f"""case when rlike(hit, {_literal("^[0-9](?:[ -]?[0-9])+$")}) and char_length(regexp_replace(hit, '[^0-9]', '')) between 14 and 19 then {KINDS.index("card")}
+    when rlike(hit, {_literal(r"^[0-9]+(?:[.][0-9]+){3}$")}) then {KINDS.index("ip")} when rlike(hit, {_literal(r"^[+][0-9][ ().0-9-]+[0-9]$")}) then {KINDS.index("phone")} end"""
 _GUARD = {
     "email": "contains(__text, '@')",
     "ip": "__digit and rlike(__text, '[0-9][.][0-9]')",
@@ -133,11 +137,11 @@ def accepted(seen: DataFrame, rounds: int, confidence: float, min_seeds: int) ->
     seeds = edges.filter("seed is not null").groupBy("hit", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
     extracted = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     support = written(support.join(extracted, "pattern"))
-    unseen, scores = edges.filter("seed is null").select("pattern", "hit"), seeds
+    unseen, scores = edges.filter("seed is null").select("pattern", "hit", F.expr(_FORM).alias("form")), seeds
     for k in range(rounds):
         gathered = edges.join(scores, "hit").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
         trust = written(support.join(gathered, ["pattern", "kind"]).select("pattern", "kind", (F.col("score") / F.col("instances")).alias("trust")))
-        best = unseen.join(trust, "pattern").groupBy("hit", "kind", F.col("pattern").startswith("r ").alias("behind")).agg(F.max("trust").alias("trust"))
+        best = unseen.join(trust, "pattern").filter("form is null or form <> kind").groupBy("hit", "kind", F.col("pattern").startswith("r ").alias("behind")).agg(F.max("trust").alias("trust"))
         found = best.groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("score"))
         scores = written(seeds.union(found))
     return trust.filter(F.col("trust") >= confidence).select("pattern", "kind"), found.filter(F.col("score") >= confidence).select("hit", "kind")

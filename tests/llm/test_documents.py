@@ -396,6 +396,16 @@ def test_pii_finds_planted_identifiers_and_little_else(spark):
     assert len(wanted) > 100 and precision >= 0.95 and recall >= 0.9
 
 
+def test_pii_adds_nothing_that_a_base_rule_dropped(spark):
+    rnd = random.Random(5)
+    luhn = lambda s: sum((int(c) * (1 + k % 2)) // 10 + (int(c) * (1 + k % 2)) % 10 for k, c in enumerate(s[::-1])) % 10 == 0
+    cards = [s for s in (f"{rnd.randint(10**15, 10**16 - 1)}" for _ in range(2000)) if luhn(s)][:60]
+    rows = [(k, f"pay with card {c} today") for k, c in enumerate(cards)] + [(100 + k, f"at host 10.1.2.{k} now") for k in range(40)]
+    rows += [(500, f"pay with card {cards[0][:-1]}{(int(cards[0][-1]) + 1) % 10} today"), (501, "at host 10.1.2.999 now"), (502, "pay with card 4041-KLMN today")]
+    found = {r.doc_id: [tuple(x) for x in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[500] == [] and found[501] == [] and found[502] == [(14, 2, 23)]
+
+
 def test_pii_context_words(spark):
     """Words of punctuation only don't count, on either side; contexts end where CONTEXT_CHARS end."""
     texts = ['token = "12345-678" , then', "a\nb -- 12345678 !! ( next one", "12345678", "x " * 60 + "12345678 " + "y" * 80, "11111111 22222222 33333333"]
