@@ -124,8 +124,8 @@ def crop_objects(
     return insert(out.with_(images=images, objects=objects), "properties", made)
 
 
-def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int, rows: int = 5, columns: int = 5, gap: int = 10, where_object: str | None = None, edges: str = "constant", split_by_name: bool = False) -> Dataset:
-    """Packs crops of objects with a box into collages, row by row in order of name; transforms and old paths say how to go back. split_by_name: each name begins a new collage."""
+def tile_places(ds: Dataset, image_path: str, cell_width: int, cell_height: int, rows: int = 5, columns: int = 5, gap: int = 10, where_object: str | None = None, edges: str = "constant", split_by_name: bool = False) -> DataFrame:
+    """objectid, old (its image), tile (its collage), left and top of its cell, and the transform from image to collage, for tile_objects()."""
     kept = _frames(ds, where_object, edges, cell_width, cell_height)
     placed = numbered(kept, "n", 0, F.col("name").asc_nulls_first(), F.col("objectid"))
     cells = rows * columns
@@ -137,7 +137,12 @@ def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int
     cell = F.col("n") % cells
     left, top = (cell % columns) * (cell_width + gap), F.floor(cell / columns) * (cell_height + gap)
     file = F.concat(F.lit(image_path.rstrip("/") + "/"), F.lpad(F.floor(F.col("n") / cells).cast("string"), 6, "0"), F.lit(".jpg"))
-    placed = written(placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), "kx", "ky", (F.col("bx") + left).alias("bx"), (F.col("by") + top).alias("by")))
+    return placed.select("objectid", F.col("imagefile").alias("old"), file.alias("tile"), left.alias("left"), top.alias("top"), "kx", "ky", (F.col("bx") + left).alias("bx"), (F.col("by") + top).alias("by"))
+
+
+def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int, rows: int = 5, columns: int = 5, gap: int = 10, where_object: str | None = None, edges: str = "constant", split_by_name: bool = False) -> Dataset:
+    """Packs crops of objects with a box into collages, row by row in order of name; transforms and old paths say how to go back. split_by_name: each name begins a new collage."""
+    placed = written(tile_places(ds, image_path, cell_width, cell_height, rows, columns, gap, where_object, edges, split_by_name))
     out = _apply(ds.keep_objects(placed), placed)
     size = (columns * (cell_width + gap) - gap, rows * (cell_height + gap) - gap)
     nothing = lambda kind: F.lit(None).cast(kind)
@@ -148,15 +153,15 @@ def tile_objects(ds: Dataset, image_path: str, cell_width: int, cell_height: int
 
 
 def crop_object_pixels(ds: Dataset, pixels: DataFrame, edges: str, width: int | None = None, height: int | None = None, where_object: str | None = None) -> DataFrame:
-    """objectid, height, width and data of each object's crop from grey pictures (imagefile, height, width, data); what lies outside is black, scaling takes the nearest pixel."""
+    """objectid, height, width and data of each object's crop from pictures (imagefile, height, width, data); what lies outside is black, scaling takes the nearest pixel."""
     frames = _frames(ds, where_object, edges, width, height).select("objectid", "imagefile", *(F.col(c).cast("long").alias(c) for c in ("ya", "xa", "yb", "xb", "pad_x", "pad_y", "full_x", "full_y", "cw", "ch")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             out = []
             for r in some.itertuples():
-                whole = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
-                part = np.zeros((r.full_y, r.full_x), np.uint8)
+                whole = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)
+                part = np.zeros((r.full_y, r.full_x, whole.shape[2]), np.uint8)
                 a, b, c, d = max(r.ya, 0), min(r.yb, r.height), max(r.xa, 0), min(r.xb, r.width)
                 if b > a and d > c:
                     part[r.pad_y + a - r.ya : r.pad_y + b - r.ya, r.pad_x + c - r.xa : r.pad_x + d - r.xa] = whole[a:b, c:d]
