@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import CHILDREN, Dataset, next_id
-from ..functions.geometry import BOX, fill, has_box
+from ..functions.geometry import BOX, has_box
 from ..functions.paths import base_name, folder
+from ..functions.spans import filled
 from ..storage import written
 from .modify import TRANSFORM, insert, numbered, update_object_transform
 from .pairs import outlines
@@ -190,7 +191,15 @@ def polygons_to_mask(ds: Dataset, boxes_too: bool = False, skip_empty: bool = Fa
         total = np.zeros((h, w), np.int64)
         for _, own in rows.dropna(subset=["objectid"]).sort_values("id").groupby("objectid"):
             rings = [r[["x", "y"]].to_numpy(float) for _, r in own.groupby("name", sort=False)]
-            total += sum(fill(r, w, h).astype(np.int64) * 255 for r in rings) // len(rings)
+            found = [filled(r, w, h) for r in rings]
+            if len(rings) == 1:
+                for row, a, b in found[0].tolist():
+                    total[row, a : b + 1] += 255
+                continue
+            parts = np.zeros((h, w), np.int64)
+            for row, a, b in np.concatenate(found).tolist():
+                parts[row, a : b + 1] += 255
+            total += parts // len(rings)
         out = [] if skip_empty and not total.any() else [(rows["imagefile"].iloc[0], h, w, np.minimum(total, 255).astype(np.uint8).tobytes())]
         return pd.DataFrame(out, columns=["imagefile", "height", "width", "data"])
 

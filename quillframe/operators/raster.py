@@ -188,6 +188,19 @@ def whole(strips: DataFrame) -> DataFrame:
     return joined.select(F.col("picture").alias("imagefile"), "height", "width", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"])).alias("data"))
 
 
+def colour_counts(strips: DataFrame) -> DataFrame:
+    """picture, colour and n: how many pixels of each colour the pictures have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0), b.column(1), strict=True):
+                p = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 3).astype(np.int32)
+                colours, n = np.unique(p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(n), pa.string()), pa.array(colours), pa.array(n.astype(np.int64))], names=["picture", "colour", "n"])
+
+    return strips.select("picture", "data").mapInArrow(count, "picture string, colour int, n long").groupBy("picture", "colour").agg(F.sum("n").alias("n"))
+
+
 def strips_of(pictures: DataFrame) -> DataFrame:
     """Strips of pictures that are rows (imagefile, height, width, data), with their own channels."""
 
