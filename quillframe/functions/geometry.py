@@ -97,7 +97,7 @@ def overlap_bound(rings: list[np.ndarray]) -> float:
     sides = np.min([r.max(0) for r in rings], axis=0) - np.max([r.min(0) for r in rings], axis=0)
     if (sides <= 0).any():
         return 0.0
-    largest = max(abs(float(np.dot(r[:, 0], np.roll(r[:, 1], -1)) - np.dot(np.roll(r[:, 0], -1), r[:, 1]))) / 2 for r in rings)
+    largest = max(map(ring_area, rings))
     return float(sides.prod()) / largest if largest else 1.0
 
 
@@ -106,24 +106,57 @@ def polygon_iou(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 0.0
 
 
-def clip_ring(ring: np.ndarray, width: float, height: float) -> np.ndarray:
-    """The part of a polygon within [0, width] x [0, height], cut edge by edge; empty if nothing of it is inside."""
+def _cut(ring: np.ndarray, axis: int, limit: float, sign: int) -> list[np.ndarray]:
+    """The rings of a polygon on one side of a line: sign * (coordinate - limit) > 0.
+
+    What is left of the outline are chains between crossings of the line. Along the line, the polygon lies between the first and the second crossing, the third
+    and the fourth, and so on; each chain goes on from where it meets the line to the other end of that stretch.
+    """
+    inside = sign * (ring[:, axis] - limit) > 0
+    if inside.all() or not inside.any():
+        return [ring] if inside.all() else []
+    n = len(ring)
+    enters = np.flatnonzero(inside & ~np.roll(inside, 1))  # first vertex of each chain
+    chains, ends = [], []  # ends: where a chain begins and stops on the line
+    for first in enters:
+        last = first
+        while inside[(last + 1) % n]:
+            last += 1
+        points = ring[np.arange(first, last + 1) % n]
+        crossed = []
+        for p, q in ((ring[first - 1], points[0]), (ring[(last + 1) % n], points[-1])):
+            cut = p + (limit - p[axis]) / (q[axis] - p[axis]) * (q - p)
+            cut[axis] = limit
+            crossed.append(cut)
+        chains.append(np.vstack([crossed[0], points, crossed[1]]))
+        ends += [crossed[0][1 - axis], crossed[1][1 - axis]]
+    order = np.argsort(ends, kind="stable")
+    partner = np.empty(len(ends), np.int64)
+    partner[order[::2]], partner[order[1::2]] = order[1::2], order[::2]
+    out, left = [], set(range(len(chains)))
+    while left:
+        start = now = min(left)
+        forward, parts = True, []
+        while now in left:
+            left.remove(now)
+            parts.append(chains[now] if forward else chains[now][::-1])
+            other = int(partner[2 * now + forward])  # the end that the chain stops at goes on to its partner
+            now, forward = other // 2, other % 2 == 0
+        out.append(np.vstack(parts))
+    return out
+
+
+def ring_area(ring: np.ndarray) -> float:
+    return abs(float(np.dot(ring[:, 0], np.roll(ring[:, 1], -1)) - np.dot(np.roll(ring[:, 0], -1), ring[:, 1]))) / 2 if len(ring) else 0.0
+
+
+def clip_ring(ring: np.ndarray, width: float, height: float) -> list[np.ndarray]:
+    """The rings of the part of a polygon within [0, width] x [0, height]: several where it leaves and comes back, none if nothing of it has an area inside."""
+    rings = [np.asarray(ring, float).reshape(-1, 2)]
     for axis, limit, sign in ((0, 0.0, 1), (0, width, -1), (1, 0.0, 1), (1, height, -1)):
-        if not len(ring):
-            break
-        out = []
-        inside = sign * (ring[:, axis] - limit) >= 0
-        for k in range(len(ring)):
-            p, q = ring[k - 1], ring[k]
-            if inside[k] != inside[k - 1]:
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                cut = p + t * (q - p)
-                cut[axis] = limit
-                out.append(cut)
-            if inside[k]:
-                out.append(q)
-        ring = np.array(out, float).reshape(-1, 2)
-    return ring
+        rings = [part for r in rings if len(r) for part in _cut(r, axis, limit, sign)]
+    tidy = (r[(r != np.roll(r, 1, 0)).any(1)] for r in rings)
+    return [r for r in tidy if len(r) > 2 and ring_area(r) > 0]
 
 
 def fill(ring: np.ndarray, width: int, height: int) -> np.ndarray:

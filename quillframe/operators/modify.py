@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,8 +224,13 @@ def revert_object_transforms(ds: Dataset) -> Dataset:
     return ds.with_(objects=objects, polygons=p.withColumns({"x": back("x", "kx", "bx"), "y": back("y", "ky", "by")}), properties=ds.properties.filter(~F.coalesce(gone, F.lit(False))))
 
 
+#: Room for the vertices of a ring in the order of an object's clipped rings.
+RING = 1 << 32
+
+
 def clip_objects(ds: Dataset, keep_num_vertices: bool = False) -> Dataset:
-    """Boxes and polygons are cut at the image's borders; polygons wholly outside go. keep_num_vertices moves vertices onto the border instead of cutting edges."""
+    """Boxes and polygons are cut at the image's borders; polygons wholly outside go. Of a polygon that falls into several
+    rings, those after the first are named after it with `_part2` and so on. keep_num_vertices moves vertices onto the border instead of cutting edges."""
     sized = ds.images.select("imagefile", F.col("width").alias("w"), F.col("height").alias("h"))
     o = ds.objects.join(sized, "imagefile", "left")
     ok = has_box() & F.col("w").isNotNull() & F.col("h").isNotNull()
@@ -247,14 +254,23 @@ def clip_objects(ds: Dataset, keep_num_vertices: bool = False) -> Dataset:
         polygons = whole.select(*ds.polygons.columns).union(inside.select("id", "objectid", F.expr("greatest(0D, least(x, w))"), F.expr("greatest(0D, least(y, h))"), "name"))
         return ds.with_(objects=objects, polygons=polygons)
 
-    def clip(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ring = clip_ring(rows[["x", "y"]].to_numpy(float), float(rows["w"].iloc[0]), float(rows["h"].iloc[0]))
-        n = len(ring)
-        name = pd.Series([rows["name"].iloc[0]] * n, dtype=object)
-        return pd.DataFrame({"objectid": np.full(n, rows["objectid"].iloc[0], np.int64), "k": np.arange(n), "x": ring[:, 0], "y": ring[:, 1], "name": name})
-
-    clipped = cut.groupBy("objectid", "name").applyInPandas(clip, "objectid long, k int, x double, y double, name string")
+    points = F.array_sort(F.collect_list(F.struct("id", "x", "y")))
+    outline = cut.groupBy("objectid", "name").agg(points.alias("p"), F.first("w").cast("double").alias("w"), F.first("h").cast("double").alias("h"))
+    outline = outline.select("objectid", "name", "w", "h", F.transform("p", lambda v: v["x"]).alias("xs"), F.transform("p", lambda v: v["y"]).alias("ys"))
+
+    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("objectid", "k", "x", "y", "name")}
+            for r in b.to_pylist():
+                for n, ring in enumerate(clip_ring(np.column_stack([r["xs"], r["ys"]]), r["w"], r["h"])):
+                    out["objectid"] += [r["objectid"]] * len(ring)
+                    out["k"] += range(n * RING, n * RING + len(ring))
+                    out["x"] += ring[:, 0].tolist()
+                    out["y"] += ring[:, 1].tolist()
+                    out["name"] += [r["name"] if not n else f"{r['name'] or ''}_part{n + 1}"] * len(ring)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()), strict=True)], names=list(out))
+
+    clipped = outline.mapInArrow(clip, "objectid long, k long, x double, y double, name string")
     made = numbered(clipped, "id", next_id(ds.polygons, "id"), "objectid", "name", "k")
     return ds.with_(objects=objects, polygons=whole.select(*ds.polygons.columns).union(made.select(*ds.polygons.columns)))
 

@@ -205,7 +205,15 @@ def clip_polygons(spark: SparkSession, d: str) -> DataFrame:
     return modify.clip_objects(_ds(spark, d), keep_num_vertices=True).polygons.select("id", "x", "y")
 
 
-@query()
+@query(""", d AS (SELECT objectid, x1 + o.width / 2 AS cx, y1 + o.height / 2 AS cy, o.width / 2 AS a, o.height / 2 AS b, i.width AS w, i.height AS h
+  FROM objects o JOIN images i USING (imagefile) WHERE objectid % 3 = 0 AND x1 IS NOT NULL),
+e AS (SELECT *, unnest([{px: cx, py: cy - b, qx: cx + a, qy: cy}, {px: cx + a, py: cy, qx: cx, qy: cy + b}, {px: cx, py: cy + b, qx: cx - a, qy: cy}, {px: cx - a, py: cy, qx: cx, qy: cy - b}], recursive := true) FROM d),
+p AS (SELECT objectid, w, h, px AS x, py AS y FROM e
+  UNION ALL SELECT objectid, w, h, v, py + (v - px) / (qx - px) * (qy - py) FROM (SELECT *, unnest([0, w]) AS v FROM e) WHERE (px - v) * (qx - v) < 0
+  UNION ALL SELECT objectid, w, h, px + (v - py) / (qy - py) * (qx - px), v FROM (SELECT *, unnest([0, h]) AS v FROM e) WHERE (py - v) * (qy - v) < 0
+  UNION ALL SELECT objectid, w, h, u, v FROM (SELECT *, unnest([0, w]) AS u FROM d) t, LATERAL (SELECT unnest([0, t.h]) AS v) WHERE abs(u - cx) / a + abs(v - cy) / b < 1),
+k AS (SELECT DISTINCT objectid, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE x >= 0 AND x <= w AND y >= 0 AND y <= h)
+SELECT objectid, count(*) AS n, round(sum(x), 6) AS x FROM k GROUP BY 1 HAVING count(*) > 2""")
 def clip_polygon_edges(spark: SparkSession, d: str) -> DataFrame:
     return modify.clip_objects(_ds(spark, d)).polygons.groupBy("objectid").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("x"))
 

@@ -1,11 +1,14 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Files and intermediate tables in folders that the whole cluster shares."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLAIM_SECONDS = 600
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.
@@ -53,3 +56,26 @@ def remove(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         delete(df.sparkSession, folder)
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text file unless there is one of that name already, and says whether it did. It is there as a whole or not at all.
+
+    Writers claim the name first, as a rename alone would replace a file on some file systems. A claim of over CLAIM_SECONDS without a file is of one that died.
+    """
+    files, own = _path(spark, path)
+    jvm = spark._jvm
+    claim = jvm.org.apache.hadoop.fs.Path(f"{path}.claim")
+    if not files.exists(own) and files.exists(claim) and time.time() - files.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+        files.delete(claim, False)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        taken = files.exists(own) or not files.createNewFile(claim)
+        if not taken:
+            taken = not files.rename(draft, own)
+    finally:
+        files.delete(draft, False)
+    return not taken

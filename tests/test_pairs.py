@@ -153,3 +153,81 @@ def test_many_copies_are_one_cluster(spark):
     objects = [(k, "a.jpg", 5.0, 5.0, 10.0, 10.0, None, None) for k in range(3000)] + [(5000, "a.jpg", 6.0, 5.0, 10.0, 10.0, None, None), (5001, "a.jpg", 100.0, 5.0, 10.0, 10.0, None, None)]
     ds = Dataset.from_rows(spark, images=[("a.jpg", 200, 200, None, None, None, None)], objects=objects)
     assert sorted(r.objectid for r in modify.merge_intersecting_objects(ds, 0.5).objects.collect()) == [0, 5001]
+
+
+def concave(rnd, n):
+    """A star-shaped ring with vertices near and far by turns."""
+    angle = (np.arange(n) + rnd.uniform(0, 0.9, n)) * 2 * np.pi / n
+    far = rnd.uniform(20, 110, n) * np.where(np.arange(n) % 2, 1, 0.2)
+    return np.column_stack([50 + far * np.cos(angle), 40 + far * np.sin(angle)])
+
+
+def pieces_inside(ring, width, height):
+    """Area and number of connected parts of a polygon within a frame, from a slab sweep: stretches between edges, joined where neighbouring slabs' stretches share more than a point."""
+    edges = np.hstack([ring, np.roll(ring, -1, 0)])
+    edges = edges[edges[:, 1] != edges[:, 3]]
+    x_at = lambda e, y: e[0] + (y - e[1]) / (e[3] - e[1]) * (e[2] - e[0])
+    levels = {0.0, float(height), *(float(y) for y in ring[:, 1] if 0 < y < height)}
+    for e in edges:
+        for side in (0.0, float(width)):
+            if (e[0] - side) * (e[2] - side) < 0:
+                y = e[1] + (side - e[0]) / (e[2] - e[0]) * (e[3] - e[1])
+                levels |= {y} if 0 < y < height else set()
+    levels = sorted(levels)
+    area, parts, before, count = 0.0, {}, [], 0
+
+    def root(k):
+        while parts[k] != k:
+            k = parts[k]
+        return k
+
+    for low, high in zip(levels, levels[1:]):
+        mid = (low + high) / 2
+        across = sorted((e for e in edges if min(e[1], e[3]) <= low and max(e[1], e[3]) >= high), key=lambda e: x_at(e, mid))
+        now = []
+        for left, right in zip(across[::2], across[1::2]):
+            cut = lambda y: (min(max(x_at(left, y), 0), width), min(max(x_at(right, y), 0), width))  # noqa: E731, B023
+            a, b = cut(mid)
+            if b - a > 1e-9:
+                area += (b - a) * (high - low)
+                parts[count] = count
+                for k, (c, d) in before:
+                    p, q = cut(low)
+                    if min(q, d) - max(p, c) > 1e-9:
+                        parts[root(k)] = root(count)
+                now.append((count, cut(high)))
+                count += 1
+        before = now
+    return area, len({root(k) for k in parts})
+
+
+def test_clipped_rings_have_the_area_and_number_of_the_sweep():
+    from quillframe.functions.geometry import clip_ring, ring_area
+
+    rnd, several = np.random.default_rng(11), 0
+    for k in range(400):
+        ring = concave(rnd, rnd.integers(5, 16))
+        width, height = map(float, rnd.uniform(20, 100, 2))
+        rings = clip_ring(ring[:: -1 if k % 2 else 1], width, height)
+        area, parts = pieces_inside(ring, width, height)
+        assert sum(map(ring_area, rings)) == pytest.approx(area, abs=1e-6) and len(rings) == parts
+        assert all((r >= -1e-9).all() and (r[:, 0] <= width + 1e-9).all() and (r[:, 1] <= height + 1e-9).all() for r in rings)
+        several += len(rings) > 1
+    assert several > 50
+
+
+def test_rings_along_the_frame():
+    from quillframe.functions.geometry import clip_ring, ring_area
+
+    comb = np.array([(-10, -10), (-10, 30), (5, 30), (5, 5), (-5, 5), (-5, 2), (5, 2), (5, -10)], float)
+    assert sorted(ring_area(r) for r in clip_ring(comb, 20.0, 20.0)) == [10.0, 75.0]
+    assert clip_ring(np.array([(-5, 0), (0, 0), (0, 5), (-5, 5)], float), 9.0, 9.0) == [] and clip_ring(np.zeros((0, 2)), 9.0, 9.0) == []
+    inside = np.array([(0, 0), (9, 0), (9, 9), (0, 9)], float)
+    assert ring_area(clip_ring(inside, 9.0, 9.0)[0]) == 81.0
+
+
+def test_clipped_objects_of_several_rings(spark):
+    comb = [(-10, -10), (-10, 30), (5, 30), (5, 5), (-5, 5), (-5, 2), (5, 2), (5, -10)]
+    ds = Dataset.from_rows(spark, images=[("a", 20, 20, None, None, None, None)], objects=[(1, "a", 0.0, 0.0, 5.0, 5.0, None, None)], polygons=[(k, 1, float(x), float(y), None) for k, (x, y) in enumerate(comb)])
+    rows = modify.clip_objects(ds).polygons.orderBy("id").collect()
+    assert {r.name for r in rows} == {None, "_part2"} and len(rows) == 8 and len({r.id for r in rows}) == 8
