@@ -6,6 +6,7 @@ same files again.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -67,6 +68,25 @@ def copy_files(pairs: DataFrame, source: str, path: str) -> int:
     return pairs.select("source", "file").mapInArrow(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def link_files(pairs: DataFrame, source: str, path: str) -> int:
+    """Makes a symbolic link at each row's `file` below path to its `source` below the source folder; both must be on a local or mounted file system that all tasks see."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (have, start), (files, root) = opened(source), opened(path)
+        if not (isinstance(have, fs.LocalFileSystem) and isinstance(files, fs.LocalFileSystem)):
+            raise ValueError("symbolic links need a local file system")
+        for b in batches:
+            for old, new in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                origin, target = f"{start.rstrip('/')}/{old}", f"{root.rstrip('/')}/{new}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                os.stat(origin)  # a missing file is an error
+                if not (os.path.islink(target) and os.readlink(target) == origin):  # as a task that runs again finds it
+                    os.symlink(origin, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    return pairs.select("source", "file").mapInArrow(link, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def png(height: int, width: int, data: bytes) -> bytes:
     """An 8-bit grey picture as a PNG file."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))

@@ -85,6 +85,38 @@ def test_exports_write_every_polygon_of_an_object(spark, two):
     assert got == {"car": want, "bus": [box]}
 
 
+def test_labelme_round_trip_keeps_all_polygons(spark, two, tmp_path):
+    rings = {"b": [(1, 1), (4, 1), (4, 4)], None: [(5, 5), (9, 5), (9, 9)], "a": [(20, 20), (30, 20), (30, 30), (20, 30)]}
+    rows = [(k, 1, float(x), float(y), name) for k, (name, x, y) in enumerate((name, x, y) for name, ring in rings.items() for x, y in ring)]
+    ds = two.with_(polygons=spark.createDataFrame(rows, "id long, objectid long, x double, y double, name string"))
+    for folder, user in (("own", None), ("bob", "bob")):
+        exports.export_labelme(ds, f"file://{tmp_path}/{folder}", "f", username=user)
+    first = lambda d: d.polygons.join(d.objects.filter("name = 'car'"), "objectid").orderBy("id").select("x", "y", d.polygons["name"].alias("ring")).collect()
+    got = first(imports.import_labelme(spark, str(tmp_path / "own"), "d", names_by_user=True))
+    assert [(r.ring, r.x, r.y) for r in got] == [(name, *map(float, p)) for name in (None, "a", "b") for p in rings[name]]
+    for users, folder in ((False, "own"), (False, "bob")):
+        got = first(imports.import_labelme(spark, str(tmp_path / folder), "d", names_by_user=users))
+        assert list(dict.fromkeys(r.ring for r in got)) == [None, "polygon_2", "polygon_3"] and len(got) == 10
+    got = first(imports.import_labelme(spark, str(tmp_path / "bob"), "d", names_by_user=True))
+    assert list(dict.fromkeys(r.ring for r in got)) == ["bob", "bob_2", "bob_3"]
+    back = imports.replace_from_labelme(ds, str(tmp_path / "own"), names_by_user=True)
+    assert sorted(map(tuple, back.polygons.filter("objectid = 1").select("name", "x", "y").collect()), key=repr) == sorted(((r[4], r[2], r[3]) for r in rows), key=repr)
+
+
+def test_exports_link_images(spark, two, tmp_path):
+    (tmp_path / "d").mkdir()
+    for n in "ab":
+        (tmp_path / f"d/{n}.jpg").write_bytes(n.encode())
+    ds = two.with_(rootdir=str(tmp_path))
+    for _ in range(2):  # as often as one likes
+        exports.export_yolo(ds, str(tmp_path / "yolo"), ["car"], subset="train", link_images=True)
+        exports.export_coco(ds, str(tmp_path / "coco"), link_images=True)
+    for link in ("yolo/images/train/a.jpg", "coco/images/train/b.jpg"):
+        assert (tmp_path / link).is_symlink() and (tmp_path / link).read_bytes() == link[-5:-4].encode()
+    with pytest.raises(Exception, match="No such file"):
+        exports.export_yolo(two.with_(rootdir=str(tmp_path / "none")), str(tmp_path / "bad"), ["car"], link_images=True)
+
+
 def test_yolo_coco_cityscapes(spark, two, tmp_path):
     assert [tuple(r) for r in exports.yolo_lines(two, ["car", "bus"]).collect()] == [("a", "0 0.2 0.2 0.2 0.2\n1 0.25 0.5 0.5 1.0")]
     assert exports.yolo_lines(two, ["car"], as_polygons=True).first()["text"] == "0 0.1 0.1 0.3 0.1 0.3 0.3 0.1 0.3"
