@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
@@ -387,6 +387,15 @@ def violin(spark: SparkSession, d: str) -> DataFrame:
     return info.violin(_ds(spark, d), "SELECT name, width FROM objects", (0.0, 0.5, 1.0))
 
 
+@query(""", g AS (SELECT name AS x, count(*) AS n, stddev_samp(width) * pow(count(*), -0.2) AS h, min(width) AS low, max(width) AS high FROM objects WHERE name IS NOT NULL AND width IS NOT NULL GROUP BY 1),
+p AS (SELECT x, n, h, k, low - 2 * h + (high - low + 4 * h) * k / 49 AS y FROM g, (SELECT unnest(range(50)) AS k))
+SELECT x, k, n, round(sum(exp(-0.5 * pow((y - width) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density FROM p JOIN objects ON name = x WHERE width IS NOT NULL GROUP BY x, k, n""")
+def violin_density(spark: SparkSession, d: str) -> DataFrame:
+    found = info.violin_density(_ds(spark, d), "SELECT name, width FROM objects", points=50)
+    place = F.row_number().over(Window.partitionBy("x").orderBy("y")) - 1  # 50 rows each
+    return found.select("x", place.cast("long").alias("k"), "n", F.round("density", 6).alias("density"))
+
+
 @query("SELECT a.objectid, b.value AS status, c.value AS yaw FROM objects a JOIN properties b ON a.objectid = b.objectid AND b.key = 'status' JOIN properties c ON a.objectid = c.objectid AND c.key = 'yaw'")
 def sql_select(spark: SparkSession, d: str) -> DataFrame:
     return _ds(spark, d).sql("SELECT a.objectid, b.value AS status, c.value AS yaw FROM objects a JOIN properties b ON a.objectid = b.objectid AND b.key = 'status' JOIN properties c ON a.objectid = c.objectid AND c.key = 'yaw'")

@@ -268,3 +268,20 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("bins, bandwidth", [(4096, None), (4096, 0.3), (10**6, None)])
+def test_violin_densities_equal_a_direct_sum(spark, bins, bandwidth):
+    rnd = np.random.default_rng(5)
+    values = {"many": np.concatenate([rnd.normal(0, 1, 4000), rnd.normal(5, 0.5, 2000)]), "few": np.array([1.0, 2.0, 2.0, 7.0]), "one": np.array([3.0]), "same": np.array([4.0, 4.0])}
+    rows = [(n, "a", float(v), 0.0, 1.0, 1.0, name, None) for n, (name, v) in enumerate((name, v) for name, own in values.items() for v in own)]
+    ds = Dataset.from_rows(spark, images=[image("a")], objects=rows)
+    got = {}
+    for r in info.violin_density(ds, "SELECT name, x1 FROM objects", points=40, bandwidth=bandwidth, bins=bins).collect():
+        got.setdefault(r.x, []).append((r.y, r.density))
+    for name, own in values.items():
+        h = bandwidth or (own.std(ddof=1) if len(own) > 1 else 0) * len(own) ** -0.2 or 1.0
+        at = np.linspace(own.min() - 2 * h, own.max() + 2 * h, 40)
+        direct = np.exp(-0.5 * ((at[:, None] - own) / h) ** 2).sum(1) / (len(own) * h * np.sqrt(2 * np.pi))
+        y, density = np.array(sorted(got[name])).T
+        assert np.allclose(y, at) and np.abs(density - direct).max() < 1e-6
