@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .dataset import Dataset
 from .storage import children, create, delete
@@ -38,14 +38,29 @@ def open_version(spark: SparkSession, path: str, version: int | None = None) ->
     return Dataset.load(spark, f"{path}/snapshots/{found['snapshot']}", found["rootdir"])
 
 
-def commit(ds: Dataset, path: str, parent: int | None = None, keep: int | None = None) -> int:
-    """Adds the dataset as a version and returns its number. parent: the version that it was made from (the latest by default; 0: none yet). keep: so many versions stay, older ones go."""
+def notes(spark: SparkSession, path: str, version: int) -> dict:
+    """What a version's commit noted."""
+    return _manifest(spark, path, version).get("notes", {})
+
+
+def open_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame | None:
+    """A further table of a version (the latest by default), if it has one of that name."""
+    found = _manifest(spark, path, versions(spark, path)[-1] if version is None else version)
+    schema = found.get("tables", {}).get(name)
+    return None if schema is None else spark.read.schema(schema).parquet(f"{path}/snapshots/{found['snapshot']}/{name}")
+
+
+def commit(ds: Dataset, path: str, parent: int | None = None, keep: int | None = None, tables: dict[str, DataFrame] | None = None, **notes: object) -> int:
+    """Adds the dataset as a version and returns its number. parent: the version that it was made from (the latest by default; 0: none yet). keep: so many versions stay, older ones go. tables: further ones that belong to the version."""
     spark = ds.spark
     parent = max(versions(spark, path), default=0) if parent is None else parent
     number = parent + 1
     snapshot = f"{number:09}-{uuid.uuid4().hex}"
     ds.save(f"{path}/snapshots/{snapshot}")
-    if not create(spark, f"{path}/manifests/version-{number:09}.json", json.dumps({"snapshot": snapshot, "rootdir": ds.rootdir})):
+    for name, df in (tables or {}).items():
+        df.write.parquet(f"{path}/snapshots/{snapshot}/{name}")
+    kinds = {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for name, df in (tables or {}).items()}
+    if not create(spark, f"{path}/manifests/version-{number:09}.json", json.dumps({"snapshot": snapshot, "rootdir": ds.rootdir, "tables": kinds, "notes": notes})):
         delete(spark, f"{path}/snapshots/{snapshot}")
         raise Conflict(f"{path} has a version {number} already")
     if keep is not None:
