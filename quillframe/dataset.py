@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.sql import register
+
 SCHEMAS = {
     "images": "imagefile string, width int, height int, maskfile string, timestamp timestamp, name string, score double",
     "objects": "objectid long, imagefile string, x1 double, y1 double, width double, height double, name string, score double",
@@ -67,7 +69,8 @@ class Dataset:
                 self.table(f.name).createOrReplaceTempView(prefix + f.name)
 
     def sql(self, query: str, **others: Dataset) -> DataFrame:
-        """A SELECT over the tables; those of other datasets are named with their key as prefix (`ref_objects`)."""
+        """A SELECT over the tables; those of other datasets are named with their key as prefix (`ref_objects`). It can call the functions of functions.sql."""
+        register(self.spark)
         self.views()
         for prefix, other in others.items():
             other.views(f"{prefix}_")

@@ -205,7 +205,7 @@ def clip_polygons(spark: SparkSession, d: str) -> DataFrame:
     return modify.clip_objects(_ds(spark, d), keep_num_vertices=True).polygons.select("id", "x", "y")
 
 
-@query(""", d AS (SELECT objectid, x1 + o.width / 2 AS cx, y1 + o.height / 2 AS cy, o.width / 2 AS a, o.height / 2 AS b, i.width AS w, i.height AS h
+_CLIPPED = """, d AS (SELECT objectid, x1 + o.width / 2 AS cx, y1 + o.height / 2 AS cy, o.width / 2 AS a, o.height / 2 AS b, i.width AS w, i.height AS h
   FROM objects o JOIN images i USING (imagefile) WHERE objectid % 3 = 0 AND x1 IS NOT NULL),
 e AS (SELECT *, unnest([{px: cx, py: cy - b, qx: cx + a, qy: cy}, {px: cx + a, py: cy, qx: cx, qy: cy + b}, {px: cx, py: cy + b, qx: cx - a, qy: cy}, {px: cx - a, py: cy, qx: cx, qy: cy - b}], recursive := true) FROM d),
 p AS (SELECT objectid, w, h, px AS x, py AS y FROM e
@@ -213,7 +213,10 @@ p AS (SELECT objectid, w, h, px AS x, py AS y FROM e
   UNION ALL SELECT objectid, w, h, px + (v - py) / (qy - py) * (qx - px), v FROM (SELECT *, unnest([0, h]) AS v FROM e) WHERE (py - v) * (qy - v) < 0
   UNION ALL SELECT objectid, w, h, u, v FROM (SELECT *, unnest([0, w]) AS u FROM d) t, LATERAL (SELECT unnest([0, t.h]) AS v) WHERE abs(u - cx) / a + abs(v - cy) / b < 1),
 k AS (SELECT DISTINCT objectid, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE x >= 0 AND x <= w AND y >= 0 AND y <= h)
-SELECT objectid, count(*) AS n, round(sum(x), 6) AS x FROM k GROUP BY 1 HAVING count(*) > 2""")
+SELECT objectid, count(*) AS n, round(sum(x), 6) AS x FROM k GROUP BY 1 HAVING count(*) > 2"""
+
+
+@query(_CLIPPED)
 def clip_polygon_edges(spark: SparkSession, d: str) -> DataFrame:
     return modify.clip_objects(_ds(spark, d)).polygons.groupBy("objectid").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("x"))
 
@@ -547,3 +550,31 @@ _SHARE = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || rtrim(rtrim(printf('%.7f', f
 FROM objects o JOIN images i USING (imagefile) WHERE x1 IS NOT NULL AND o.name IN ('1-URGENT', '2-HIGH') GROUP BY 1""")
 def yolo_files(spark: SparkSession, d: str) -> DataFrame:
     return exports.yolo_lines(_ds(spark, d), ["1-URGENT", "2-HIGH"])
+
+
+# ---- functions in users' SQL ----
+
+
+@query(f"SELECT objectid FROM objects WHERE objectid NOT IN (SELECT a.objectid FROM objects a JOIN objects b ON a.imagefile = b.imagefile AND a.objectid < b.objectid WHERE {OVERLAP} > 0.3 * (a.width * a.height + b.width * b.height - {OVERLAP}))")
+def sql_filter_by_iou(spark: SparkSession, d: str) -> DataFrame:
+    text = "SELECT a.objectid FROM objects a JOIN objects b ON a.imagefile = b.imagefile AND a.objectid < b.objectid WHERE box_iou(a.x1, a.y1, a.width, a.height, b.x1, b.y1, b.width, b.height) > 0.3"
+    return _ids(filters.filter_objects_sql(_ds(spark, d), text))
+
+
+@query(""", d AS (SELECT o.objectid, imagefile, x1 + width / 2 AS cx, y1 + height / 2 AS cy, width / 2 AS a, height / 2 AS b FROM objects o WHERE objectid % 3 = 0 AND x1 IS NOT NULL)
+SELECT d.objectid, count(o.objectid) AS inside, 2 * d.a * d.b AS area FROM d LEFT JOIN objects o ON o.imagefile = d.imagefile AND o.objectid <> d.objectid AND abs(o.x1 - cx) * b + abs(o.y1 - cy) * a <= a * b GROUP BY ALL""")
+def sql_corners_in_rings(spark: SparkSession, d: str) -> DataFrame:
+    """How many other objects' first corners each polygon holds."""
+    return _ds(spark, d).sql("""
+        WITH r AS (SELECT objectid, array_sort(collect_list(struct(id, x, y))) AS p FROM polygons GROUP BY objectid),
+        s AS (SELECT r.objectid, o.imagefile, transform(p, v -> named_struct('x', v.x, 'y', v.y)) AS ring FROM r JOIN objects o ON o.objectid = r.objectid)
+        SELECT s.objectid, count(o.objectid) AS inside, any_value(ring_area(ring)) AS area
+        FROM s LEFT JOIN objects o ON o.imagefile = s.imagefile AND o.objectid <> s.objectid AND ring_holds(s.ring, o.x1, o.y1) GROUP BY s.objectid""")
+
+
+@query(_CLIPPED)
+def sql_clip_polygons(spark: SparkSession, d: str) -> DataFrame:
+    return _ds(spark, d).sql("""
+        WITH r AS (SELECT objectid, array_sort(collect_list(struct(id, x, y))) AS p FROM polygons GROUP BY objectid),
+        s AS (SELECT r.objectid, transform(p, v -> v.x) AS xs, transform(p, v -> v.y) AS ys, double(i.width) AS w, double(i.height) AS h FROM r JOIN objects o ON o.objectid = r.objectid JOIN images i ON i.imagefile = o.imagefile)
+        SELECT objectid, count(*) AS n, round(sum(c.x), 6) AS x FROM s, LATERAL clip_polygon(xs, ys, w, h) c GROUP BY objectid""")

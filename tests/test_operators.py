@@ -285,3 +285,16 @@ def test_violin_densities_equal_a_direct_sum(spark, bins, bandwidth):
         direct = np.exp(-0.5 * ((at[:, None] - own) / h) ** 2).sum(1) / (len(own) * h * np.sqrt(2 * np.pi))
         y, density = np.array(sorted(got[name])).T
         assert np.allclose(y, at) and np.abs(density - direct).max() < 1e-6
+
+
+def test_functions_in_sql(spark, three):
+    one = lambda text: three.sql(f"SELECT {text} AS v").first().v
+    assert one("box_overlap(0, 0, 10, 10, 5, 5, 10, 10)") == 25.0 and one("box_overlap(0, 0, 1, 1, 5, 5, 1, 1)") == 0.0
+    assert one("box_iou(0, 0, 10, 10, 5, 5, 10, 10)") == pytest.approx(25 / 175) and one("box_iou(0, 0, 0, 0, 0, 0, 0, 0)") == 0.0 and one("box_iou(null, 0, 0, 0, 0, 0, 0, 0)") in (None, 0.0)
+    ring = "array(" + ", ".join(f"named_struct('x', {x}D, 'y', {y}D)" for x, y in ((0, 0), (10, 0), (10, 10), (5, 4), (0, 10))) + ")"
+    assert one(f"ring_area({ring})") == 70.0 and one("ring_area(array())") == 0.0
+    held = [one(f"ring_holds({ring}, {x}, {y})") for x, y in ((5, 2), (5, 4), (5, 5), (0, 10), (10, 5), (11, 5), (2, 5))]
+    assert held == [True, True, False, True, True, False, True] and one("ring_holds(array(), 1, 1)") is False
+    assert one("file_stem('a/b.c/d.e.jpg')") == "d.e" and one("file_stem('x')") == "x"
+    rows = three.sql("SELECT c.* FROM VALUES (array(-5D, 5D, 5D, -5D), array(0D, 0D, 10D, 10D)), (null, null) AS t(xs, ys), LATERAL clip_polygon(xs, ys, 20, 20) c").collect()
+    assert {(r.ring, r.x, r.y) for r in rows} == {(0, 0.0, 0.0), (0, 5.0, 0.0), (0, 5.0, 10.0), (0, 0.0, 10.0)} and sorted(r.place for r in rows) == [0, 1, 2, 3]
