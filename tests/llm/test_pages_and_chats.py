@@ -232,3 +232,23 @@ def test_tree_equals_exhaustive_search():
     for _ in range(20):
         rows = np.column_stack([rnd.integers(0, 6, (40, 4)), rnd.random(40) < 0.5]).astype(float)
         assert flat(html_text.grow(rows, 4)) == plain(rows.tolist(), 4)
+
+
+@pytest.mark.parametrize("name", ["op1", "op4", "op9"])
+def test_extra_columns_of_clashing_names(spark, name):
+    """Columns named like the operators' own change nothing."""
+    from quillframe.llm import rules
+
+    clash = ("n", "key", "kind", "spans", "links", "words", "text_", "__words", "__rule", "quality", "toxic", "valid", "segments", "formatted", "loss", "rule", "n_words", "kept", "place")
+    more = lambda df: df.withColumns({c: F.lit("mine") for c in clash})
+    if name == "op1":
+        rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "</s> yo"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+        run = lambda df: chat_format.digests(df).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    elif name == "op4":
+        rows = spark.createDataFrame([(1, "u", PAGE), (2, "u", None)], "page_id long, url string, html string")
+        run = lambda df: html_text.extract(df).select("page_id", "url", "main_text")
+    else:
+        rows = spark.createDataFrame([(1, "a b c " * 40), (2, None), (None, "x")], "doc_id long, text string")
+        run = lambda df: rules.judge(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).select("doc_id", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(run(more(rows))) == key(run(rows))
