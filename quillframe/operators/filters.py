@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..dataset import Dataset
 from ..functions.geometry import BOX, has_box, in_ring, overlap_area
 from ..functions.paths import last_parts
+from ..storage import written
 from .pairs import near_boxes
 
 
@@ -90,7 +91,7 @@ def filter_objects_inside_certain_objects(ds: Dataset, where_shadowing: str, whe
     objects = ds.where("objects", where_object).join(shadows.select("objectid"), "objectid", "left_anti").join(mean, "objectid", "left")
     centred = objects.select("objectid", "imagefile", F.coalesce("mx", F.expr("x1 + width / 2")).alias("cx"), F.coalesce("my", F.expr("y1 + height / 2")).alias("cy"))
     points = centred.select("objectid", "imagefile", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.lit(0.0).alias("width"), F.lit(0.0).alias("height"))
-    near = near_boxes(points, ringed.unionByName(boxed))
+    near = near_boxes(written(points), written(ringed.unionByName(boxed)))
     open_box = F.expr("a_x1 > b_x1 and a_x1 < b_x1 + b_width and a_y1 > b_y1 and a_y1 < b_y1 + b_height")
     ringed_too = near.join(rings.select(F.col("objectid").alias("b_objectid"), "ring"), "b_objectid", "left")
     inside = ringed_too.filter(F.when(F.col("b_ringed"), in_ring("ring", "a_x1", "a_y1")).otherwise(open_box)).select(F.col("a_objectid").alias("objectid")).distinct()
