@@ -4,9 +4,9 @@ Passages are windows of `window` words (A-Z lower-cased, cut at ASCII white spac
 
 1. Passage frequencies of all terms, over all documents.
 2. A randomised SVD of the TF-IDF passage matrix A: tasks add up A'(A R) for a random R, the driver takes the left singular vectors of
-   that sum (terms x rank) and scales them so that no direction dominates. It is the index's fit, on about `fit_docs` documents drawn by
-   the hash of id and text (rows alike in both count once), and on all benchmark items, so that each has a vector; everything else is over
-   all rows.
+   that sum (terms x rank) and scales them so that no direction dominates. A has the passages of all rows of documents, and of all
+   benchmark items, so that each has a vector. Only a caller that sets `fit_docs` gets a fit on about so many documents, drawn by the hash
+   of id and text (rows alike in both count once).
 3. Every window of every document, half a window apart, goes into that space and is compared with the windows of the benchmark items,
    which are a query set of any size: each block of at most BLOCK_ITEMS items and BLOCK_WORDS words is broadcast and searched in a pass of
    its own over the documents, with the same frequencies and fit; its hits are written before the next block takes its place. Pairs of cosine `min_cosine` or more are candidates.
@@ -24,13 +24,14 @@ is a block of its own.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from . import kernels as K
 TERMS = 1 << 15
 SLICES = 64
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 1 << 16
+#: Passages whose sums are held at once, tasks of the fit at most, and how many of them are added up first.
+FIT_PASSAGES, FIT_TASKS, FIT_GROUP = 10_000, 1024, 32
 #: Bounds of a block of the query set: its bitmaps are then 82 MB.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
 #: Items (and answers) up to so many words have a mask for each word; masks of longer ones are made as they are looked up.
@@ -111,42 +114,46 @@ def passage_frequencies(texts: DataFrame, window: int) -> tuple[np.ndarray, int]
     return found[:TERMS], int(found[TERMS + 1])
 
 
-def latent_space(texts: DataFrame, idf: np.ndarray, window: int, rank: int, oversample: int = 8, tasks: int = 16) -> np.ndarray:
-    """Term vectors (with the terms' weights, and a row of zeros for no term) of the leading latent directions."""
+def latent_space(texts: DataFrame, idf: np.ndarray, window: int, rank: int, oversample: int = 8) -> np.ndarray:
+    """Term vectors (with the terms' weights, and a row of zeros for no term) of the leading latent directions of all rows' passages."""
     width = rank + oversample
     shared = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        random = np.random.default_rng(7).standard_normal((TERMS + 1, width), np.float32)
-        total = np.zeros((TERMS + 1, width), np.float32)
+        random = np.random.default_rng(7).standard_normal((TERMS + 1, width), np.float32) * weights[:, None]
+        total = np.zeros((width, TERMS + 1))
         for b in batches:
             for _, _, words, first in _words(b.column(0)):
                 if not len(words):
                     continue
                 terms = _terms_of(windows(first, window, window)[0], _term(words))
-                for part in np.array_split(terms, max(1, len(terms) // 2000)):
-                    w = weights[part]
-                    w /= np.linalg.norm(w, axis=1, keepdims=True) + 1e-9
-                    seen = np.einsum("pw,pwk->pk", w, random[part])
-                    order = np.argsort(part, axis=None, kind="stable")
-                    own = part.ravel()[order]
-                    begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    back = w.ravel()[order][:, None] * seen[order // part.shape[1]]
-                    total[own[begin]] += np.add.reduceat(back, begin, axis=0)
-        for n, rows in enumerate(np.array_split(total[:TERMS], SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["slice", "rows"])
+                for part in np.array_split(terms, -(-len(terms) // FIT_PASSAGES)):
+                    # a term's weight is the same in all passages, so it is taken out of both products: into random and, at the end, total
+                    norms = np.linalg.norm(weights.take(part), axis=1) + 1e-9
+                    seen = _sums(random, part) / (norms * norms)[:, None]
+                    own = part.ravel().astype(np.int64)
+                    for k, column in enumerate(np.ascontiguousarray(seen.T, np.float64)):
+                        total[k] += np.bincount(own, np.repeat(column, window), TERMS + 1)
+        if not total.any():
+            return
+        total *= weights
+        group = TaskContext.get().partitionId() // FIT_GROUP
+        for n, rows in enumerate(np.array_split(total.T[:TERMS], SLICES)):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([group], pa.int32()), pa.array([rows.astype(np.float32).tobytes()], pa.binary())], names=["slice", "part", "rows"])
 
     def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32) for x in table["rows"])
-        return pa.table({"slice": table["slice"][:1], "rows": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["rows"])
+        return table.slice(0, 1).set_column(2, "rows", pa.array([total.astype(np.float32).tobytes()], pa.binary()))
 
-    # the sample of documents is bounded, so are the tasks, and with them what a slice gathers
-    parts = texts.repartition(tasks).mapInArrow(add_up, "slice int, rows binary").groupBy("slice").applyInArrow(merge, "slice int, rows binary").collect()
+    # tasks and groups are bounded, and with them what a group of slices gathers
+    schema = "slice int, part int, rows binary"
+    sums = texts.coalesce(FIT_TASKS).mapInArrow(add_up, schema).groupBy("slice", "part").applyInArrow(merge, schema)
+    parts = sums.groupBy("slice").applyInArrow(merge, schema).collect()
     shared.destroy()
     if not parts:
         return np.zeros((TERMS + 1, rank), np.float32)
-    total = np.concatenate([np.frombuffer(r["rows"], np.float32).reshape(-1, width) for r in sorted(parts, key=lambda r: r["slice"])])
+    total = np.concatenate([np.frombuffer(r["rows"], np.float32).reshape(-1, width) for r in sorted(parts, key=lambda r: r["slice"])]).astype(np.float64)
     left, values, _ = np.linalg.svd(total, full_matrices=False)
     vectors = left[:, :rank] / np.sqrt(values[:rank] + 1e-9 * (values[0] + 1e-9))
     return np.vstack([vectors * idf[:TERMS, None], np.zeros((1, rank))]).astype(np.float32)
@@ -200,6 +207,7 @@ class Item:
     item_id: object
     words: list
     bits: dict
+    places: dict
     answer: list
     answer_bits: dict
 
@@ -217,7 +225,7 @@ class Queries:
         for (lo, _, words, first), (_, _, answer_words, answer_first) in zip(_words(pa.array(texts, pa.string())), _words_alike(answers, texts), strict=True):
             for k in range(len(first) - 1):
                 own, ans = words[first[k] : first[k + 1]].tolist(), answer_words[answer_first[k] : answer_first[k + 1]].tolist()
-                self.items.append(Item(rows[lo + k][0], own, bits_of(own), ans, bits_of(ans)))
+                self.items.append(Item(rows[lo + k][0], own, bits_of(own), Counter(own), ans, bits_of(ans)))
                 own_terms = _term(words[first[k] : first[k + 1]])
                 np.bitwise_or.at(self.has[lo + k], own_terms >> 3, _bit(own_terms))
                 if 0 < len(own) < window:
@@ -256,17 +264,15 @@ def item_blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, window: int = 16, rank: int = 64, fit_docs: int = 20_000, min_cosine: float = 0.5, min_terms: float = 0.4, likely: float = 0.6, sure: float = 0.8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, window: int = 16, rank: int = 64, fit_docs: int | None = None, min_cosine: float = 0.5, min_terms: float = 0.4, likely: float = 0.6, sure: float = 0.8) -> DataFrame:
     """doc_id, item_id, cosine (of the best candidate window), coverage (of the item's words, in order) and has_answer, for each document and each item that it leaks."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.select(item_col, F.col(item_text_col).cast("string"), answer.alias("answer"))
     texts = docs.select(F.col(text_col))
     found, passages = passage_frequencies(texts, window)
     idf = np.append(np.log(max(passages, 1) / np.maximum(found, 1)) + 1e-3, 0).astype(np.float32)
-    rate = min(1.0, fit_docs / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("fit"), id_col, text_col), F.lit(1 << 20)) < int(rate * (1 << 20))
-    sample = docs.filter(drawn).select(id_col, text_col).distinct().select(text_col)
-    vectors = latent_space(sample.union(benchmark.select(F.col(item_text_col).cast("string"))), idf, window, rank)
+    fitted = texts if fit_docs is None else _drawn(docs, id_col, text_col, fit_docs)
+    vectors = latent_space(fitted.union(benchmark.select(F.col(item_text_col).cast("string"))), idf, window, rank)
     context = docs.sparkSession.sparkContext
     space = context.broadcast((vectors, idf))
     parts = []
@@ -279,6 +285,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.union, parts)
 
 
+def _drawn(docs: DataFrame, id_col: str, text_col: str, fit_docs: int) -> DataFrame:
+    """About fit_docs texts, drawn by the hash of id and text."""
+    rate = min(1.0, fit_docs / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit("fit"), id_col, text_col), F.lit(1 << 20)) < int(rate * (1 << 20))
+    return docs.filter(drawn).select(id_col, text_col).distinct().select(text_col)
+
+
 def _names(benchmark: DataFrame, item_col: str, block: list[tuple]) -> DataFrame:
     """The ids of a block's items, at most BLOCK_ITEMS rows."""
     return benchmark.sparkSession.createDataFrame([(k, x[0]) for k, x in enumerate(block)], f"item long, item_id {benchmark.schema[item_col].dataType.simpleString()}")
@@ -287,6 +300,7 @@ def _names(benchmark: DataFrame, item_col: str, block: list[tuple]) -> DataFrame
 def _search(docs: DataFrame, space: Broadcast, block: Broadcast, window: int, min_cosine: float, min_terms: float, likely: float, sure: float) -> DataFrame:
     """The leaks of one block's items, by their numbers in it, among all of docs (id and text)."""
     schema = "doc_id long, item long, cosine double, coverage double, has_answer boolean"
+    least = min(likely, sure)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (vectors, idf), q = space.value, block.value
@@ -309,10 +323,14 @@ def _search(docs: DataFrame, space: Broadcast, block: Broadcast, window: int, mi
                             for at in range(0, len(found), CANDIDATE_BLOCK):
                                 p, k = np.divmod(found[at : at + CANDIDATE_BLOCK], cosine.shape[1])
                                 item = owner[begin + k]
-                                shared_weight = (weight[p] * ((q.has[item[:, None], byte[p]] & bit[p]) != 0)).sum(1)
+                                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (item[1:] != item[:-1])))  # an item's windows stand side by side
+                                near = np.maximum.reduceat(cosine[p, k], new)
+                                p, item = p[new], item[new]
+                                held = q.has.ravel().take(item[:, None] * q.has.shape[1] + byte.take(p, 0)) & bit.take(p, 0)
+                                shared_weight = (weight.take(p, 0) * (held != 0)).sum(1)
                                 for i in np.flatnonzero(shared_weight >= min_terms * whole[p]):
                                     d = int(doc[rows[p[i]]])
-                                    _confirm(out, lo + d, int(item[i]), float(cosine[p[i], k[i]]), q.items[item[i]], words, int(start[rows[p[i]]]), size, int(first[d]), int(first[d + 1]))
+                                    _confirm(out, lo + d, int(item[i]), float(near[i]), q.items[item[i]], words, int(start[rows[p[i]]]), size, int(first[d]), int(first[d + 1]))
             hits = [(r, n, *v) for (r, n), v in out.items() if v[1] >= sure or v[1] >= likely and v[2]]
             if hits:
                 r, n, cosine, coverage, has = zip(*hits, strict=True)
@@ -326,14 +344,15 @@ def _search(docs: DataFrame, space: Broadcast, block: Broadcast, window: int, mi
 
     def _confirm(out: dict, row: int, n: int, cosine: float, item: Item, words: np.ndarray, start: int, size: int, lo: int, hi: int) -> None:
         before = out.get((row, n), (0.0, 0.0, False))
-        if before[1] == 1.0 and before[2] or not item.words:
-            return
-        around = words[max(lo, start - len(item.words)) : min(hi, start + size + len(item.words))].tolist()
-        coverage = common_subsequence(item.bits, len(item.words), around) / len(item.words)
-        has = 2 * common_subsequence(item.answer_bits, len(item.answer), around) >= len(item.answer)
-        if (coverage, has) > before[1:] or cosine > before[0]:
-            best = max((coverage, has), before[1:])
-            out[row, n] = (max(cosine, before[0]), *best)
+        best = before[1:]
+        if best != (1.0, True) and item.words:
+            around = words[max(lo, start - len(item.words)) : min(hi, start + size + len(item.words))].tolist()
+            # the item's places whose words are around bound the subsequence; below the lower bound it decides nothing
+            if sum(map(item.places.__getitem__, item.places.keys() & around)) >= least * len(item.words) - 1e-6:
+                coverage = common_subsequence(item.bits, len(item.words), around) / len(item.words)
+                if coverage >= least:
+                    best = max(best, (coverage, 2 * common_subsequence(item.answer_bits, len(item.answer), around) >= len(item.answer)))
+        out[row, n] = (max(cosine, before[0]), *best)
 
     return docs.mapInArrow(search, schema)
 

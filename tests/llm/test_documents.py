@@ -699,6 +699,49 @@ def test_decontamination_fits_items_that_the_sample_lacks(spark, ids):
     assert sorted(r.item_id for r in got) == list(range(6))
 
 
+def test_latent_space_is_of_all_rows(spark, monkeypatch):
+    """Its directions are those of a dense product over all rows, with repeated ones, those without an id and nulls; leaks takes such a fit of more than 20,000 rows."""
+    rnd = random.Random(19)
+    vocabulary = [f"word{k}" for k in range(120)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 40))) for _ in range(90)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts + texts[:30]], "text string").repartition(5)
+    found, passages = decontaminate.passage_frequencies(rows, 16)
+    idf = np.append(np.log(passages / np.maximum(found, 1)) + 1e-3, 0).astype(np.float32)
+    import pyarrow as pa
+
+    a = []
+    for t in texts + texts[:30]:
+        terms = [int(x) for _, _, w, _ in decontaminate._words(pa.array([t or ""])) for x in decontaminate._term(w)]
+        for k in range(0, len(terms), 16):
+            a.append(np.bincount(terms[k : k + 16], minlength=decontaminate.TERMS) * idf[:-1])
+            a[-1] /= np.sqrt((idf[terms[k : k + 16]] ** 2).sum())
+    a = np.array(a)
+    assert len(a) == passages
+    product = a.T @ (a @ np.random.default_rng(7).standard_normal((decontaminate.TERMS + 1, 72), np.float32)[:-1])
+    left, values, _ = np.linalg.svd(product, full_matrices=False)
+    want = left[:, :64] / np.sqrt(values[:64]) * idf[:-1, None]
+    got = decontaminate.latent_space(rows, idf, 16, 64)
+    seen = np.flatnonzero(found)
+    assert not got[-1].any() and np.allclose(got[seen] @ got[seen].T, want[seen] @ want[seen].T, rtol=1e-2, atol=1e-3 * np.abs(want[seen] @ want[seen].T).max())
+
+    fits = []
+    whole = decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda t, *how: fits.append(t.count()) or whole(t, *how))
+    many = spark.range(25_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 12_000).alias("doc_id"), F.when(F.col("id") % 50 > 0, F.concat(F.lit("word"), F.col("id") % 120)).alias("text"))
+    item = " ".join(f"item{k}" for k in range(20))
+    got = decontaminate.leaks(many.union(spark.createDataFrame([(30_000, item)], "doc_id long, text string")), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.coverage) for r in got.collect()] == [(30_000, 1, 1.0)] and fits == [25_002]
+
+
+def test_cosine_is_of_the_best_window(spark):
+    """Two whole copies: the first settles the coverage, the second alone starts where a window does."""
+    item = " ".join(f"item{k}" for k in range(32))
+    noise = [f"noise{k}" for k in range(48)]
+    d = spark.createDataFrame([(7, " ".join([*noise[:4], item, *noise[4:], item]))], "doc_id long, text string")
+    (got,) = decontaminate.leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (got.doc_id, got.item_id, got.coverage, got.has_answer) == (7, 1, 1.0, True) and got.cosine == pytest.approx(1, abs=1e-5)
+
+
 def test_blocks_of_items_hold_all_within_bounds(monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
