@@ -36,7 +36,7 @@ from .graph import components
 SKETCH_BITS, SAMPLES = 2048, 1024
 #: Members of a bucket that meet in one block.
 BLOCK = 4096
-_SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+SKETCH_WORDS = SKETCH_BITS // 64
 
 
 def sketch_far(a, b, percent: int, f=np, least=np.minimum, greatest=np.maximum):  # noqa: ANN001, ANN201
@@ -97,7 +97,7 @@ class Signer:
         """For each document: hash of the set, band keys, sketch words; zeros for an empty set."""
         n = len(bounds) - 1
         full = np.flatnonzero(np.diff(bounds))
-        names, keys, sketch = np.zeros(n, np.uint64), np.zeros((n, self.bands), np.uint64), np.zeros((n, SKETCH_BITS // 64), np.uint64)
+        names, keys, sketch = np.zeros(n, np.uint64), np.zeros((n, self.bands), np.uint64), np.zeros((n, SKETCH_WORDS), np.uint64)
         if not len(full):
             return names, keys, sketch
         at = bounds[:-1][full]
@@ -123,8 +123,11 @@ def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """id, n (size of the set), name (its hash), keys and sketch words of each row of (id, text)."""
-    schema = "id long, n long, name long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+    """id, n (size of the set), name (its hash), keys and sketch of each row of (id, text).
+
+    The sketch is one column: with a column for each word the plans that carry it grew so large that most of the driver's memory was theirs.
+    """
+    schema = "id long, n long, name long, keys array<long>, sketch array<long>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
@@ -135,8 +138,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 per_row = np.where(np.diff(bounds) > 0, bands, 0)
                 cuts = np.concatenate([[0], np.cumsum(per_row)])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(names.view(np.int64)), _lists(np.ascontiguousarray(keys[per_row > 0].ravel()), cuts), *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(len(_SKETCH)))],
-                    names=["id", "n", "name", "keys", *_SKETCH],
+                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(names.view(np.int64)), _lists(np.ascontiguousarray(keys[per_row > 0].ravel()), cuts), _lists(sketch.ravel(), np.arange(hi - lo + 1) * SKETCH_WORDS)],
+                    names=["id", "n", "name", "keys", "sketch"],
                 )
 
     return docs.mapInArrow(sign, schema)
@@ -165,8 +168,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sketches are near, with the names of their sets."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in _SKETCH))
-    apart = sum((F.bit_count(F.col(f"{x}_u").bitwiseXOR(F.col(f"{x}_v"))) for x in _SKETCH), F.lit(0))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    apart = sum((F.bit_count(F.col("sketch_u")[k].bitwiseXOR(F.col("sketch_v")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
     far, can = sketch_far(F.col("n_u"), F.col("n_v"), percent, F, F.least, F.greatest)
     return pairs.join(side("u"), "u").join(side("v"), "v").filter(can & (apart <= far)).select("u", "v", "name_u", "name_v")
 
@@ -177,13 +180,13 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     in_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = in_comp.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main"))
     several = sizes.filter("comps > 1").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    open_ = labelled.join(several, "key").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    fields = ["key", "node", "comp", "name", "n", *_SKETCH]
+    open_ = labelled.join(several, "key").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # each block has the part-th members outside the main component on the left, and the other-th of all members on the right
-    left = open_.filter("comp <> main").select(*fields, F.lit(True).alias("left"), F.col("part").cast("int").alias("a"), F.explode(parts).alias("b"))
-    right = open_.select(*fields, F.lit(False).alias("left"), F.explode(parts).alias("a"), F.col("part").cast("int").alias("b"))
-    blocks = left.union(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    right = F.transform(parts, lambda p: F.struct(F.lit(False).alias("left"), p.alias("a"), F.col("part").alias("b")))
+    left = F.transform(parts, lambda p: F.struct(F.lit(True).alias("left"), F.col("part").alias("a"), p.alias("b")))
+    placed = open_.withColumn("place", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(right, left)).otherwise(right)))
+    blocks = placed.select("key", "node", "comp", "name", "n", "sketch", "place.left", "place.a", "place.b").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -204,7 +207,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     def meet(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         node, comp, name, n, is_left = (t[c].to_numpy() for c in ("node", "comp", "name", "n", "left"))
-        sketch = np.stack([t[x].to_numpy() for x in _SKETCH], axis=1).view(np.uint64)
+        sketch = pa.concat_arrays(t["sketch"].chunks).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
         rows, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         found = []
         for at in range(0, len(rows), 64):
@@ -242,7 +245,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     members = written(sized.join(company, "node").select("key", "node", "company"))
     wanted = written(company.select(F.col("node").alias("id")))
     remove(sized)
-    nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", *_SKETCH).dropDuplicates(["node", "name"]))
+    nodes = written(signed.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "name", "n", "sketch").dropDuplicates(["node", "name"]))
     sets = written(full_sets(docs.filter("id is not null").join(wanted.hint("merge"), "id", "left_semi"), words).groupBy("id", "name").agg(F.first("shingles").alias("shingles")))
     centres = members.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("others"), "node")).alias("c")).select("key", F.col("c.node").alias("v"))
     star = members.join(centres, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
@@ -250,8 +253,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     labels = written(components(links))
     remove(links)
     for nearest in (True, False):
-        more = written(_confirmed(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest), sets, percent))
+        near = written(_open_pairs(members.select("key", "node"), labels, nodes, percent, nearest))
+        if near.isEmpty():  # a member without a nearest one has no near one
+            remove(near)
+            break
+        more = written(_confirmed(near, sets, percent))
+        remove(near)
         if more.isEmpty():
+            remove(more)
             continue
         # new links join components, of which there are far fewer than links
         to = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: E731, B023

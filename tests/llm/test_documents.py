@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontaminate, kernels, line_dedup, near_dedup, packing, pii, quality, rules, url_filter
+from quillframe.llm import decontaminate, graph, kernels, line_dedup, near_dedup, packing, pii, quality, rules, url_filter
+from quillframe.storage import written
 
 SCHEMA = "doc_id long, text string, __doc string, key string, name string"
 
@@ -99,6 +100,36 @@ def test_near_dedup_takes_ids_of_any_size(spark):
     assert near_dedup.groups(d.limit(0)).count() == 0 and near_dedup.groups(d.filter("doc_id is null")).count() == 2
 
 
+def test_near_dedup_plans_stay_small(spark, monkeypatch):
+    """The driver plans each table anew after each of its stages; with a column for each word of a sketch that filled its heap."""
+    texts = [" ".join(f"w{d % 20}x{k if k < 200 - (0, 5, 40)[d // 20] else -d}" for k in range(200)) for d in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = []
+
+    def measured(df, *partition_by):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, *partition_by)
+
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    monkeypatch.setattr(near_dedup, "written", measured)
+    monkeypatch.setattr(graph, "written", measured)
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.groups(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[n : n + 5]) for n in range(len(w) - 4)} for w in words]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) == 40
+    assert max(sizes) < 8_500 and sum(sizes) < 28_000, sorted(sizes)
+
+
 def test_sketch_bound_holds_for_linked_sets():
     random_ = np.random.default_rng(1)
     for size in (20, 300, 3000):
