@@ -1,6 +1,9 @@
 """Formats as data sources: the same datasets as the import functions, files that filters leave out, committed writes."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.dataset import TABLES, Dataset
 from quillframe.sources import exports, formats, imports
@@ -52,6 +55,21 @@ def test_voc(spark, tmp_path):
         rows.count()
 
 
+def test_voc_objects_keep_their_properties(spark):
+    """In an order that changes whenever the rows are made again, and where two annotations are of one picture."""
+    box = (1.0, 2.0, 3.0, 4.0)
+    objects = lambda f: [(f"{f}-{k}", None, None, f"{f}-{k}", None, box, [(f"{f}-{k}", box)]) for k in range(12)]
+    rows = spark.createDataFrame([("a" if f == "c" else f, (9, 9), objects(f)) for f in "abc"], imports.PASCAL)
+    mixed = F.udf(lambda o: random.sample(o, len(o)), rows.schema["object"].dataType).asNondeterministic()
+    ds = imports.from_pascal(rows.withColumn("object", mixed("object")))
+    hard = ds.properties.filter("key = 'difficult'").select("objectid", "value")
+    assert {(r.name, r.value) for r in ds.objects.join(hard, "objectid").collect()} == {(n, n) for f in "abc" for n in (o[0] for o in objects(f))}
+    assert (ds.objects.count(), ds.properties.count(), ds.polygons.count()) == (36, 144, 144)
+    named = ds.polygons.select("objectid", F.col("name").alias("part")).distinct().join(ds.objects, "objectid")
+    assert named.filter("part = name").count() == named.count() == 36
+    assert sorted(r.id for r in ds.properties.collect()) == list(range(1, 145)) and sorted(r.objectid for r in ds.objects.collect()) == list(range(1, 37))
+
+
 def test_labelme_and_yolo(spark, tmp_path):
     polygons = [(k, 1 + k // 3 % 2, float(7 * k % 40), float(5 * k % 30), "ab"[k // 6] if k < 6 else "b") for k in range(12)]
     ds = Dataset.from_rows(spark, images=[("d/a.jpg", 100, 50, None, None, None, None), ("d/b.jpg", 100, 50, None, None, None, None)], objects=[(1, "d/a.jpg", 10.0, 5.0, 20.0, 10.0, "car & co", None), (2, "d/b.jpg", 0.0, 0.0, 50.0, 50.0, "bus", None)], properties=[(1, 1, "occluded", "true"), (2, 2, "red", "true")], polygons=polygons)
