@@ -220,7 +220,6 @@ def test_masks_of_many_images_equal_those_of_one(spark, monkeypatch):
 
 
 def test_masks_are_painted_without_a_call_for_each_image(spark):
-    """Nor is one made for each pair of masks or object: 4,000 images of 5 boxes would take 20 s and more."""
     n = 4000
     ds = Dataset.from_rows(spark)
     ds = ds.with_(images=spark.range(n).selectExpr("cast(id as string) imagefile", "100 width", "75 height", "null maskfile", "null timestamp", "null name", "null score"), objects=spark.range(5 * n).selectExpr("id objectid", f"cast(id % {n} as string) imagefile", "double(id % 60) x1", "double(id % 50) y1", "20.0 width", "15.0 height", "'x' name", "null score"))
